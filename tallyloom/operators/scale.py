@@ -20,19 +20,22 @@ def running_total(
     order: Sequence[str],
     value: str,
     before: str,
+    total: str | None = None,
 ) -> DataFrame:
     """Adds ``before``: the sum of ``value`` over all rows of the same keys that stand earlier in the order (bucket, *order).
 
     No task ever sorts a whole key: a window runs inside (keys, bucket), and the totals of the buckets, of which
     there is one row for each key and bucket, give every bucket its offset. The rows are partitioned once by
     (keys, bucket); the second join brings the offsets to that same partitioning. ``order`` must be unique inside a
-    bucket for a repeatable result. Null values count as 0; an empty input gives an empty result.
+    bucket for a repeatable result. ``total`` adds the sum over the whole key. Null values count as 0; an empty input
+    gives an empty result.
     """
     inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     amount = F.coalesce(F.col(value), F.lit(0)).cast("long")
     totals = df.groupBy(*keys, bucket).agg(F.sum(amount).alias("_total"))
     across = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = totals.select(*keys, bucket, (F.sum("_total").over(across) - F.col("_total")).alias("_offset"))
+    whole = [F.sum("_total").over(Window.partitionBy(*keys)).alias(total)] if total else []
+    offsets = totals.select(*keys, bucket, (F.sum("_total").over(across) - F.col("_total")).alias("_offset"), *whole)
     running = df.withColumn("_inside", F.sum(amount).over(inside) - amount)
     return (
         running.join(offsets, [*keys, bucket])
