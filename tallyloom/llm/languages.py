@@ -20,7 +20,7 @@ for _language, _words in FUNCTION_WORDS.items():
         _WORDS[_w] = (*_WORDS.get(_w, ()), _language)
 
 #: Script ranges, by code point.
-SCRIPTS = re.compile(r"(?P<kana>[぀-ヿㇰ-ㇿｦ-ﾝ])|(?P<han>[㐀-䶿一-鿿豈-﫿々])|(?P<hangul>[가-힯ᄀ-ᇿ㄰-㆏])|(?P<thai>[฀-๿])|(?P<arabic>[؀-ۿݐ-ݿ])|(?P<deva>[ऀ-ॿ])|(?P<cyrl>[Ѐ-ӿ])|(?P<greek>[Ͱ-Ͽ])|(?P<hebrew>[֐-׿])")
+SCRIPTS = re.compile(r"(?P<kana>[぀-ヿㇰ-ㇿｦ-ﾝ])|(?P<han>[㐀-䶿一-鿿\uf900-\ufaff々])|(?P<hangul>[가-힯ᄀ-ᇿ㄰-㆏])|(?P<thai>[฀-๿])|(?P<arabic>[؀-ۿݐ-ݿ])|(?P<deva>[ऀ-ॿ])|(?P<cyrl>[Ѐ-ӿ])|(?P<greek>[Ͱ-Ͽ])|(?P<hebrew>[֐-׿])")
 _FENCE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`", re.S)
 #: Paths, identifiers, rule names, addresses, numbers: the same in every language.
 _NEUTRAL = re.compile(r"[\w.\-]*[/\\][\w./\\\-]+|https?://\S+|\b[A-Z]+(?:-[A-Z0-9]+)+\b|\b\w*_\w+\b|\b[a-z]+(?:[A-Z]\w*)+\b(?:\(\))?|\b(?:[A-Z][a-z0-9]+){2,}\b|\b\w+\.(?:py|js|ts|java|vue|json|md|sh|yml)\b|--\w+|\d+(?:[.,:]\d+)*|</?\w[^>\n]*>", re.ASCII)

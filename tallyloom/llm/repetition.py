@@ -39,7 +39,7 @@ HIGHEST = GRID[-1]
 #: Windows of the quick score, in units.
 QUICK = 4
 
-_SPACELESS = "぀-ヿ㐀-䶿一-鿿豈-﫿฀-๿຀-໿က-႟ក-៿"
+_SPACELESS = "぀-ヿ㐀-䶿一-鿿\uf900-\ufaff฀-๿຀-໿က-႟ក-៿"
 _UNIT = re.compile(rf"[{_SPACELESS}]|[^\s{_SPACELESS}]+")
 _DROP = re.compile(rf"[\W\d_]+", re.UNICODE)
 _BREAK = re.compile(r"(?<=[.!?؟।…])[\"'”’»)\]]*\s+|(?<=[。！？])[”’」』）]*|[\r\n]+")

@@ -25,7 +25,7 @@ _SPLITS = (
 )
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*", re.UNICODE)
 _TOKEN = re.compile(r"\S+")
-_CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿฀-๿]")
+_CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿\uf900-\ufaff฀-๿]")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|&[a-z]{2,8};|&#\d+;")
 _HEX = re.compile(r"^(?:0x)?(?=.*\d|[a-f]{2}$)[0-9a-fA-F]{2,16}:?$")
 _LONG_CODE = re.compile(r"[A-Za-z0-9+/=_\-]{40,}")
