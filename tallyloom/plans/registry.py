@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package with a QUERIES and a SQL table.
-MODULES = ("telemetry", "findings", "snapshots")
+MODULES = ("telemetry", "findings", "texts", "snapshots")
 
 
 def core_queries() -> dict:
