@@ -11,8 +11,8 @@ The checks, in this order; the first that holds names the defect.
   something open, or the last unit of running text ends without an end. A last list item without a terminator is left
   to the corpus: :func:`examine` hands out its tail, which must be one that sentences of all answers close with.
 
-Every check reads the whole text, in time linear in its length but for the tiling, whose prompt side is bounded by the
-answer's length (an answer far longer than its prompt cannot be a copy and is not tiled).
+Every check reads the whole text in time linear in its length (the tiling by a suffix automaton); an answer far longer
+than its prompt cannot be a copy and is not tiled.
 """
 
 from __future__ import annotations
@@ -101,28 +101,68 @@ def is_refusal(text: str) -> bool:
 
 
 # --- copies of the prompt ---------------------------------------------------------------------------------------------
+def _automaton(text: str) -> tuple[list[dict[str, int]], list[int], list[int], list[int]]:
+    """Suffix automaton of a text: transitions, suffix links, longest lengths, first end positions. Linear."""
+    step: list[dict[str, int]] = [{}]
+    link, size, first = [-1], [0], [-1]
+    last = 0
+    for i, c in enumerate(text):
+        now = len(step)
+        step.append({})
+        size.append(size[last] + 1)
+        first.append(i)
+        link.append(0)
+        p = last
+        while p >= 0 and c not in step[p]:
+            step[p][c] = now
+            p = link[p]
+        if p >= 0:
+            q = step[p][c]
+            if size[p] + 1 == size[q]:
+                link[now] = q
+            else:
+                copy = len(step)
+                step.append(dict(step[q]))
+                size.append(size[p] + 1)
+                first.append(first[q])
+                link.append(link[q])
+                while p >= 0 and step[p].get(c) == q:
+                    step[p][c] = copy
+                    p = link[p]
+                link[q] = link[now] = copy
+        last = now
+    return step, link, size, first
+
+
 def tiled(answer: str, prompt: str, least: int) -> tuple[int, int]:
     """Characters of the answer and of the prompt covered by greedy tiles of at least ``least`` characters.
 
-    The prompt may be used again (answers that repeat it); the longest tile is taken first from the left at each place.
+    At each place from the left the longest match is taken; the prompt may be used again (answers that repeat it). The
+    longest matches come from one pass through the suffix automaton of the turned prompt, so time is linear.
     """
-    starts: dict[str, list[int]] = {}
-    for i in range(len(prompt) - least + 1):
-        starts.setdefault(prompt[i : i + least], []).append(i)
+    step, link, size, first = _automaton(prompt[::-1])
+    longest, at = [0] * len(answer), [0] * len(answer)
+    state = length = 0
+    for i in range(len(answer) - 1, -1, -1):
+        c = answer[i]
+        while state and c not in step[state]:
+            state = link[state]
+            length = size[state]
+        if c in step[state]:
+            state = step[state][c]
+            length += 1
+        else:
+            state = length = 0
+        longest[i] = length
+        at[i] = len(prompt) - 1 - first[state]
     used = bytearray(len(prompt))
     covered, i = 0, 0
-    while i + least <= len(answer):
-        best, at = 0, -1
-        for j in starts.get(answer[i : i + least], ()):
-            k = least
-            while i + k < len(answer) and j + k < len(prompt) and answer[i + k] == prompt[j + k]:
-                k += 1
-            if k > best:
-                best, at = k, j
-        if best:
-            used[at : at + best] = b"\x01" * best
-            covered += best
-            i += best
+    while i < len(answer):
+        n = longest[i]
+        if n >= least:
+            used[at[i] : at[i] + n] = b"\x01" * n
+            covered += n
+            i += n
         else:
             i += 1
     return covered, sum(used)
@@ -239,13 +279,21 @@ def tail_key(unit: str) -> str:
     return re.sub(r"\d+", "0", word.casefold())
 
 
+_STOP = re.compile(r"[!?]+|\.+(?=[\s\"'”’»)\]]|$)|[。！？।؟]+|\n")
+#: A tail is looked for in so many signs before a terminator.
+TAIL = 80
+
+
 def closings(text: str) -> set[str]:
     """Tails of all sentences of a text that are closed by a terminator."""
-    out = set()
-    for m in re.finditer(r"[^.!?。！？।؟\n]{4,}?(?:[!?]+|\.+(?=[\s\"'”’»)\]]|$)|[。！？।؟]+)", text):
-        key = tail_key(m.group())
-        if key:
-            out.add(key)
+    out, last = set(), 0
+    for m in _STOP.finditer(text):
+        a = m.start()
+        if m.group() != "\n" and a - last >= 4:
+            key = tail_key(text[max(last, a - TAIL) : a])
+            if key:
+                out.add(key)
+        last = m.end()
     return out
 
 
@@ -266,18 +314,19 @@ def truncation(text: str) -> tuple[bool, str]:
         return len(rows) > 1 and (closed == len(rows) - 1 and not last.endswith("|") or cells[-1] < min(cells[:-1])), ""
     if opened:
         return True, ""
+    size, last = len(last), last[-200:]
     if _END.search(last):
         return False, ""
     if kind == "item" and len(block) == 1:
-        content = last[m.end():].strip() if (m := MARKER.match(last)) else last
+        content = last[m.end():].strip() if size <= 200 and (m := MARKER.match(last)) else last
         if not content or _HANGING.search(content) or _CONNECTIVE.search(content):
             return True, ""
-        return False, tail_key(content)
+        return False, tail_key(content[-TAIL:])
     if re.search(r"[*_]{2,3}$|^\W+$", last) and not _HANGING.search(last):
         return False, ""
     if _HANGING.search(last):
         return True, ""
-    if len(block) == 1 and (_CODE_TAIL.search(last) and len(last) <= 90 or _LABEL.match(last) and len(last) <= 90 and not re.search(r"[，,]", last)):
+    if len(block) == 1 and size <= 90 and (_CODE_TAIL.search(last) or _LABEL.match(last) and not re.search(r"[，,]", last)):
         return False, ""
     return True, ""
 

@@ -23,13 +23,19 @@ for _language, _words in FUNCTION_WORDS.items():
 SCRIPTS = re.compile(r"(?P<kana>[぀-ヿㇰ-ㇿｦ-ﾝ])|(?P<han>[㐀-䶿一-鿿\uf900-\ufaff々])|(?P<hangul>[가-힯ᄀ-ᇿ㄰-㆏])|(?P<thai>[฀-๿])|(?P<arabic>[؀-ۿݐ-ݿ])|(?P<deva>[ऀ-ॿ])|(?P<cyrl>[Ѐ-ӿ])|(?P<greek>[Ͱ-Ͽ])|(?P<hebrew>[֐-׿])")
 _FENCE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`", re.S)
 #: Paths, identifiers, rule names, addresses, numbers: the same in every language.
-_NEUTRAL = re.compile(r"[\w.\-]*[/\\][\w./\\\-]+|https?://\S+|\b[A-Z]+(?:-[A-Z0-9]+)+\b|\b\w*_\w+\b|\b[a-z]+(?:[A-Z]\w*)+\b(?:\(\))?|\b(?:[A-Z][a-z0-9]+){2,}\b|\b\w+\.(?:py|js|ts|java|vue|json|md|sh|yml)\b|--\w+|\d+(?:[.,:]\d+)*|</?\w[^>\n]*>", re.ASCII)
+_NEUTRAL = re.compile(r"[\w.\-]*[/\\][\w./\\\-]+|https?://\S+|\b[A-Z]+(?:-[A-Z0-9]+)+\b|\b\w*_\w+\b|\b[a-z]+(?:[A-Z]\w*)+\b(?:\(\))?|\b(?:[A-Z][a-z0-9]+){2,}\b|\b\w+\.(?:py|js|ts|java|vue|json|md|sh|yml)\b|--\w+|\d+(?:[.,:]\d+)*", re.ASCII)
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
+#: Runs of visible ASCII signs; what is longer than LONGEST is no word of any language.
+_RUN = re.compile(r"[!-~]+")
+LONGEST = 300
 _LATIN_WORD = re.compile(r"[A-Za-zÀ-ɏ]+")
 _BY_SCRIPT = {"hangul": "ko", "thai": "th", "arabic": "ar", "deva": "hi", "cyrl": "ru", "greek": "el", "hebrew": "he"}
 
 
 def without_code(text: str) -> str:
-    return _NEUTRAL.sub(" ", _FENCE.sub(" ", text))
+    """The text without code, markup, paths, names and numbers. Patterns run on bounded runs, so time is linear."""
+    plain = _TAG.sub(" ", _FENCE.sub(" ", text))
+    return _RUN.sub(lambda m: _NEUTRAL.sub(" ", m.group()) if len(m.group()) <= LONGEST else " ", plain)
 
 
 def weights(text: str) -> dict[str, float]:

@@ -279,7 +279,7 @@ def running(text: str, start: int, stop: int, out: list[int]) -> None:
             if kind != "mark" or a != spans[s][1]:
                 continue
             # The mark that closes an outermost pair: a gap if a terminator stands right inside it.
-            inner = piece[:a].rstrip()
+            inner = piece[max(0, a - 64) : a].rstrip()
             if not inner or inner[-1] not in TERMINATORS and not (inner[-1] in _CLOSERS and inner[:-1].rstrip(_CLOSERS)[-1:] in TERMINATORS and inner[:-1]):
                 continue
             mark, at, closed = inner[-1], a + 1, True
@@ -356,7 +356,7 @@ def running(text: str, start: int, stop: int, out: list[int]) -> None:
             last = at
         base = start
         for (at, _, _), ends in zip(gaps, cheapest([(e, g) for _, e, g in gaps], words, more), strict=True):
-            if ends and piece[:at].strip() and at < n:
+            if ends and 0 < at < n:
                 end = base + at
                 if not out or out[-1] < end:
                     out.append(end)
