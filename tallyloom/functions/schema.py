@@ -26,7 +26,7 @@ def _value(c: Column, rule: dict, at: str) -> list[tuple[Column, str]]:
     out: list[tuple[Column, str]] = []
 
     def add(key: str, broken: Column) -> None:
-        out.append((F.coalesce(broken, F.lit(False)), f"{at}: {key}"))
+        out.append((c.isNotNull() & F.coalesce(broken, F.lit(False)), f"{at}: {key}"))
 
     if "const" in rule:
         add("const", c != F.lit(rule["const"]))
