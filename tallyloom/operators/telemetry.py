@@ -62,7 +62,10 @@ def repeats(events: DataFrame) -> DataFrame:
 
 def alerts(summed: DataFrame, repeated: DataFrame) -> DataFrame:
     """Alerts that fired: (code, value, limit). Ratios need LEAST_EVENTS events."""
-    row = summed.crossJoin(repeated.agg(F.count(F.lit(1)).alias("repeats")))  # two one-row results
+    counted = repeated.agg(F.count(F.lit(1)).alias("repeats"))
+    # Two one-row results laid over each other, without a cross join.
+    both = summed.unionByName(counted, allowMissingColumns=True)
+    row = both.agg(*[F.max(c).alias(c) for c in both.columns])
     enough = F.col("events") >= LEAST_EVENTS
     share = F.try_divide(F.col("repeats"), F.col("events"))
     checks = [
