@@ -135,7 +135,7 @@ INNER = set(
     "ص د أ م".split()
 )
 #: Abbreviations that may also end one.
-BOTH = set("etc &c al a.m p.m am pm u.s u.k u.n e.u inc ltd co corp usw ff f т.д т.п др пр д u.ä etc".split())
+BOTH = set("etc &c al a.m p.m am pm u.s u.k u.n e.u inc ltd co corp usw ff f т.д т.п др пр u.ä".split())
 MONTHS = set(
     "januar februar märz april mai juni juli august september oktober november dezember jänner january february march may june july october december januari janvier février mars avril juin juillet août septembre octobre novembre décembre enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split()
 )
@@ -144,6 +144,8 @@ GOES_ON = set("ثم و ف حيث لأن ولكن لكن أو قال وقال و
 _PREV = re.compile(r"[^\s\"“”„«»()\[\]（）「」『』，、。：；]+$")
 _NEXT = re.compile(r"[\s\"'“”„«»‹›(\[（「『¿¡*_`]*([^\s\"“”„«»)\]]+)")
 _IDENT = re.compile(r"[\w.\-]*[/\\_][\w./\\\-]+|[a-z]+(?:[A-Z]\w*)+|\w+\(\)|\w+\.\w{1,4}\b|`")
+#: Abbreviations of several parts that may end a sentence.
+_MAY_END = re.compile(r"(?:\bт\.\s*[дп]|\bи\s+(?:др|пр)|\bu\.\s*v\.\s*[am]|\b[uo]\.\s*ä)$", re.I)
 _COSTLY = 50.0
 
 
@@ -172,10 +174,7 @@ def readings(before: str, mark: str, after: str, closed: bool) -> tuple[float, f
     prev = _PREV.search(before)
     word = prev.group().lower().lstrip("('’") if prev else ""
     bare = word.rsplit("'", 1)[-1].rsplit("’", 1)[-1]
-    if word in BOTH or bare in BOTH:
-        two = before[-6:].lower()
-        if bare in ("д", "п") and not re.search(r"т\.?\s*$", two[: -len(bare)]):
-            return 6.0, 0.0
+    if word in BOTH or bare in BOTH or _MAY_END.search(before):
         return (0.5, 1.5) if first.isupper() or caseless or _IDENT.match(nxt) or opens.strip() else (6.0, 0.0)
     if word in INNER or bare in INNER:
         return 6.0, 0.0

@@ -153,7 +153,7 @@ def test_repetitive_is_whole(spark):
         ["One.", "Two!", "Three?!"], ["See Fig. 3 and No. 5, e.g. the U.S. part.", "Next."], ["It ran until 7 a.m.", "Then it stopped at 5 p.m. on Monday."], ["He said “Stop. Now.” and left.", "“Go!”", "We went."], ["It took 3.5 s with Node.js; the rest (see b.py. It is short.) is fine.", "src/a.py is next."],
         ["We waited...", "Nothing came ... and then it broke."], ["Am 5. Mai lief es, z. B. am Abend.", "Das gilt für Importe usw.", "Ende."], ["Die Prüfung schrieb: »Eins. Zwei.« und schloss.", "Fertig."], ["C'est vrai, p. ex. ici.", "« Qui ? » fut la question."],
         ["第一句。", "他说：“停。再看。”然后走了。", "停！", "“谁？”是问题。", "等了很久……", "版本……但没人用。"], ["一句。", "備考には「やめて。戻して。」と書いた。", "次です．", "最後？"], ["ถ้าเรียก f สองครั้งจะซ้ำ", "โปรดตรวจก่อน", "รุ่น 3.1 ยังใช้ Node.js อยู่"],
-        ["समीक्षक ने लिखा “रुकें। वापस।” और काम बंद किया।", "फिर।"], ["كتب: «توقفوا. نعود.» ثم أغلق التذكرة.", "هل نحذف؟", "لا."], ["담당자는 “멈추세요. 보세요.”라고 적었습니다.", "끝."], ["Проверены все, т. е. два.", "Стоп."],
+        ["समीक्षक ने लिखा “रुकें। वापस।” और काम बंद किया।", "फिर।"], ["كتب: «توقفوا. نعود.» ثم أغلق التذكرة.", "هل نحذف؟", "لا."], ["담당자는 “멈추세요. 보세요.”라고 적었습니다.", "끝."], ["Проверены все, т. е. два.", "Стоп."], ["Это касается правил и т. п.", "Прочтите п. 9 и т. д.", "Конец."], ["Das gilt für Regeln u. v. m.", "Ende."],
     ],
 )
 def test_sentences(units):
