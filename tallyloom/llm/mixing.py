@@ -20,7 +20,7 @@ documents are separate ones; no documents or no targets give no rows in the mixt
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.scale import running_total, salt_of
@@ -130,13 +130,12 @@ def shares(mixed: DataFrame, documents: DataFrame, targets: DataFrame, doc_id: s
     entries = budget(docs, targets)
     plan = docs.sparkSession.createDataFrame([(e["source"], e["share"], int(e["max_repeats"])) for e in entries], "source string, target_share double, max_repeats int")
     used = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies"), F.max("pass_no").alias("passes"))
-    total = used.agg(F.sum("tokens").alias("all_tokens"))
+    # At most MAX_SOURCES rows, so one window over all of them stays small.
+    used = used.withColumn("all_tokens", F.sum("tokens").over(Window.partitionBy(F.lit(1))))
     held = docs.where("source is not null").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("held_tokens"))
-    # One row beside a table of sources, not of documents.
     return (
         held.join(plan, "source", "full_outer")
         .join(used, "source", "left")
-        .join(F.broadcast(total), F.lit(True), "left")
         .select(
             "source",
             F.coalesce("target_share", F.lit(0.0)).alias("target_share"),
