@@ -160,25 +160,29 @@ def quality(patterns: DataFrame, sources: list[str], rounds: int = ROUNDS) -> tu
     """
     rates = {s: (0.7, 0.8) for s in sources}
     share = 0.5
+    # Each pattern's claims and denials, and under an empty name the pattern itself: one aggregate gives all sums.
+    said = F.concat(
+        F.array(F.struct(F.lit("").alias("s"), F.lit(-1).alias("y"))),
+        F.transform("yes", lambda s: F.struct(s.alias("s"), F.lit(1).alias("y"))),
+        F.transform("no", lambda s: F.struct(s.alias("s"), F.lit(0).alias("y"))),
+    )
     for _ in range(rounds):
-        p = posterior(rates, share)
-        sums = [F.sum(F.col("n") * p).alias("t"), F.sum("n").alias("n")]
         told = (
-            patterns.withColumn("p", p)
-            .select("n", "p", F.explode(F.concat(F.transform("yes", lambda s: F.struct(s.alias("s"), F.lit(1).alias("y"))), F.transform("no", lambda s: F.struct(s.alias("s"), F.lit(0).alias("y"))))).alias("v"))
+            patterns.withColumn("p", posterior(rates, share))
+            .select("n", "p", F.explode(said).alias("v"))
             .groupBy("v.s", "v.y")
             .agg(F.sum(F.col("n") * F.col("p")).alias("t"), F.sum("n").alias("n"))
             .collect()
         )
-        whole = patterns.agg(*sums).first()
-        if not whole["n"]:
-            break
         seen = {(r["s"], r["y"]): (r["t"], r["n"] - r["t"]) for r in told}
+        if ("", -1) not in seen:
+            break
+        true, false = seen["", -1]
         fresh = {}
         for s in sources:
             (ty, fy), (tn, fn) = seen.get((s, 1), (0.0, 0.0)), seen.get((s, 0), (0.0, 0.0))
             fresh[s] = ((ty + 7) / (ty + tn + 10), (fn + 8) / (fy + fn + 10))
-        new_share = min(max((whole["t"] + 5) / (whole["n"] + 10), 0.05), 0.95)
+        new_share = min(max((true + 5) / (true + false + 10), 0.05), 0.95)
         moved = max([abs(a - b) for s in sources for a, b in zip(fresh[s], rates[s], strict=True)] + [abs(new_share - share)])
         rates, share = fresh, new_share
         if moved < 1e-3:
