@@ -133,16 +133,34 @@ def methods(code: str) -> list[dict]:
     return found
 
 
-_EMPTY_CATCH = re.compile(r"catch\s*\([^)]*\)\s*\{\s*\}")
-_CATCH_NULL = re.compile(r"catch\s*\([^)]*\)\s*\{[^{}]*return\s+null\s*;[^{}]*\}")
-_GENERIC = re.compile(r"catch\s*\(\s*(?:final\s+)?(?:Exception|Throwable)\b")
-_LOOP_CALL = re.compile(r"\b(?:for|while)\s*\([^)]*\)\s*\{[^{}]*\.(?:find\w*|select\w*|query\w*|get\w*ById|load\w*)\(")
-_UNCLOSED = re.compile(r"(?<!try \()\bnew\s+(?:File(?:Input|Output)Stream|FileReader|FileWriter|Socket)\b")
-_POOL = re.compile(r"Executors\.new\w+\(")
+_LOOP = r"\b(?:for|while)\s*\([^)]*\)\s*\{[^{}]*"
+_REMOTE = r"(?:restTemplate|httpClient|webClient|feign\w*|rpc\w*|\w*Client)\.\w+\("
+#: Rules on the body of a method as data: (rule, severity, what must be there, what must not).
+BODY_RULES = tuple(
+    (rule, severity, re.compile(there, re.S), re.compile(absent, re.S) if absent else None)
+    for rule, severity, there, absent in (
+        ("EMPTY-CATCH", "HIGH", r"catch\s*\([^)]*\)\s*\{\s*\}", None),
+        ("CATCH-RETURN-NULL", "HIGH", r"catch\s*\([^)]*\)\s*\{[^{}]*return\s+null\s*;[^{}]*\}", None),
+        ("SWALLOW-AND-SUCCESS", "HIGH", r"catch\s*\([^)]*\)\s*\{[^{}]*return\s+(?:true|\w+\.(?:ok|success)\([^)]*\))\s*;[^{}]*\}", None),
+        ("GENERIC-CATCH", "LOW", r"catch\s*\(\s*(?:final\s+)?(?:Exception|Throwable)\b", None),
+        ("RETRY-AMPLIFY", "HIGH", _LOOP + r"\b(?:retry\w*|\w*[rR]etry)\s*\(", r"\b(?:backoff|sleep|maxAttempts)\b"),
+        ("UNCLOSED-RESOURCE", "HIGH", r"\bnew\s+(?:File(?:Input|Output)Stream|FileReader|FileWriter|Socket)\b", r"\.close\(\)|try\s*\("),
+        ("EXECUTOR-PER-CALL", "HIGH", r"Executors\.new\w+\(", r"\.shutdown"),
+        ("SEMAPHORE-LEAK", "HIGH", r"\.acquire\(", r"finally\s*\{[^{}]*\.release\("),
+        ("LOCK-REMOTE-CALL", "HIGH", r"(?:synchronized\s*\([^)]*\)\s*\{|\.lock\(\)).*" + _REMOTE, None),
+        ("NPLUS1", "HIGH", _LOOP + r"\.(?:find\w*|select\w*|query\w*|get\w*ById|load\w*)\(", None),
+        ("ON2", "MEDIUM", r"\bfor\s*\([^)]*\)\s*\{(?:[^{}]|\{[^{}]*\})*?\b(?:for\s*\([^)]*\)\s*\{[^{}]*)\.(?:contains|indexOf|equals)\(", None),
+        ("REPEAT-SERIALIZE", "MEDIUM", _LOOP + r"(?:toJson|writeValueAsString|JSON\.toJSONString)\(", None),
+        ("UNBOUNDED-IN", "MEDIUM", r"\.(?:findAllById|selectBatchIds|in)\(\s*\w*[iI]ds\b", r"\b(?:partition|subList|limit)\b"),
+    )
+)
+_FIELD = re.compile(r"(?:^|(?<=[;{}]))\s*(?:(?:private|public|protected|static|final|volatile)\s+)+[\w<>\[\], ?]+?\s+(\w+)\s*(?:=[^;]*)?;", re.M)
+_LOCKED = re.compile(r"if\s*\(\s*(\w+)\s*==\s*null\s*\)\s*\{\s*synchronized[^{]*\{\s*if\s*\(\s*\1\s*==\s*null")
+_STATIC_MUTABLE = re.compile(r"\bstatic\s+(?!final\b)(?:\w+\s+)*?[\w<>, ]*\b(?:Map|List|Set|HashMap|ArrayList|HashSet)\b[\w<>, ]*\s+(\w+)")
 
 
 def method_rules(code: str) -> list[tuple[str, str, str, int]]:
-    """(rule, severity, method, line) for the structural rules."""
+    """(rule, severity, method, line) for the rules on single methods."""
     out = []
     for m in methods(code):
         lines = m["end_line"] - m["start_line"] + 1
@@ -152,17 +170,70 @@ def method_rules(code: str) -> list[tuple[str, str, str, int]]:
             ("CYCLOMATIC", "MEDIUM", m["cyclomatic"] > BRANCHES),
             ("DEEP-NESTING", "MEDIUM", m["nesting"] > DEPTH),
             ("LONG-PARAM-LIST", "LOW", m["parameters"] > PARAMETERS),
-            ("EMPTY-CATCH", "HIGH", bool(_EMPTY_CATCH.search(plain))),
-            ("CATCH-RETURN-NULL", "HIGH", bool(_CATCH_NULL.search(plain))),
-            ("GENERIC-CATCH", "LOW", bool(_GENERIC.search(plain))),
-            ("NPLUS1", "HIGH", bool(_LOOP_CALL.search(plain))),
-            ("UNCLOSED-RESOURCE", "HIGH", bool(_UNCLOSED.search(plain)) and ".close()" not in plain and "try (" not in plain),
-            ("EXECUTOR-PER-CALL", "HIGH", bool(_POOL.search(plain)) and ".shutdown" not in plain),
         )
         out += [(rule, severity, m["name"], m["start_line"]) for rule, severity, hit in checks if hit]
+        out += [(rule, severity, m["name"], m["start_line"]) for rule, severity, there, absent in BODY_RULES if there.search(plain) and not (absent and absent.search(plain))]
+    return out
+
+
+def class_rules(code: str) -> list[tuple[str, str, str, int]]:
+    """(rule, severity, name, line) for rules on a whole file."""
+    plain, out = blank(code), []
+    at = lambda i: plain.count("\n", 0, i) + 1
+    for m in _LOCKED.finditer(plain):
+        if not re.search(rf"\bvolatile\b[^;]*\b{re.escape(m.group(1))}\b", plain):
+            out.append(("DOUBLE-CHECK-NO-VOLATILE", "HIGH", m.group(1), at(m.start())))
+    for m in _STATIC_MUTABLE.finditer(plain):
+        out.append(("SHARED-MUTABLE", "HIGH", m.group(1), at(m.start())))
+    if plain.count("\n") + 1 > 10 * LINES:
+        out.append(("LARGE-CLASS", "LOW", "", 1))
+    return out
+
+
+def declared(code: str) -> list[tuple[str, str]]:
+    """(kind, name) of private methods, private fields, interfaces and implementations in Java-like code."""
+    plain = blank(code)
+    out = [("method", m.group(1)) for m in re.finditer(r"\bprivate\s+(?:static\s+)?[\w<>\[\], ?]+?\s+(\w+)\s*\(", plain)]
+    out += [("field", m.group(1)) for m in _FIELD.finditer(plain) if "private" in m.group()]
+    out += [("interface", m.group(1)) for m in re.finditer(r"\binterface\s+(\w+)", plain)]
+    for m in re.finditer(r"\bimplements\s+([\w, <>]+)", plain):
+        out += [("implements", x.strip().split("<")[0]) for x in m.group(1).split(",") if x.strip()]
     return out
 
 
+def declarations(files: DataFrame, key: str, code: str) -> DataFrame:
+    """(key, kind, name) of every file."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, kind, name) for k, text in zip(batch["key"], batch["code"], strict=True) for kind, name in declared(text or "")]
+            yield pd.DataFrame(rows, columns=["key", "kind", "name"])
+
+    return files.select(F.col(key).alias("key"), F.col(code).alias("code")).mapInPandas(run, f"key {dict(files.dtypes)[key]}, kind string, name string")
+
+
+def unused_members(files: DataFrame, key: str, code: str) -> DataFrame:
+    """(key, kind, name): private methods and fields whose name stands only once in their own file."""
+    members = declarations(files, key, code).where("kind in ('method', 'field')").distinct()
+    words = files.select(F.col(key).alias("key"), F.explode(F.regexp_extract_all(code, F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))).alias("name"))
+    counts = words.groupBy("key", "name").agg(F.count(F.lit(1)).alias("n"))
+    return members.join(counts, ["key", "name"]).where("n <= 1").select("key", "kind", "name")
+
+
+def single_implementations(files: DataFrame, key: str, code: str) -> DataFrame:
+    """(name, implementations): interfaces with at most one implementation in the whole corpus."""
+    found = declarations(files, key, code)
+    faces = found.where("kind = 'interface'").select("name").distinct()
+    made = found.where("kind = 'implements'").groupBy("name").agg(F.count(F.lit(1)).alias("implementations"))
+    return faces.join(made, "name", "left").select("name", F.coalesce("implementations", F.lit(0)).alias("implementations")).where("implementations <= 1")
+
+
+def unused_names(declared_names: DataFrame, texts: DataFrame, name: str, text: str) -> DataFrame:
+    """Declared names (configuration keys, dependencies) that no text holds, by an anti join on the texts' words."""
+    words = texts.select(F.explode(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_@][A-Za-z0-9_.@/\-]*"), F.lit(0))).alias(name)).distinct()
+    return declared_names.join(words, name, "left_anti")
+
+
 def scan(files: DataFrame, key: str, code: str) -> DataFrame:
     """(key, method, start_line, lines, cyclomatic, nesting, parameters, rules) for each method of each text."""
 

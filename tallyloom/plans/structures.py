@@ -42,6 +42,18 @@ def b12_method_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return codeblocks.scan(_code(spark, folder), "doc_id", "code")
 
 
+@book.query(r"""with w as (select distinct unnest(regexp_extract_all(text, '[A-Za-z0-9_@][A-Za-z0-9_.@/\-]*')) as rule_id from documents) select distinct rule_id from findings where rule_id not in (select rule_id from w)""")
+def b10_unused_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Declared names, here rule ids, that no text holds."""
+    names = table(spark, folder, "findings").select("rule_id").distinct()
+    return codeblocks.unused_names(names, table(spark, folder, "documents"), "rule_id", "text")
+
+
+@book.query()
+def b1_declarations(spark: SparkSession, folder: str) -> DataFrame:
+    return codeblocks.declarations(_code(spark, folder), "doc_id", "code").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _diff_texts(spark: SparkSession, folder: str) -> DataFrame:
     """A small diff for each finding, made from its own columns."""
     path = F.col("file")

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions.schema import broken_rules
@@ -60,6 +61,41 @@ def test_methods_and_rules():
     assert codeblocks.methods("") == []
 
 
+RULE_CASES = [
+    ("RETRY-AMPLIFY", "for (int i = 0; i < n; i++) { client.retry(x); }", "for (int i = 0; i < n; i++) { retry(x); sleep(backoff); }"),
+    ("SWALLOW-AND-SUCCESS", "try { a(); } catch (IOException e) { return true; }", "try { a(); return true; } catch (IOException e) { throw e; }"),
+    ("UNCLOSED-RESOURCE", "FileReader r = new FileReader(f); r.read();", "try (FileReader r = new FileReader(f)) { r.read(); }"),
+    ("EXECUTOR-PER-CALL", "Executors.newFixedThreadPool(2).submit(x);", "var p = Executors.newFixedThreadPool(2); p.submit(x); p.shutdown();"),
+    ("SEMAPHORE-LEAK", "s.acquire(); work(); s.release();", "s.acquire(); try { work(); } finally { s.release(); }"),
+    ("LOCK-REMOTE-CALL", "lock.lock(); userClient.fetch(a);", "userClient.fetch(a); "),
+    ("NPLUS1", "for (A a : as) { repo.findById(a); }", "repo.findAll(as);"),
+    ("REPEAT-SERIALIZE", "for (A a : as) { out(toJson(a)); }", "out(toJson(as));"),
+    ("ON2", "for (A a : as) { for (B b : bs) { if (b.equals(a)) { n++; } } }", "for (A a : as) { if (set.contains(a)) { n++; } }"),
+    ("UNBOUNDED-IN", "repo.findAllById(userIds);", "for (var part : partition(userIds)) { repo.findAllById(part); }"),
+]
+
+
+@pytest.mark.parametrize(("rule", "bad", "good"), RULE_CASES)
+def test_body_rules(rule, bad, good):
+    hits = lambda body: {r for r, *_ in codeblocks.method_rules("class A { public void m(int a) { %s } }" % body)}
+    assert rule in hits(bad) and rule not in hits(good)
+    assert rule not in hits(f'String s = "{bad.replace(chr(34), "")}";')
+
+
+def test_class_rules_and_corpus_rules(spark):
+    lazy = "class L { private static L one; static L get() { if (one == null) { synchronized (L.class) { if (one == null) { one = new L(); } } } return one; } }"
+    assert {r for r, *_ in codeblocks.class_rules(lazy)} == {"DOUBLE-CHECK-NO-VOLATILE"}
+    assert codeblocks.class_rules(lazy.replace("private static", "private static volatile")) == []
+    assert [r for r, *_ in codeblocks.class_rules("class S { static Map<String, A> cache = new HashMap<>(); static final List<A> X = List.of(); }")] == ["SHARED-MUTABLE"]
+    files = [(1, "interface P { } interface Q { } class A implements P, Q { private int used; private int spare; private void gone() { } private void kept() { used = 1; kept(); } }"), (2, "class B implements P { }"), (3, None)]
+    df = spark.createDataFrame(files, "id int, code string")
+    assert sorted(r["name"] for r in codeblocks.unused_members(df, "id", "code").collect()) == ["gone", "spare"]
+    assert [tuple(r) for r in codeblocks.single_implementations(df, "id", "code").collect()] == [("Q", 1)]
+    names = spark.createDataFrame([("app.limit",), ("app.gone",)], "name string")
+    texts = spark.createDataFrame([("get(app.limit)",), (None,)], "t string")
+    assert [r["name"] for r in codeblocks.unused_names(names, texts, "name", "t").collect()] == ["app.gone"]
+
+
 def test_token_windows(spark):
     a = "x = 1 + y; " * 12
     b = "zz = 77 + q; " * 12
