@@ -81,9 +81,14 @@ def j12_isolated_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return diagrams.isolated(diagrams.read_flows(_flows(spark, folder), "repo", "dsl"))
 
 
-@book.query()
+@book.query("""with n as (select repo as key, count(distinct replace(lower(trim(provider)), '-', '_')) as n from tool_timings where provider is not null group by 1)
+select key, case when n = 1 then 3 else n + 1 end as nodes, case when n = 1 then 1 else n - 1 end as edges, 0::bigint as broken from n""")
 def v13_diagram_lint(spark: SparkSession, folder: str) -> DataFrame:
-    return diagrams.lint(diagrams.read_flows(_flows(spark, folder), "repo", "dsl"))
+    """Size of every diagram and the number of lint rules it breaks."""
+    flows = diagrams.read_flows(_flows(spark, folder), "repo", "dsl")
+    broken = diagrams.lint(flows).groupBy("key").agg(F.count(F.lit(1)).alias("broken"))
+    sizes = flows.select("key", F.size("nodes").cast("long").alias("nodes"), F.size("edges").cast("long").alias("edges"))
+    return sizes.join(broken, "key", "left").withColumn("broken", F.coalesce("broken", F.lit(0)))
 
 
 @book.query("""with p as (select distinct lower(trim(provider)) as name from tool_timings where provider is not null), d as (select provider as name from providers where provider <> 'pmd' union select 'gone')

@@ -49,11 +49,6 @@ def b10_unused_names(spark: SparkSession, folder: str) -> DataFrame:
     return codeblocks.unused_names(names, table(spark, folder, "documents"), "rule_id", "text")
 
 
-@book.query()
-def b1_declarations(spark: SparkSession, folder: str) -> DataFrame:
-    return codeblocks.declarations(_code(spark, folder), "doc_id", "code").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-
-
 def _diff_texts(spark: SparkSession, folder: str) -> DataFrame:
     """A small diff for each finding, made from its own columns."""
     path = F.col("file")
