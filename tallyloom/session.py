@@ -25,12 +25,16 @@ def build_session(master: str = "local[8]", name: str = "tallyloom", shuffle_par
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; only where none is named (tests) make one."""
+    """Use the folder the cluster names in spark.checkpoint.dir; only in local mode (tests) make one where none is named."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyloom-checkpoint-"))
+    if not named:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="tallyloom-checkpoint-")
+    context.setCheckpointDir(named)
 
 
 def cut(df: DataFrame) -> DataFrame:
