@@ -69,12 +69,12 @@ COURTESY = re.compile(
     "|".join(
         (
             r"^(?:i'm |i am |we are |we're )?(?:very |so |really )?(?:sorry|apolog\w*|unfortunately|regrettably|with (?:all )?respect|thank you|thanks)\b.{0,60}$",
-            r"\b(?:feel free to|please) (?:ask|contact|consult|reach|try|refer|get in touch|turn|see)\b.{0,70}|\bask (?:me )?(?:something|anything) else\b|\b(?:qualified )?(?:specialist|professional|expert)\b|\bi hope you understand\b|\bthank you for (?:your )?(?:understanding|asking|patience)\b|\blet me know if\b|\bi understand\b.{0,60}",
-            r"^(?:抱歉|对不起|很遗憾|非常抱歉|不好意思|谢谢|感谢|请谅解|望谅解|敬请|请见谅|见谅).{0,20}$|请?(?:咨询|联系|询问|求助).{0,14}(?:专业|人士|专家|团队|客服|负责人|他人)|请?换一?个(?:问题|话题)|(?:如|若)?有?其他(?:需要|问题).{0,16}|望谅解|理解你|再来问我|欢迎.{0,10}",
+            r"\b(?:feel free to|please) (?:ask|contact|consult|reach|try|refer|get in touch|turn|see)\b.{0,70}|\bask (?:me )?(?:something|anything) else\b|\b(?:please|kindly|try|choose|pick|rephrase)\b.{0,30}\b(?:question|topic|subject|request|prompt)s?\b|\b(?:another|a different) (?:question|topic|subject|request)\b|\b(?:qualified )?(?:specialist|professional|expert)\b|\bi hope you understand\b|\bthank you for (?:your )?(?:understanding|asking|patience)\b|\blet me know if\b|\bi understand\b.{0,60}",
+            r"^(?:抱歉|对不起|很遗憾|非常抱歉|不好意思|谢谢|感谢|请谅解|望谅解|敬请|请见谅|见谅).{0,20}$|请?(?:咨询|联系|询问|求助).{0,14}(?:专业|人士|专家|团队|客服|负责人|他人)|请?(?:另|再)?(?:换|选|提)一?个(?:别的|其他)?(?:问题|话题)|(?:如|若)?有?其他(?:需要|问题).{0,16}|望谅解|理解你|再来问我|欢迎.{0,10}",
             r"^(?:申し訳|恐れ入り|すみません|残念ながら|大変恐縮).{0,20}$|ご(?:了承|理解|容赦|相談|連絡|遠慮).{0,16}|専門(?:の方|家).{0,16}|別の(?:質問|ご質問).{0,16}|お尋ねください",
-            r"^(?:leider|es tut mir leid|tut mir leid|entschuldigung|danke|vielen dank|bei allem verständnis|bedaure).{0,40}$|\b(?:wenden sie sich|fragen sie|bitte (?:fragen|wenden|stellen)|fachleute|fachperson|fachkraft|fachmann|ich bitte um verständnis|danke für (?:ihr|dein) verständnis|andere frage|etwas anderes)\b.{0,60}",
-            r"^(?:désolée?|malheureusement|je regrette|pardon|merci|je suis désolée?).{0,50}$|\b(?:veuillez|adressez|consultez|demandez|posez|n'hésitez pas|merci de votre compréhension|un spécialiste|un expert|autre question|autre chose)\b.{0,60}",
-            r"^(?:lo siento|por desgracia|lamentablemente|perdón|disculp\w+|gracias|lo lamento).{0,50}$|\b(?:consulte|consulta|pregunte|pregúnteme|pregunta\w*|diríjase|acuda|gracias por su comprensión|un especialista|un experto|otra cosa|otra pregunta|hable con)\b.{0,60}",
+            r"^(?:leider|es tut mir leid|tut mir leid|entschuldigung|danke|vielen dank|bei allem verständnis|bedaure).{0,40}$|\b(?:wenden sie sich|fragen sie|bitte (?:fragen|wenden|stellen)|fachleute|fachperson|fachkraft|fachmann|ich bitte um verständnis|danke für (?:ihr|dein) verständnis|andere frage|etwas anderes|verständnis)\b.{0,60}",
+            r"^(?:désolée?|malheureusement|je regrette|pardon|merci|je suis désolée?).{0,50}$|\b(?:veuillez|adressez|consultez|demandez|posez|n'hésitez pas|merci de votre compréhension|un spécialiste|un expert|autre question|autre chose|question différente|compréhension)\b.{0,60}",
+            r"^(?:lo siento|por desgracia|lamentablemente|perdón|disculp\w+|gracias|lo lamento).{0,50}$|\b(?:consulte|consulta|pregunte|pregúnteme|pregunta\w*|diríjase|acuda|gracias por su comprensión|un especialista|un experto|otra cosa|otra pregunta|pregunta distinta|comprensión|hable con)\b.{0,60}",
             r"^(?:к сожалению|извините|простите|спасибо|죄송합니다|미안합니다).{0,40}$",
         )
     ),

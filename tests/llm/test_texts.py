@@ -20,6 +20,7 @@ PROSE = "The cache layer keeps what was asked for before. It saves a trip to the
         (None, PROMPT, "empty"), ("", PROMPT, "empty"), ("​ \n", PROMPT, "empty"), ("```\n```", PROMPT, "empty"), ("(no output)", PROMPT, "empty"), ("N/A", PROMPT, "empty"), ("<br>", PROMPT, "empty"), ("（空）", PROMPT, "empty"),
         ("I'm sorry, but I can't help with that.", PROMPT, "refusal"), ("抱歉，这个问题我无法回答。请咨询专业人士。", "缓存层有什么用？", "refusal"), ("Leider muss ich diese Bitte ablehnen.", "Was macht der Cache?", "refusal"), ("申し訳ありませんが、回答を控えさせていただきます。", "キャッシュとは何ですか？", "refusal"),
         ("Désolé, je ne peux pas répondre à cette demande.", "À quoi sert le cache ?", "refusal"), ("Lo siento, prefiero no contestar.", "¿Para qué sirve la caché?", "refusal"),
+        ("Apologies: I cannot comply. Please choose a different question.", PROMPT, "refusal"), ("The cache cannot recover on its own, and nobody can help it without a restart. " + PROSE, PROMPT, None),
         ("I cannot comply with the old limit, so the new one is 5. " + PROSE, PROMPT, None),
         (PROMPT, PROMPT, "copied_question"), (f"Your question: {PROMPT.lower()}", PROMPT, "copied_question"), (f"Q: {PROMPT}\nA:", PROMPT, "copied_question"), (f"{PROMPT}\n{PROMPT}", PROMPT, "copied_question"), (f"{PROMPT}\n\n{PROSE}", PROMPT, None),
         ("Die Schlange bleibt kurz, weil der Dienst nur noch zwei Sekunden braucht.", PROMPT, "other_language"), (PROSE, "缓存层有什么用？", "other_language"), (PROSE, "缓存层变慢的原因，麻烦用英语回答", None), ("缓存层保存以前问过的内容，所以第二次很快。", "缓存层变慢的原因，麻烦用英语回答", "other_language"),
