@@ -96,10 +96,10 @@ def t23_fact_density(spark: SparkSession, folder: str) -> DataFrame:
     return _docs(spark, folder).select("doc_id", F.round(fx.fact_density(F.col("text")), 6).alias("density"))
 
 
-@book.query(r"""select doc_id, list_filter(['CHM-[A-Z-]+', '[0-9]+[.,][0-9]+', '```', '[A-Za-z]+/[A-Za-z]+'], lambda p: regexp_matches(text, p)) as hits,
-  len(list_filter(['CHM-[A-Z-]+', '[0-9]+[.,][0-9]+', '```', '[A-Za-z]+/[A-Za-z]+'], lambda p: regexp_matches(text, p))) / 4 as coverage from documents""")
+@book.query(r"""select doc_id, list_filter(['[A-Z]{2,}-[A-Z-]+', '[0-9]+[.,][0-9]+', '```', '[A-Za-z]+/[A-Za-z]+'], lambda p: regexp_matches(text, p)) as hits,
+  len(list_filter(['[A-Z]{2,}-[A-Z-]+', '[0-9]+[.,][0-9]+', '```', '[A-Za-z]+/[A-Za-z]+'], lambda p: regexp_matches(text, p))) / 4 as coverage from documents""")
 def t24_regex_battery(spark: SparkSession, folder: str) -> DataFrame:
-    battery = ["CHM-[A-Z-]+", "[0-9]+[.,][0-9]+", "```", "[A-Za-z]+/[A-Za-z]+"]
+    battery = ["[A-Z]{2,}-[A-Z-]+", "[0-9]+[.,][0-9]+", "```", "[A-Za-z]+/[A-Za-z]+"]
     hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(p)) for p in battery]))
     return _docs(spark, folder).select("doc_id", hits.alias("hits"), (F.size(hits) / len(battery)).alias("coverage"))
 
