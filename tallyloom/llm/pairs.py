@@ -34,7 +34,8 @@ def with_prompts(answers: DataFrame, cases: DataFrame) -> DataFrame:
     prompts = cases.where("id is not null").groupBy(case_id("id").alias("case")).agg(F.max("prompt").alias("prompt"))
     copied = prompts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     salted = answers.withColumn("case", case_id("id")).withColumn("salt", salt_of("key", buckets=SPREAD))
-    return salted.join(copied, ["case", "salt"]).select("key", "text", "prompt")
+    # The planner does not see that the prompts were unfolded and might take them for small: no broadcast here.
+    return salted.join(copied.hint("merge"), ["case", "salt"]).select("key", "text", "prompt")
 
 
 def examined(pairs: DataFrame) -> DataFrame:
