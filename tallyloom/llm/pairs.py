@@ -3,7 +3,7 @@
 Answers are joined to their prompt on the case id (letter case and outer spaces aside) with the answers of a case
 spread over ``SPREAD`` salts and the prompt copied to each, so a case with a third of all answers is joined in many
 tasks. One pass examines whole answers; the tails that sentences close with are counted over all answers, and an answer
-whose last list item ends in a tail that no sentence closes with breaks off.
+whose last list item ends in a tail that seldom closes a sentence (``OFTEN``) breaks off.
 
 Defined cases: answers whose id is null or no case's are not judged; a null answer is ``empty``; a null prompt leaves
 only the checks that need none; several prompts of one case count as the one that sorts last; repeated answers are
@@ -23,6 +23,8 @@ from tallyloom.operators.scale import salt_of
 from tallyloom.session import cut
 
 SPREAD = 16
+#: A tail closes sentences if it does so in more than this many times the answers that it ends without a terminator.
+OFTEN = 2
 
 
 def case_id(column: str) -> Column:
@@ -59,7 +61,9 @@ def examined(pairs: DataFrame) -> DataFrame:
 def defective(answers: DataFrame, cases: DataFrame) -> DataFrame:
     """(key, defect), one row for each defective answer."""
     seen = cut(examined(with_prompts(answers, cases)))
-    known = seen.select(F.explode("closings").alias("tail")).distinct().withColumn("known", F.lit(True))
     open_ends = seen.where("defect is null and tail is not null").select("key", "tail")
-    broken = open_ends.join(known, "tail", "left_anti").select("key", F.lit("truncated").alias("defect"))
+    asked = open_ends.groupBy("tail").agg(F.count(F.lit(1)).alias("asked"))
+    closed = seen.select(F.explode("closings").alias("tail")).groupBy("tail").agg(F.count(F.lit(1)).alias("closed"))
+    no_close = asked.join(closed, "tail", "left").where(F.coalesce("closed", F.lit(0)) <= OFTEN * F.col("asked")).select("tail")
+    broken = open_ends.join(no_close, "tail", "left_semi").select("key", F.lit("truncated").alias("defect"))
     return seen.where("defect is not null").select("key", "defect").unionByName(broken)
