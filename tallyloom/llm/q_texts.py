@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.pairs import defective
 from tallyloom.llm.repetition import repetitive, shares
-from tallyloom.llm.texttypes import measure, no_prose, typed
+from tallyloom.llm.texttypes import is_no_prose, measure, no_prose, typed
 from tallyloom.session import cut
 from tallyloom.sources import table
 
@@ -32,7 +32,7 @@ def typed_outputs(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = typed_outputs(spark, folder).where("origin = 'runs_r10'")
-    judged = rows.join(no_prose(rows).select("key"), "key", "left_anti").select("key", "id", "text")
+    judged = rows.where(~is_no_prose()).select("key", "id", "text")
     return defective(judged, table(spark, folder, "evals").select("id", "prompt")).select(F.col("key").alias("run_key"), "defect")
 
 
@@ -71,8 +71,7 @@ def p3_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = typed_outputs(spark, folder)
-    rest = cut(rows.join(no_prose(rows).select("key"), "key", "left_anti").select("key", "text"))
+    rest = typed_outputs(spark, folder).where(~is_no_prose()).select("key", "text")
     return repetitive(rest, "key", "text").select(F.col("key").alias("run_key"))
 
 

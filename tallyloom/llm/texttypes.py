@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.shape import shape
@@ -146,11 +146,16 @@ def typed(measured: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = Non
     return measured.join(F.broadcast(measured.sparkSession.createDataFrame(rows, schema)), "votes")
 
 
-def no_prose(typed_texts: DataFrame) -> DataFrame:
-    """Rows that are a list, a table or junk, with the exact check of what a list or table must hold."""
+def is_no_prose() -> Column:
+    """Whether a typed row is a list, a table or junk, with the exact check of what a list or table must hold. False, not
+    null, for a null text."""
     held = (
         ((F.col("kind") == "list") & (F.greatest("entry_share", "row_share") >= WHOLE))
         | ((F.col("kind") == "table") & (F.col("row_share") >= WHOLE))
         | ((F.col("kind") == "junk") & (F.col("votes").bitwiseAND(JUNK_VOTES) != 0))
     )
-    return typed_texts.where(held & (F.length("text") >= LEAST_CHARS) & (F.col("code_share") < 0.5))
+    return F.coalesce(held & (F.length("text") >= LEAST_CHARS) & (F.col("code_share") < 0.5), F.lit(False))
+
+
+def no_prose(typed_texts: DataFrame) -> DataFrame:
+    return typed_texts.where(is_no_prose())
