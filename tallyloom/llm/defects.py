@@ -6,7 +6,9 @@ The checks, in this order; the first that holds names the defect.
 * ``refusal``: every sentence is taken by the refusal grammar (apology, refusing act, courtesy) and one of them refuses.
 * ``copied_question``: greedy string tiling of the answer with the prompt leaves next to nothing of the answer.
 * ``other_language``: most of the text is in another language (scripts, then function words) than the one the prompt asks
-  for or, if it asks for none, is written in.
+  for or, if it asks for none, is written in. Short answers too; not judged are texts without words, one or two Latin
+  words without a function word (they may be names), fewer than eight Han signs under a Japanese prompt, and which Latin
+  language it is if the prompt's is not known.
 * ``truncated``: a pushdown parser over fences, brackets, quotations, list items, table rows and markup ends with
   something open, or the last unit of running text ends without an end. A last list item without a terminator is left
   to the corpus: :func:`examine` hands out its tail, which must be one that sentences of all answers close with.
@@ -19,8 +21,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
-from tallyloom.llm.languages import asked_language, weights
+from tallyloom.llm.languages import FUNCTION_WORDS, asked_language, foreign_words, weights
 from tallyloom.llm.shape import FENCE, HEADING, MARKER, RULE_LINE
 
 DEFECTS = ("empty", "refusal", "copied_question", "other_language", "truncated")
@@ -178,20 +181,30 @@ def is_copy(text: str, prompt: str) -> bool:
 
 
 # --- language -----------------------------------------------------------------------------------------------------------
+@lru_cache(maxsize=4096)
+def expected_language(prompt: str) -> str | None:
+    """The language asked for, else the prompt's own: "latin" if that has no list of words, None without words."""
+    asked = asked_language(prompt)
+    found = weights(prompt)
+    if asked or not found:
+        return asked
+    own = max(found, key=lambda x: found[x])
+    return "latin" if own in FUNCTION_WORDS and foreign_words(prompt, own, found) else own
+
+
 def other_language(text: str, prompt: str) -> bool:
-    found = weights(text)
-    total = sum(found.values())
-    if total < 6:
-        return False
-    expected = asked_language(prompt)
+    expected = expected_language(prompt)
     if expected is None:
-        of_prompt = weights(prompt)
-        if not of_prompt:
-            return False
-        expected = max(of_prompt, key=lambda x: of_prompt[x])
-    if expected == "latin":
         return False
-    foreign = sum(n for language, n in found.items() if language not in (expected, "latin", "it", "pt", "nl"))
+    found = weights(text)
+    total = sum(found.values())
+    foreign = 0.0
+    for language, n in found.items():
+        if language == "latin" or language in FUNCTION_WORDS:
+            foreign += n * foreign_words(text, expected, found)
+        elif language != expected and not (language == "zh" and expected == "ja" and total < 4):
+            # A few Han signs without kana may be Japanese.
+            foreign += n
     return foreign > 0.5 * total
 
 

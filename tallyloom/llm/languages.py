@@ -63,6 +63,45 @@ def weights(text: str) -> dict[str, float]:
     return out
 
 
+#: Letters beyond a to z that a language's own words have.
+LETTERS = {"en": "", "de": "äöüß", "fr": "àâæçéèêëîïôœùûüÿ", "es": "áéíñóúü", "it": "àèéìíîòóù", "pt": "àáâãçéêíóôõúü", "nl": "áéèëíïóöúü"}
+_OWN = {language: frozenset(words.split()) for language, words in FUNCTION_WORDS.items()}
+_ODD = {language: re.compile(rf"[^a-z{letters}]") for language, letters in LETTERS.items()}
+#: So many words of running text hold function words; text of a listed language has more than this share of them.
+SURE, LEAST_OWN = 10, 0.1
+#: Languages whose lists share much with others': these are told by a margin of the words not shared.
+CLOSE, MARGIN = {"it", "pt", "nl"}, 1.5
+
+
+def foreign_words(text: str, expected: str, found: dict[str, float]) -> bool:
+    """Whether the Latin words of a text are in another language than ``expected``, a language or "latin" (not known). ``found`` is the
+    text's weights.
+
+    A listed language is told by the function words that it does not share with the expected one. A language without a
+    list is told by what is missing: next to no function words of the expected language, or no more of them than
+    words with letters that it does not write.
+    """
+    # Each word once: one that is said over and over tells no more.
+    words = {w.lower() for w in _LATIN_WORD.findall(without_code(text))}
+    top = next((x for x in found if x in _OWN), None)
+    n = len(words)
+    if expected == "latin" or not n:
+        return False
+    if expected in _BY_SCRIPT.values() or expected in ("zh", "ja"):
+        # One or two words may be names.
+        return n > 2 or top is not None
+    if expected not in _OWN:
+        return top is not None and n >= SURE and len(words & _OWN[top]) >= 2 * LEAST_OWN * n
+    if top and top != expected:
+        if n >= 6 and not {top, expected} & CLOSE:
+            return True
+        only_top, only_own = len(words & (_OWN[top] - _OWN[expected])), len(words & (_OWN[expected] - _OWN[top]))
+        if only_top >= 2 and only_top > MARGIN * only_own:
+            return True
+    own, odd = len(words & _OWN[expected]), sum(bool(_ODD[expected].search(w)) for w in words)
+    return odd >= max(2, own) or n >= SURE and own < LEAST_OWN * n
+
+
 def main_language(text: str) -> tuple[str | None, float]:
     """The language that most of the text is in, and its share; None for a text without words."""
     found = weights(text)
@@ -86,6 +125,22 @@ LANGUAGE_NAMES = {
     "ar": "arabic|arabisch\\w*|arabe|árabe|阿拉伯语|アラビア語",
     "pt": "portuguese|portugiesisch\\w*|portugais\\w*|portugués|portuguesa|葡萄牙语|ポルトガル語",
     "it": "italian|italienisch\\w*|italien\\w*|italiano|italiana|意大利语|イタリア語",
+    "nl": "dutch|niederländisch\\w*|holländisch\\w*|néerlandais\\w*|neerlandés|neerlandesa|holandés|荷兰语|荷兰文|オランダ語",
+    "pl": "polish|polnisch\\w*|polonais\\w*|polaco|polaca|波兰语|波兰文|ポーランド語",
+    "tr": "turkish|türkisch\\w*|turc|turque|turco|turca|土耳其语|土耳其文|トルコ語",
+    "sv": "swedish|schwedisch\\w*|suédois\\w*|sueco|sueca|瑞典语|瑞典文|スウェーデン語",
+    "da": "danish|dänisch\\w*|danois\\w*|danés|danesa|丹麦语|デンマーク語",
+    "no": "norwegian|norwegisch\\w*|norvégien\\w*|noruego|noruega|挪威语|ノルウェー語",
+    "fi": "finnish|finnisch\\w*|finnois\\w*|finlandés|finlandesa|芬兰语|フィンランド語",
+    "cs": "czech|tschechisch\\w*|tchèque|checo|checa|捷克语|チェコ語",
+    "hu": "hungarian|ungarisch\\w*|hongrois\\w*|húngaro|húngara|匈牙利语|ハンガリー語",
+    "ro": "romanian|rumänisch\\w*|roumain\\w*|rumano|rumana|罗马尼亚语|ルーマニア語",
+    "vi": "vietnamese|vietnamesisch\\w*|vietnamien\\w*|vietnamita|越南语|越南文|ベトナム語",
+    "id": "indonesian|indonesisch\\w*|indonésien\\w*|indonesio|indonesia|印尼语|インドネシア語",
+    "th": "thai|thailändisch\\w*|thaï|tailandés|泰语|泰文|タイ語",
+    "hi": "hindi|印地语|ヒンディー語",
+    "el": "greek|griechisch\\w*|grec|grecque|griego|griega|希腊语|ギリシャ語",
+    "he": "hebrew|hebräisch\\w*|hébreu|hebreo|希伯来语|ヘブライ語",
 }
 _ASKED = {
     language: re.compile(rf"\b(?:in|into|to|auf|ins|en|au|al)\s+(?:the\s+)?(?:{names})\b|(?:用|以|成|译为|译成|为)\s*(?:{names})|(?:{names})(?:版|回答|写|で|に)|\b(?:{names})\s+(?:version|answer|reply|translation)\b", re.I)

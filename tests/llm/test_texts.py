@@ -33,6 +33,27 @@ def test_defects(text, prompt, defect):
     assert defects.examine(text, prompt)[0] == defect
 
 
+PROMPTS = {"en": PROMPT, "de": "Was macht der Cache und warum ist er so langsam?", "fr": "À quoi sert le cache et pourquoi est-il lent ?", "es": "¿Para qué sirve la caché y por qué es tan lenta?", "zh": "缓存层有什么用？"}
+ANSWERS = {
+    "it": "La cache conserva quello che è stato chiesto prima. Così la seconda richiesta è più veloce e gli utenti non aspettano.", "pt": "A cache guarda o que foi pedido antes. Assim o segundo pedido é mais rápido e os utilizadores não esperam.", "nl": "De cache bewaart wat eerder is gevraagd. Daardoor gaat het de tweede keer sneller en wachten de gebruikers niet.",
+    "pl": "Pamięć podręczna przechowuje to, o co pytano wcześniej. Dzięki temu drugie zapytanie trwa krócej i nikt nie czeka na odpowiedź.", "tr": "Önbellek daha önce sorulanları saklar. Bu yüzden ikinci istek daha hızlıdır ve kullanıcılar beklemez.", "sv": "Cachen sparar det som har frågats tidigare. Därför går den andra frågan snabbare och användarna slipper vänta.", "da": "Cachen gemmer det, der er blevet spurgt om før. Derfor går det hurtigere anden gang, og brugerne slipper for at vente.",
+    "fr": "Le cache garde ce qui a été demandé. Il évite un trajet vers le dépôt.", "es": "La caché guarda lo que ya se pidió. Así se evita un viaje al almacén.", "de": "Der Cache hält, was schon gefragt wurde. Das spart einen Weg zum Speicher.", "en": PROSE, "zh": "缓存层保存问过的内容。",
+}
+
+
+@pytest.mark.parametrize("expected", sorted(PROMPTS))
+def test_any_other_language(expected):
+    assert [a for a, text in ANSWERS.items() if not defects.other_language(text, PROMPTS[expected])] == [expected]
+
+
+def test_short_and_asked_languages():
+    assert defects.other_language("很快。", PROMPT) and defects.other_language("It is fast.", PROMPTS["zh"]) and defects.other_language("Non è così.", PROMPT) and defects.other_language("很快。", "Explain cache layers")
+    assert not any(defects.other_language(t, PROMPTS["zh"]) for t in ("很快。", "Redis", "Redis cache"))
+    assert not defects.other_language("No.", PROMPT) and not defects.other_language("二時間以内。", "キャッシュはいつ消えますか？")
+    assert not defects.other_language(ANSWERS["nl"], "Answer in Dutch: what is it?") and not defects.other_language(ANSWERS["pl"], "请用波兰语回答") and defects.other_language(PROSE, "Answer in Polish: what is it?")
+    assert not defects.other_language(ANSWERS["it"], "Cosa fa la cache e perché non è veloce?") and not defects.other_language(ANSWERS["pl"], "Do czego służy pamięć podręczna i dlaczego jest wolna?")
+
+
 def test_tiles_equal_brute_force():
     rnd = random.Random(7)
     for _ in range(300):
