@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 from tallyloom.llm.languages import FUNCTION_WORDS, asked_language, foreign_words, weights
@@ -86,16 +87,13 @@ COURTESY = re.compile(
 _SENTENCE = re.compile(r"[^.!?。！？\n]*[.!?。！？]+[\"'”’»」』)\]）]*(?=\s|$)|[^.!?。！？\n]*[。！？]+[”’」』）]*|[^\n]+")
 
 
-def sentences(text: str) -> list[str]:
-    return [s for m in _SENTENCE.finditer(text) if (s := m.group().strip(" \t\"'“”「」*_>#-")) and re.search(r"\w", s)]
+def sentences(text: str) -> Iterator[str]:
+    return (s for m in _SENTENCE.finditer(text) if (s := m.group().strip(" \t\"'“”「」*_>#-")) and re.search(r"\w", s))
 
 
 def is_refusal(text: str) -> bool:
-    if len(text) > 1500:
-        return False
-    found = sentences(unicodedata.normalize("NFKC", text).replace("’", "'"))
     refused = False
-    for s in found:
+    for s in sentences(unicodedata.normalize("NFKC", text).replace("’", "'")):
         if REFUSES.search(s):
             refused = True
         elif not COURTESY.search(s):

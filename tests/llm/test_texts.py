@@ -54,6 +54,12 @@ def test_short_and_asked_languages():
     assert not defects.other_language(ANSWERS["it"], "Cosa fa la cache e perché non è veloce?") and not defects.other_language(ANSWERS["pl"], "Do czego służy pamięć podręczna i dlaczego jest wolna?")
 
 
+@pytest.mark.parametrize("refusal", ["I'm sorry, but I can't help with that. Please ask a different question. ", "抱歉，这个问题我无法回答。请咨询专业人士。\n"])
+def test_long_refusals(refusal):
+    assert defects.examine(refusal * 100, PROMPT)[0] == "refusal"
+    assert not defects.is_refusal(refusal * 100 + PROSE)
+
+
 def test_tiles_equal_brute_force():
     rnd = random.Random(7)
     for _ in range(300):
