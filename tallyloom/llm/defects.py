@@ -13,8 +13,8 @@ The checks, in this order; the first that holds names the defect.
   something open, or the last unit of running text ends without an end. A last list item without a terminator is left
   to the corpus: :func:`examine` hands out its tail, which must be one that sentences of all answers close with.
 
-Every check reads the whole text in time linear in its length (the tiling by a suffix automaton); an answer far longer
-than its prompt cannot be a copy and is not tiled.
+Every check reads the whole text in time linear in its length (the tiling by a suffix automaton); an answer that holds
+too few of its prompt's shortest tiles to be covered by them is not tiled.
 """
 
 from __future__ import annotations
@@ -171,9 +171,13 @@ def tiled(answer: str, prompt: str, least: int) -> tuple[int, int]:
 
 def is_copy(text: str, prompt: str) -> bool:
     a, p = bare(text).replace(" ", ""), bare(prompt).replace(" ", "")
-    if not a or not p or len(a) > 4 * len(p) + 40:
+    if not a or not p:
         return False
     least = min(5, max(2, len(p) // 4))
+    # A tile of n characters starts n - least + 1 shortest tiles, so it has at most ``least`` times as many characters.
+    known = {p[i : i + least] for i in range(len(p) - least + 1)}
+    if least * sum(a[i : i + least] in known for i in range(len(a) - least + 1)) < 0.6 * len(a):
+        return False
     of_answer, of_prompt = tiled(a, p, least)
     return of_prompt >= 0.8 * len(p) and len(a) - of_answer <= max(14, 0.25 * len(a)) and of_answer >= 0.6 * len(a)
 

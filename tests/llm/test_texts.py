@@ -60,6 +60,23 @@ def test_long_refusals(refusal):
     assert not defects.is_refusal(refusal * 100 + PROSE)
 
 
+@pytest.mark.parametrize("prompt", [PROMPT, "缓存层有什么用？"])
+def test_copies_of_any_number(prompt):
+    for times in (1, 4, 5, 50):
+        assert defects.examine("\n".join([prompt] * times), prompt)[0] == "copied_question"
+    assert not defects.is_copy("\n".join([prompt] * 50) + PROSE * 30, prompt)
+
+
+def test_copies_equal_tiling_alone():
+    rnd = random.Random(8)
+    for _ in range(500):
+        p = "".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 30)))
+        a = "".join(p[rnd.randrange(len(p)) :] if rnd.random() < 0.7 else rnd.choice("abcx") * 3 for _ in range(rnd.randrange(1, 9)))
+        covered, of_prompt = defects.tiled(a, p, min(5, max(2, len(p) // 4)))
+        whole = of_prompt >= 0.8 * len(p) and len(a) - covered <= max(14, 0.25 * len(a)) and covered >= 0.6 * len(a)
+        assert defects.is_copy(a, p) == whole
+
+
 def test_tiles_equal_brute_force():
     rnd = random.Random(7)
     for _ in range(300):
