@@ -6,13 +6,14 @@ occurrence may overlap the earlier one, so short bits in a row count), or in a l
 paragraph of any length. The repeated share weighs units by their characters. :func:`repeated_share` is this rule.
 
 Screen. :func:`quick_score` is a cheap statistic inside the JVM: the share of a text's unit windows that are not
-distinct. Documents whose score reaches the cutoff of their stratum (script and length) are rejected as repetitive. The
+distinct. Documents whose score reaches the cutoff of their stratum (script and length) are rejected by the screen. The
 cutoffs are chosen on a labelled holdout, a bounded sample of at most ``HOLDOUT`` documents a stratum (the smallest
 hashes of the key), labelled by the rule above: for each stratum and each cutoff of a grid the exact binomial
 (Clopper-Pearson) tail tests "more than ALPHA of the good documents are rejected"; with Holm's correction over all
 strata and cutoffs, the smallest certified cutoff is taken, so that with confidence 1 - DELTA no stratum rejects more than
-ALPHA of its good documents. A stratum in which nothing can be certified gets the cutoff 0: all its documents pass on to
-the rule. Cutoffs never exceed ``HIGHEST``. Rejected documents are then held against the rule itself.
+ALPHA of its good documents. A stratum in which nothing can be certified gets the cutoff 0. Cutoffs never exceed
+``HIGHEST``. The score sees no repeated sentence shorter than its windows, so the screen does not decide: every document
+with text is held against the rule itself, and score and cutoff only stand beside the share.
 
 Defined cases: null and empty texts and texts without units have share 0; repeated rows are separate documents; ties in
 the holdout's hash are settled by the key; an empty table gives no rows. A text is read whole, in time linear in its
@@ -174,8 +175,7 @@ def repetitive(texts: DataFrame, key: str, text: str) -> DataFrame:
     limit = F.lit(0.0)
     for where, value in sorted(chosen.items()):
         limit = F.when(F.col("stratum") == where, F.lit(value)).otherwise(limit)
-    rejected = rows.withColumn("cutoff", limit).where((F.col("score") >= F.col("cutoff")) & (F.length("text") > 0))
-    return measured(rejected).where(F.col("share") >= LEAST_SHARE)
+    return measured(rows.withColumn("cutoff", limit).where(F.length("text") > 0)).where(F.col("share") >= LEAST_SHARE)
 
 
 def shares(texts: DataFrame, key: str, text: str) -> DataFrame:

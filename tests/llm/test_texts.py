@@ -191,6 +191,16 @@ def test_repetitive_is_whole(spark):
     assert repetition.repetitive(df.limit(0), "k", "t").count() == 0
 
 
+def test_short_sentences_below_a_certified_cutoff(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(3))
+    rows = [(i, " ".join(word() for _ in range(40)) + ".") for i in range(600)]
+    rows.append((1000, " ".join(f"Nothing changed again. {word()} {word()}." for _ in range(7))))
+    df = spark.createDataFrame(rows, "k int, t string")
+    got = repetition.repetitive(df, "k", "t").collect()
+    assert [r["key"] for r in got] == [1000] and got[0]["score"] < got[0]["cutoff"]
+
+
 # --- sentences --------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize(
     "units",
