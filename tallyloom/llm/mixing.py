@@ -125,14 +125,14 @@ def mixture(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", so
 
 
 def shares(mixed: DataFrame, documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source: str = "source", size: str = "size") -> DataFrame:
-    """For every source with documents or a target: target and actual share, tokens, copies, passes."""
+    """For every source with documents or a target, the null source too: target and actual share, tokens, copies, passes."""
     docs = sizes(documents, doc_id, source, size)
     entries = budget(docs, targets)
     plan = docs.sparkSession.createDataFrame([(e["source"], e["share"], int(e["max_repeats"])) for e in entries], "source string, target_share double, max_repeats int")
     used = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies"), F.max("pass_no").alias("passes"))
     # At most MAX_SOURCES rows, so one window over all of them stays small.
     used = used.withColumn("all_tokens", F.sum("tokens").over(Window.partitionBy(F.lit(1))))
-    held = docs.where("source is not null").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("held_tokens"))
+    held = docs.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("held_tokens"))
     return (
         held.join(plan, "source", "full_outer")
         .join(used, "source", "left")

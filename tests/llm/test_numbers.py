@@ -163,6 +163,16 @@ def test_mixture_meets_shares_and_caps(spark):
     assert report["absent"]["tokens"] == 0 and report["none"]["target_share"] == 0 and abs(report["small"]["actual_share"] - 0.25) < 0.01
 
 
+def test_shares_hold_the_null_source(spark):
+    rows, df = documents(spark)
+    targets = spark.createDataFrame([("big", 3.0, 1), ("small", 1.0, 4), (None, 1.0, 1)], TARGETS)
+    report = {r["source"]: r for r in shares(mixture(df, targets), df, targets).collect()}
+    alone = [s for _, x, s, _ in rows if x is None]
+    assert report[None]["documents"] == len(alone) and report[None]["held_tokens"] == sum(alone) > 0
+    assert report[None]["target_share"] == report[None]["tokens"] == 0
+    assert sum(r["held_tokens"] for r in report.values()) == sum(s for _, _, s, _ in rows)
+
+
 def test_curriculum_follows_the_schedule(spark):
     df = spark.createDataFrame([(i, "a" if i % 2 else "b", 10) for i in range(4000)], "doc_id int, source string, size int")
     targets = spark.createDataFrame([("a", 1.0, 1), ("b", 1.0, 1)], TARGETS)
