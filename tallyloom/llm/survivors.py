@@ -1,8 +1,9 @@
 """Best representative of each duplicate group, value by value.
 
 Groups. Rows that share an id are one group: connected components of the ids by alternating large-star and small-star
-steps, each written to the shared checkpoint folder; a hub's minimum is a map-side combined aggregate, so no
-neighbourhood is ever gathered in one task. Nothing but a count of changed links reaches the driver.
+steps, each written to the shared checkpoint folder; a hub's minimum is a map-side combined aggregate, and its links are
+joined to that minimum by :func:`tallyloom.operators.scale.join_hot`, so no neighbourhood is gathered in one task.
+Nothing but counts reaches the driver.
 
 Quality model. Values claimed for a (group, field) by the reports' sources are facts that are true or false, and several
 facts of one field may be true (a two-sided latent truth model). A source that speaks about a field claims the values
@@ -12,9 +13,10 @@ with the same pattern of claims and denials are one weighted row, so an iteratio
 reaches the driver in an iteration is three numbers for each source, and sources are the listed providers and one
 ``(unlisted)``, a bound that does not grow with the reports.
 
-Survivor. Every claim comes out with its value's probability. :func:`survivors` then ranks the claims of a field by a
-policy; the policy of TESTDATA.md (trust rank of the best source, latest report, smallest id) is total, so the
-probability decides only what it leaves open, and is the sole order where :data:`BY_TRUTH` is asked for.
+Survivor. :func:`survivors` ranks the claims of a field by a policy. ``BY_TRUTH``: the value's probability under the
+model, then trust, date and id. ``BY_TRUST`` is the order that TESTDATA.md fixes (trust rank of the best source, latest
+report, smallest id); it is total, so the model has nothing to decide there and is not fitted. :func:`true_values` keeps
+every value judged true, several of a field if so.
 
 Defined cases: null ids, ids without a report and null ``merged_ids`` are ignored; a group whose ids are all unknown
 gives no row; repeated deliveries of a report count once, the one received last; reports without a listed source come
@@ -30,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.operators.scale import join_hot
 from tallyloom.session import cut
 
 #: Fixed values.
@@ -46,42 +49,43 @@ BY_TRUST, BY_TRUTH = "trust", "truth"
 
 
 def present_ids(groups: DataFrame, findings: DataFrame) -> DataFrame:
-    """(a, b): links of the ids of one row, from its smallest known id; single known ids link to themselves."""
+    """(a, b): links of the ids of one row, from its smallest known id; single known ids link to themselves.
+
+    The ids gathered again are those of one row, no more than the row held.
+    """
     ids = F.array_distinct(F.filter(F.concat(F.array("kept_id"), F.coalesce("merged_ids", F.array().cast("array<string>"))), lambda i: i.isNotNull()))
-    rows = groups.select(ids.alias("ids")).where(F.size("ids") > 0).distinct()
+    rows = groups.select(F.array_sort(ids).alias("ids")).where(F.size("ids") > 0).distinct()
     told = rows.select(F.xxhash64("ids").alias("row"), F.sha2(F.concat_ws("\u0001", "ids"), 256).alias("sha"), F.explode("ids").alias("id"))
     known = told.join(findings.select("id").where("id is not null").distinct(), "id", "left_semi")
-    heads = known.groupBy("row", "sha").agg(F.min("id").alias("a"))
-    return known.join(heads, ["row", "sha"]).select("a", F.col("id").alias("b")).distinct()
+    return known.groupBy("row", "sha").agg(F.array_sort(F.collect_set("id")).alias("ids")).select(F.col("ids")[0].alias("a"), F.explode("ids").alias("b")).distinct()
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, group_key): every id with the smallest id it is connected to. ``links`` is (a, b), self links for lone ids."""
+    links = cut(links)
     nodes = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     edges = cut(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    size = _measure(edges)
     for _ in range(most_rounds):
-        if not size[0]:
+        links_left = edges.count()
+        if not links_left or _is_star_forest(edges):
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "u"))
+        large = join_hot(both, low, ["u"], "n", 2 * links_left).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        # Every u of ``large`` has its smallest neighbour below it, so the small-star step needs no self row.
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_hot(large, low, ["u"], "n", 2 * links_left).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
         edges = cut(small)
-        now = _measure(edges)
-        if now == size:
-            break
-        size = now
     else:
         raise RuntimeError("components did not settle")
-    return nodes.join(edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("group_key")), "id", "left").withColumn("group_key", F.coalesce("group_key", "id"))
+    return nodes.join(edges.select(F.col("u").alias("id"), F.col("v").alias("group_key")), "id", "left").withColumn("group_key", F.coalesce("group_key", "id"))
 
 
-def _measure(edges: DataFrame) -> tuple:
-    """Number of links and an order-free sum over them: equal when a round changed nothing."""
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every upper end has one lower end, and no lower end is an upper end too: nothing is left to do."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("up")), F.struct(F.col("v").alias("id"), F.lit(0).alias("up")))).alias("e"))
+    by_id = ends.groupBy("e.id").agg(F.sum("e.up").alias("up"), F.count(F.lit(1)).alias("n"))
+    return by_id.agg(F.count(F.when((F.col("up") > 1) | (F.col("up") > 0) & (F.col("n") > F.col("up")), 1)).alias("bad")).first()["bad"] == 0
 
 
 def latest_reports(findings: DataFrame) -> DataFrame:
@@ -107,8 +111,8 @@ def _usable_text(column: str) -> Column:
     return F.when(~F.lower(trimmed).isin(*STAND_INS), trimmed)
 
 
-def claims(reports: DataFrame, ranks: dict[str, int]) -> DataFrame:
-    """(id, reported_at, trust, speakers, field_name, value): every usable value of every report.
+def claims(reports: DataFrame, ranks: dict[str, int], *carry: str) -> DataFrame:
+    """(id, reported_at, *carry, trust, speakers, field_name, value): every usable value of every report.
 
     Usable: a title or symbol that is no stand-in; severity LOW..CRITICAL and perf_confidence SUSPECTED..PROVEN in any
     letter case; 0 <= confidence <= 1; end_line >= start_line.
@@ -128,12 +132,14 @@ def claims(reports: DataFrame, ranks: dict[str, int]) -> DataFrame:
     rows = reports.select(
         "id",
         "reported_at",
+        *carry,
         valued.alias("speakers"),
         F.explode(F.filter(cells, lambda c: c["value"].isNotNull())).alias("c"),
     )
     return rows.select(
         "id",
         "reported_at",
+        *carry,
         F.array_min(F.transform("speakers", lambda s: F.try_element_at(known, s))).alias("trust"),
         F.when(F.size("speakers") > 0, F.array_sort("speakers")).otherwise(F.array(F.lit(UNLISTED))).alias("speakers"),
         "c.field_name",
@@ -148,8 +154,8 @@ def facts(grouped: DataFrame) -> DataFrame:
     """
     spoken = grouped.select("group_key", "field_name", "value", F.explode("speakers").alias("s")).distinct()
     yes = spoken.groupBy("group_key", "field_name", "value").agg(F.array_sort(F.collect_set("s")).alias("yes"))
-    heard = spoken.groupBy("group_key", "field_name").agg(F.array_sort(F.collect_set("s")).alias("heard"))
-    return yes.join(heard, ["group_key", "field_name"]).select("group_key", "field_name", "value", "yes", F.array_except("heard", "yes").alias("no"))
+    heard = spoken.groupBy("group_key", "field_name").agg(F.array_sort(F.collect_set("s")).alias("heard"), F.count_distinct("value").alias("n"))
+    return join_hot(yes, heard, ["group_key", "field_name"], "n").select("group_key", "field_name", "value", "yes", F.array_except("heard", "yes").alias("no"))
 
 
 def quality(patterns: DataFrame, sources: list[str], rounds: int = ROUNDS) -> tuple[dict[str, tuple[float, float]], float]:
@@ -201,12 +207,16 @@ def posterior(rates: dict[str, tuple[float, float]], share: float) -> Column:
     return 1 / (1 + F.exp(-(odds + F.lit(math.log(share / (1 - share))))))
 
 
+def grouped_claims(findings: DataFrame, groups: DataFrame, ranks: dict[str, int]) -> DataFrame:
+    """The claims of every report that is in a group, with ``group_key``."""
+    members = components(present_ids(groups, findings))
+    return claims_with_group(latest_reports(findings).join(members, "id"), ranks)
+
+
 def judged(findings: DataFrame, groups: DataFrame, providers: DataFrame) -> tuple[DataFrame, DataFrame, dict, float]:
     """Claims with their group, facts with their probability, the sources' rates and the share of true facts."""
     ranks = listed(providers)
-    members = components(present_ids(groups, findings))
-    reports = latest_reports(findings).join(members, "id")
-    grouped = cut(claims_with_group(reports, ranks))
+    grouped = cut(grouped_claims(findings, groups, ranks))
     told = cut(facts(grouped))
     patterns = cut(told.groupBy("yes", "no").agg(F.count(F.lit(1)).alias("n")))
     rates, share = quality(patterns, [*sorted(ranks), UNLISTED])
@@ -214,22 +224,27 @@ def judged(findings: DataFrame, groups: DataFrame, providers: DataFrame) -> tupl
 
 
 def claims_with_group(reports: DataFrame, ranks: dict[str, int]) -> DataFrame:
-    keys = reports.select("id", "group_key")
-    return claims(reports.drop("group_key"), ranks).join(keys, "id")
+    return claims(reports, ranks, "group_key")
 
 
 def survivors(findings: DataFrame, groups: DataFrame, providers: DataFrame, policy: str = BY_TRUST) -> DataFrame:
-    """(group_key, field_name, finding_id, value, truth): for each field of a group the claim that wins."""
-    grouped, told, _, _ = judged(findings, groups, providers)
-    rows = grouped.join(told.select("group_key", "field_name", "value", "truth"), ["group_key", "field_name", "value"])
+    """(group_key, field_name, finding_id, value): for each field of a group the claim that wins; ``truth`` too where the
+    model decides."""
     trust = F.coalesce(F.col("trust"), F.lit(2**31 - 1))
     recent = -F.coalesce(F.unix_micros("reported_at"), F.lit(-(2**62)))
-    keys = [trust.alias("trust"), recent.alias("recent"), F.col("id").alias("id"), (-F.col("truth")).alias("doubt")]
-    if policy == BY_TRUTH:
-        keys = [keys[3], *keys[:3]]
-    # Two steps: a salted pre-aggregate in a hot group is what map-side combining of min_by already is.
+    keys = [trust.alias("trust"), recent.alias("recent"), F.col("id").alias("id")]
+    if policy == BY_TRUST:
+        rows = grouped_claims(findings, groups, listed(providers))
+    else:
+        claimed, told, _, _ = judged(findings, groups, providers)
+        facts_of = ["group_key", "field_name", "value"]
+        said = claimed.groupBy(*facts_of).agg(F.count(F.lit(1)).alias("n"))
+        rows = join_hot(claimed, told.join(said, facts_of).select(*facts_of, "truth", "n"), facts_of, "n")
+        keys = [(-F.col("truth")).alias("doubt"), *keys]
+    # The least struct combines on the map side, so a hot group sends one row a task.
     best = rows.groupBy("group_key", "field_name").agg(F.min(F.struct(*keys, "value")).alias("b"))
-    return best.select("group_key", "field_name", F.col("b.id").alias("finding_id"), F.col("b.value").alias("value"), (-F.col("b.doubt")).alias("truth"))
+    more = [] if policy == BY_TRUST else [(-F.col("b.doubt")).alias("truth")]
+    return best.select("group_key", "field_name", F.col("b.id").alias("finding_id"), F.col("b.value").alias("value"), *more)
 
 
 def true_values(findings: DataFrame, groups: DataFrame, providers: DataFrame, at_least: float = 0.5) -> DataFrame:
