@@ -44,6 +44,27 @@ def running_total(
     )
 
 
+#: A key with more than 1/HOT of all rows is hot, so at most HOT keys are; below LEAST_HOT rows no key is.
+HOT, LEAST_HOT = 1000, 100_000
+
+
+def join_hot(rows: DataFrame, one: DataFrame, keys: Sequence[str], n: str, total: int | None = None) -> DataFrame:
+    """Inner join of ``rows`` to ``one``, which has one row for each key and in ``n`` the key's number of ``rows``; ``n`` is
+    dropped.
+
+    Keys that hold more than 1/HOT of ``total`` rows (counted if not given) would each fill one task of a shuffled
+    join. There are at most HOT of them, so they are joined by broadcast where ``rows`` stand; the other keys are
+    shuffled and none is large. The result is that of a plain join.
+    """
+    total = rows.count() if total is None else total
+    if total <= LEAST_HOT:
+        return rows.join(one.drop(n), list(keys))
+    hot = one.where(F.col(n) * F.lit(HOT) > F.lit(total))
+    cold = rows.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti")
+    # The rows left over are hinted away from a broadcast of ``one``, whose size is not bounded.
+    return cold.join(one.drop(n).hint("merge"), list(keys)).unionByName(rows.join(F.broadcast(hot.drop(n)), list(keys)))
+
+
 def successor(df: DataFrame, key: str, order: str, out: str, block: int = 1024) -> DataFrame:
     """Adds ``out``: the next larger existing ``order`` (an integer) of the same key, or null.
 
