@@ -44,6 +44,18 @@ def running_total(
     )
 
 
+def tasks_for(rows: DataFrame, megabytes: int = 64) -> int:
+    """Number of tasks for a stage of Python work over ``rows``: two for every core, and more once a task would read more
+    than so many megabytes as stored."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-size // (megabytes << 20)))
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows``, shuffled by ``key`` only if they come in too few partitions to keep the cores busy (few files or row groups)."""
+    return rows if rows.rdd.getNumPartitions() >= rows.sparkSession.sparkContext.defaultParallelism else rows.repartition(tasks_for(rows), key)
+
+
 #: A key with more than 1/HOT of all rows is hot, so at most HOT keys are; below LEAST_HOT rows no key is.
 HOT, LEAST_HOT = 1000, 100_000
 
