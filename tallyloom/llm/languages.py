@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 #: Frequent function words by language.
 FUNCTION_WORDS = {
-    "en": "the a an and or of to in is are was were be been it that this which who with for on at by from as not no if we you they he she has have had can may will would should could do does did but so than then there their its our your how what why when where is any still please out",
+    "en": "the a an and or of to in is are was were be been it that this which who with for on at by from as not no if we you they he she has have had can may will would should could do does did but so than then there their its our your how what why when where is any still please out i me my us something",
     "de": "der die das den dem des ein eine einen einem einer und oder nicht kein keine ist sind war wird werden wurde mit von vor nach bei für auf aus zu zum zur im in an am dass weil wenn wir sie es ich nur noch sich hat haben als auch wie was warum nur so dieselbe bitte dazu diese dieser",
     "fr": "le la les un une des du de et ou ne pas est sont a ont été qui que quoi ce cette ces pour par dans sur avec sans en au aux nous vous ils elle il se sa son ses si car plus mais comme depuis avant après deux encore peut faut aucun rien l d n s qu",
     "es": "el la los las un una unos unas de del y o no es son fue ha han que quien este esta estos para por con sin en al se su sus si porque más pero como desde antes después dos todavía hay lo nos muy ya cuando qué casi todos hace falta",
@@ -22,35 +23,51 @@ for _language, _words in FUNCTION_WORDS.items():
 #: Script ranges, by code point.
 SCRIPTS = re.compile(r"(?P<kana>[぀-ヿㇰ-ㇿｦ-ﾝ])|(?P<han>[㐀-䶿一-鿿\uf900-\ufaff々])|(?P<hangul>[가-힯ᄀ-ᇿ㄰-㆏])|(?P<thai>[฀-๿])|(?P<arabic>[؀-ۿݐ-ݿ])|(?P<deva>[ऀ-ॿ])|(?P<cyrl>[Ѐ-ӿ])|(?P<greek>[Ͱ-Ͽ])|(?P<hebrew>[֐-׿])")
 _FENCE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`", re.S)
-#: Paths, identifiers, rule names, addresses, numbers: the same in every language.
-_NEUTRAL = re.compile(r"[\w.\-]*[/\\][\w./\\\-]+|https?://\S+|\b[A-Z]+(?:-[A-Z0-9]+)+\b|\b\w*_\w+\b|\b[a-z]+(?:[A-Z]\w*)+\b(?:\(\))?|\b(?:[A-Z][a-z0-9]+){2,}\b|\b\w+\.(?:py|js|ts|java|vue|json|md|sh|yml)\b|--\w+|\d+(?:[.,:]\d+)*", re.ASCII)
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
-#: Runs of visible ASCII signs; what is longer than LONGEST is no word of any language.
-_RUN = re.compile(r"[!-~]+")
-LONGEST = 300
+#: Runs of ASCII signs that hold a sign of code are paths, identifiers, rule names, addresses or numbers: the same in
+#: every language.
+_CODED = re.compile(r"[/\\_0-9]|[a-z][A-Z]|[A-Z]-[A-Z]|^\W*--\w|\w\.(?:py|js|ts|java|vue|json|md|sh|yml)\b|\(\)", re.ASCII)
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
 _LATIN_WORD = re.compile(r"[A-Za-zÀ-ɏ]+")
 _BY_SCRIPT = {"hangul": "ko", "thai": "th", "arabic": "ar", "deva": "hi", "cyrl": "ru", "greek": "el", "hebrew": "he"}
 
 
 def without_code(text: str) -> str:
-    """The text without code, markup, paths, names and numbers. Patterns run on bounded runs, so time is linear."""
-    plain = _TAG.sub(" ", _FENCE.sub(" ", text))
-    return _RUN.sub(lambda m: _NEUTRAL.sub(" ", m.group()) if len(m.group()) <= LONGEST else " ", plain)
+    """The text without code, markup, paths, names and numbers."""
+    plain = _TAG.sub(" ", text) if "<" in text else text
+    plain = _FENCE.sub(" ", plain) if "`" in plain else plain
+    return "".join(" " if _CODED.search(run) else run for run in _SPLIT.split(plain))
 
 
-def weights(text: str) -> dict[str, float]:
+#: Runs of visible ASCII signs and what stands between them.
+_SPLIT = re.compile(r"([!-~]+)")
+
+
+class _Scripts(dict):
+    """Character -> the name of its script or "", found once: at most one entry for each code point."""
+
+    def __missing__(self, c: str) -> str:
+        found = SCRIPTS.match(c)
+        self[c] = found.lastgroup if found else ""
+        return self[c]
+
+
+_SCRIPT_OF = _Scripts()
+
+
+def weights(text: str, coded: bool = True) -> dict[str, float]:
     """Language -> amount of text; a Han or kana sign counts as much as two Latin letters' words do (half a word)."""
-    plain = without_code(text)
+    plain = without_code(text) if coded else text
     scripts: dict[str, int] = {}
-    for m in SCRIPTS.finditer(plain):
-        scripts[m.lastgroup] = scripts.get(m.lastgroup, 0) + 1
+    for c, n in Counter(plain).items():
+        if c > "\u036f" and (script := _SCRIPT_OF[c]):
+            scripts[script] = scripts.get(script, 0) + n
     out: dict[str, float] = {}
     kana, han = scripts.pop("kana", 0), scripts.pop("han", 0)
     if kana + han:
         out["ja" if kana > 0.15 * (kana + han) else "zh"] = (kana + han) / 2
-    for script, n in scripts.items():
+    for script, n in sorted(scripts.items()):
         out[_BY_SCRIPT[script]] = n / (2 if script == "hangul" else 5)
-    words = [w.lower() for w in _LATIN_WORD.findall(plain)]
+    words = _LATIN_WORD.findall(plain.lower())
     if words:
         votes: dict[str, float] = {}
         for w in words:
@@ -74,15 +91,15 @@ CLOSE, MARGIN = {"it", "pt", "nl"}, 1.5
 
 
 def foreign_words(text: str, expected: str, found: dict[str, float]) -> bool:
-    """Whether the Latin words of a text are in another language than ``expected``, a language or "latin" (not known). ``found`` is the
-    text's weights.
+    """Whether the Latin words of a text without code are in another language than ``expected``, a language or "latin" (not
+    known). ``found`` is the text's weights.
 
     A listed language is told by the function words that it does not share with the expected one. A language without a
     list is told by what is missing: next to no function words of the expected language, or no more of them than
     words with letters that it does not write.
     """
     # Each word once: one that is said over and over tells no more.
-    words = {w.lower() for w in _LATIN_WORD.findall(without_code(text))}
+    words = set(_LATIN_WORD.findall(text.lower()))
     top = next((x for x in found if x in _OWN), None)
     n = len(words)
     if expected == "latin" or not n:

@@ -24,13 +24,13 @@ _SPLITS = (
     ("space", re.compile(r"\s{2,}")),
 )
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*", re.UNICODE)
-_TOKEN = re.compile(r"\S+")
 _CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿\uf900-\ufaff฀-๿]")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|&[a-z]{2,8};|&#\d+;")
 _HEX = re.compile(r"^(?:0x)?(?=.*\d|[a-f]{2}$)[0-9a-fA-F]{2,16}:?$")
 _LONG_CODE = re.compile(r"[A-Za-z0-9+/=_\-]{40,}")
 _BROKEN = re.compile("[�\x80-\x9f]|[ÃÂâäåæçèéð][\x80-\xbf‐-⃿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ¡-¿]|(?:锟斤拷)|(?:烫){2,}|(?:屯){2,}|[ÐÑØÙ][-¿]")
 _VOWEL = re.compile(r"[aeiouyAEIOUYà-ÿÀ-Ý]")
+_SENTENCE_END = re.compile(r"[.!?](?=[\"'”’»)\]]*(?:\s|$))|[。！？।؟…]")
 #: Signs that nearly every running text of the spaceless scripts holds.
 CJK_COMMON = set("的了是在不有和这我们也就都要会对到说以为被把从没还里中上下个之与及のにはをがとでもてすまたしるだいれ")
 #: Particles and endings that close most Korean words.
@@ -39,7 +39,7 @@ THAI_COMMON = ("ที่", "และ", "ใน", "ไม่", "ของ", "
 
 
 def visible(text: str) -> int:
-    return sum(len(t) for t in _TOKEN.findall(text))
+    return sum(map(len, text.split()))
 
 
 def _short_item(content: str) -> bool:
@@ -86,58 +86,101 @@ def _rows(lines: list[str]) -> tuple[set[int], str]:
     return best
 
 
-def shape(text: str) -> dict:
-    """Counts and shares of one text; every share is 0 for a text without visible characters."""
-    lines = re.split(r"\r\n|\r|\n", text)
+#: Markdown emphasis and thematic breaks: no symbols of the text.
+_EMPHASIS = re.compile(r"[*_]{2,}|^\s*[-*_=]{3,}\s*$", re.M)
+
+
+class _Kinds(dict):
+    """Character -> its kind, found once: at most one entry for each code point."""
+
+    def __missing__(self, c: str) -> str:
+        kind = "space" if c.isspace() else "symbol" if not c.isalnum() else "digit" if c.isdigit() else "cjk" if _CJK.match(c) else "letter"
+        self[c] = kind
+        return kind
+
+
+_KINDS = _Kinds()
+
+
+def _is_name(token: str) -> bool:
+    """A path or a name with underscores: its parts are no words of a language."""
+    return "/" in token or "_" in token or "\\" in token
+
+
+def body_lines(text: str) -> tuple[list[str], int]:
+    """The lines that are neither blank nor headings nor fenced code, and the visible characters of the fenced code."""
     body: list[str] = []
-    code = heads = 0
+    code = 0
     fence = ""
-    for line in lines:
+    for line in re.split(r"\r\n|\r|\n", text):
         mark = FENCE.match(line)
         if fence:
             code += visible(line)
             if mark and mark.group(1)[:3] == fence:
                 fence = ""
-            continue
-        if mark:
+        elif mark:
             fence = mark.group(1)[:3]
             code += visible(line)
-            continue
-        if HEADING.match(line):
-            heads += visible(line)
-            continue
-        if line.strip():
+        elif line.strip() and not HEADING.match(line):
             body.append(line)
+    return body, code
+
+
+def _is_common(word: str) -> bool:
+    return word in _WORDS or "가" <= word[-1] <= "힣" and word.endswith(HANGUL_COMMON)
+
+
+def _is_entry(line: str) -> bool:
+    mark = MARKER.match(line)
+    if mark:
+        return _short_item(line[mark.end() :])
+    return _short_item(line) or bool(PAIR.match(line)) and not INNER_END.search(line) and not ENDS.search(line.strip())
+
+
+def shape(text: str) -> dict:
+    """Counts and shares of one text; every share is 0 for a text without visible characters.
+
+    Characters are counted once (a text has few distinct ones) and told apart by their kinds. The share of common words is
+    over distinct words, so one that is said over and over counts once.
+    """
+    body, code = body_lines(text)
     plain = "\n".join(body)
-    seen = visible(plain)
-    total = seen + code
+    chars = Counter(plain)
+    kinds = dict.fromkeys(("space", "symbol", "digit", "cjk", "letter"), 0)
+    for c, n in chars.items():
+        kinds[_KINDS[c]] += n
+    seen, symbols, digits, cjk = len(plain) - kinds["space"], kinds["symbol"], kinds["digit"], kinds["cjk"]
+    if symbols and (chars["*"] or chars["_"] or chars["-"] or chars["="]):
+        symbols -= sum(len(m.strip()) for m in _EMPHASIS.findall(plain))
+    common_cjk = sum(chars[c] for c in CJK_COMMON) if cjk else 0
+    if cjk and any("\u0e00" <= c <= "\u0e7f" for c in chars):
+        common_cjk += sum(plain.count(t) * 2 for t in THAI_COMMON)
     words = _WORD.findall(plain)
-    tokens = _TOKEN.findall(plain)
-    cjk = len(_CJK.findall(plain))
-    latin = [w for w in words if not _CJK.search(w)]
-    common = sum(w.lower() in _WORDS or "가" <= w[-1] <= "힣" and w.endswith(HANGUL_COMMON) for w in latin)
-    units = [w.lower() for w in words] if len(latin) > 4 or cjk < 8 else [plain[i : i + 2] for i in range(0, len(plain) - 1, 2)]
+    latin = [w for w in words if not _CJK.search(w)] if cjk else words
+    tokens = plain.split()
+    own = {w for w in _WORD.findall(" ".join(t for t in tokens if not _is_name(t)).lower()) if not (cjk and _CJK.search(w))}
     rows, delimiter = _rows(body) if len(body) >= 2 else (set(), "")
-    row_chars = sum(visible(body[i]) for i in rows)
-    entries = [i for i, line in enumerate(body) if (m := MARKER.match(line)) and _short_item(line[m.end():]) or not m and (_short_item(line) or PAIR.match(line) and not INNER_END.search(line) and not ENDS.search(line.strip()))]
-    entry_chars = sum(visible(body[i]) for i in entries)
-    marked = sum(bool(MARKER.match(line)) for line in body)
-    ended = sum(bool(ENDS.search(line.strip())) for line in body)
-    symbols = sum(not c.isalnum() and not c.isspace() for c in plain)
-    digits = sum(c.isdigit() for c in plain)
-    tags = sum(len(t) for t in _TAG.findall(plain))
-    hexes = sum(len(t) for t in tokens if _HEX.match(t))
-    long_code = sum(len(t) for t in _LONG_CODE.findall(plain) if re.search(r"\d", t) or len(t) > 60)
-    broken = sum(len(b) for b in _BROKEN.findall(plain))
+    entry_chars = entries = marked = ended = row_chars = 0
+    for i, line in enumerate(body):
+        marked += bool(MARKER.match(line))
+        ended += bool(ENDS.search(line.strip()))
+        if i in rows:
+            row_chars += visible(line)
+        if _is_entry(line):
+            entries += 1
+            entry_chars += visible(line)
+    tags = sum(map(len, _TAG.findall(plain))) if chars["<"] or chars["&"] else 0
+    hexes = sum(len(t) for t in tokens if len(t) < 20 and _HEX.match(t)) if digits else 0
+    long_code = sum(len(t) for t in _LONG_CODE.findall(plain) if len(t) > 60 or re.search(r"\d", t)) if any(len(t) >= 40 for t in tokens) else 0
+    broken = 0 if plain.isascii() else sum(map(len, _BROKEN.findall(plain)))
     hard = [w for w in latin if len(w) >= 2 and w.isascii()]
-    vowelless = sum(not _VOWEL.search(w) for w in hard)
-    sentences = len(re.findall(r"[.!?](?=[\"'”’»)\]]*(?:\s|$))|[。！？।؟…]", plain))
-    common_cjk = sum(c in CJK_COMMON for c in plain) + sum(plain.count(t) * 2 for t in THAI_COMMON)
+    vowelless = sum(not _VOWEL.search(w) for w in hard) if len(hard) >= 8 else 0
+    sentences = len(_SENTENCE_END.findall(plain))
     one = max(seen, 1)
     return {
         "chars": len(text),
         "seen": seen,
-        "code_share": code / max(total, 1),
+        "code_share": code / max(seen + code, 1),
         "lines": len(body),
         "words": len(words),
         "mean_word": sum(map(len, latin)) / max(len(latin), 1),
@@ -147,19 +190,18 @@ def shape(text: str) -> dict:
         "hex_share": hexes / one,
         "long_code_share": long_code / one,
         "broken_share": broken / one,
-        "vowelless_share": vowelless / max(len(hard), 1) if len(hard) >= 8 else 0.0,
-        "common_share": common / max(len(latin), 1),
+        "vowelless_share": vowelless / max(len(hard), 1),
+        "common_share": sum(map(_is_common, own)) / max(len(own), 1),
         "common_cjk_share": common_cjk / max(cjk, 1),
-        "distinct_share": len(set(units)) / max(len(units), 1),
         "cjk": cjk,
         "latin": len(latin),
         "entry_share": entry_chars / one,
         "row_share": row_chars / one,
         "rows": len(rows),
-        "entries": len(entries),
+        "entries": entries,
         "delimiter": delimiter,
         "marked": marked,
         "ended_share": ended / max(len(body), 1),
         "sentences": sentences,
-        "longest": max((len(line) for line in body), default=0),
+        "longest": max(map(len, body), default=0),
     }
