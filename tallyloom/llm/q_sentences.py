@@ -9,20 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.sentences import ends
+from tallyloom.operators.scale import spread
 from tallyloom.sources import table
 
 
 def sentence_ends(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, end_char) with one row for each sentence unit; a null or blank text has none, repeated rows are cut each.
 
-    One pass without a shuffle; Arrow carries a list of ends for each text, which the JVM takes apart.
+    One pass, without a shuffle if the files give enough partitions; Arrow carries a list of ends for each text, which the JVM takes apart.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"key": batch["key"].to_numpy(), "ends": [ends(t) for t in batch["text"]]})
 
-    rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = spread(texts.select(F.col(key).alias("key"), F.col(text).alias("text")), "key")
     return rows.mapInPandas(run, f"key {dict(texts.dtypes)[key]}, ends array<int>").select("key", F.explode("ends").alias("end_char"))
 
 

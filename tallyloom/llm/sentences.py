@@ -4,14 +4,15 @@ A text is first cut into blocks: fenced code, headings, table rows, list items a
 at gaps. Text inside one pair of quotation marks or brackets is closed to gaps; what closes behind a terminator belongs
 to the unit.
 
-* Scripts without spaces: at a gap (terminator, line break, wide or Thai space, dots, closing mark) the last signs before
-  and the first signs behind are segmented by the cheapest path through a dictionary word lattice; final particles and
+* Scripts without spaces: at a gap (terminator, line break, wide or Thai space, dots, closing mark) the run of signs
+  before and the run behind are segmented by the cheapest path through a dictionary word lattice; final particles and
   closing words speak for an end, particles that govern what follows and continuing opening words against it.
 * Scripts with spaces: the terminators of a paragraph form a lattice, each with the readings "ends a sentence" and
   "stands inside" (abbreviation, ordinal, initial, dots); the cheapest path through the readings is taken, where an
   end that leaves no word in a unit is not allowed and very short units cost a little.
 
-Every text is read once from left to right with windows of fixed size at gaps, so time is linear in the text's length.
+Every text is read once from left to right. At a gap the whole runs of spaceless signs around it are segmented, and in
+spaced scripts the words around it are looked up, so time is linear in the text's length.
 """
 
 from __future__ import annotations
@@ -56,7 +57,8 @@ GOVERNING = "は が を に へ で と も の や から より ので のに
 
 _WORDS = {w: 1.0 for group in (CONTINUING, OPENING, FINAL, GOVERNING) for w in group}
 _LONGEST = max(map(len, _WORDS))
-_REACH = 14
+#: The run of spaceless signs at the end and at the start of a text.
+_LAST_RUN, _FIRST_RUN = re.compile(r"[぀-ヿ㐀-䶿一-鿿\uf900-\ufaff฀-๿]+\Z"), re.compile(r"[぀-ヿ㐀-䶿一-鿿\uf900-\ufaff฀-๿]+")
 
 
 @lru_cache(maxsize=200_000)
@@ -90,7 +92,8 @@ def _first_word(after: str, group: set[str]) -> bool:
     """Whether the text opens with a word of the group: the lattice's first word, or the longest dictionary word there."""
     if not after:
         return False
-    path = lattice(after[:_REACH])
+    run = _FIRST_RUN.match(after)
+    path = lattice(run.group()) if run else ()
     if path and path[0] in group:
         return True
     for k in range(min(_LONGEST, len(after)), 1, -1):
@@ -108,7 +111,8 @@ def spaceless_gap(before: str, after: str, kind: str) -> bool:
     tail = before.rstrip()
     if after[0] in "，、；：,;:。！？．)）」』”’》】〉" or tail[-1:] in "，、；：,;:（(「『“《【":
         return False
-    last = lattice(tail[-_REACH:])[-1] if tail else ""
+    run = _LAST_RUN.search(tail)
+    last = lattice(run.group())[-1] if run else tail[-1:]
     if kind in ("dots", "line", "wide") and last in _GOV and not (last in _FINAL and kind != "dots"):
         return False
     if kind == "thai":
@@ -212,8 +216,10 @@ def cheapest(costs: list[tuple[float, float]], words: list[bool], more: list[flo
 
 # --- running text -----------------------------------------------------------------------------------------------------
 def _pairs(text: str, marks: list[re.Match]) -> list[tuple[int, int]]:
-    """Outermost pairs of quotation marks and brackets; what never closes opens nothing."""
+    """Outermost pairs of quotation marks and brackets; what never closes opens nothing. Open marks are counted by kind,
+    so a mark without an opener looks at none of them, and one with an opener drops what was opened behind it: linear."""
     stack: list[tuple[str, int]] = []
+    count: dict[str, int] = {}
     found: list[tuple[int, int]] = []
     first = next((m.group() for m in marks if m.group() in "«»„"), "")
     reversed_angles = first == "»"
@@ -221,35 +227,59 @@ def _pairs(text: str, marks: list[re.Match]) -> list[tuple[int, int]]:
     for m in marks:
         c, at = m.group(), m.start()
         if c == '"':
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == '"':
-                    found.append((stack[k][1], at))
-                    del stack[k:]
-                    break
-            else:
-                stack.append(('"', at))
-            continue
-        if c in "«»" and reversed_angles:
+            opens, partner = not count.get('"'), '"'
+        elif c in "«»" and reversed_angles:
             opens, partner = c == "»", "»"
-        elif c == "“" and low and any(s == "„" for s, _ in stack):
+        elif c == "“" and low and count.get("„"):
             opens, partner = False, "„"
         elif c in _OPEN:
             opens, partner = True, c
         else:
             opens, partner = False, _CLOSE.get(c, "")
-            if c == "”" and low and not any(s == "“" for s, _ in stack):
+            if c == "”" and low and not count.get("“"):
                 partner = "„"
         if opens:
             stack.append((c, at))
-            continue
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == partner:
-                found.append((stack[k][1], at))
-                del stack[k:]
-                break
+            count[c] = count.get(c, 0) + 1
+        elif count.get(partner):
+            while True:
+                mark, place = stack.pop()
+                count[mark] -= 1
+                if mark == partner:
+                    found.append((place, at))
+                    break
     return sorted(found)
 
 
+#: No listed word or abbreviation is half as long, so a word's part within so many signs is in the same lists as the word.
+WORD = 48
+#: A line break is one of a spaceless script if such a sign stands among so many before or behind it; a wide space, which
+#: other scripts seldom have, if one stands among WORD.
+NEAR = 8
+
+
+def _back(text: str, at: int, least: int) -> int:
+    """The start of the last WORD signs before ``at``, white space and closing marks not counted."""
+    while at > least and (text[at - 1].isspace() or text[at - 1] in _CLOSERS):
+        at -= 1
+    return max(at - WORD, least)
+
+
+def _run_start(text: str, at: int) -> int:
+    """Where the run of spaceless signs that ends at ``at`` starts, or WORD signs before if that is more."""
+    i = at
+    while i and _SPACELESS.match(text[i - 1]):
+        i -= 1
+    return min(i, max(at - WORD, 0))
+
+
+def _run_stop(text: str, at: int) -> int:
+    i = at
+    while i < len(text) and _SPACELESS.match(text[i]):
+        i += 1
+    return max(i, min(at + WORD, len(text)))
+
+
 def running(text: str, start: int, stop: int, out: list[int]) -> None:
     """Appends the ends of the sentence units of running text ``text[start:stop]``."""
     while stop > start and text[stop - 1].isspace():
@@ -278,21 +308,19 @@ def running(text: str, start: int, stop: int, out: list[int]) -> None:
             if kind != "mark" or a != spans[s][1]:
                 continue
             # The mark that closes an outermost pair: a gap if a terminator stands right inside it.
-            inner = piece[max(0, a - 64) : a].rstrip()
+            inner = piece[_back(piece, a, spans[s][0]) : a].rstrip()
             if not inner or inner[-1] not in TERMINATORS and not (inner[-1] in _CLOSERS and inner[:-1].rstrip(_CLOSERS)[-1:] in TERMINATORS and inner[:-1]):
                 continue
             mark, at, closed = inner[-1], a + 1, True
             before = inner[:-1]
         elif kind == "end":
-            mark, at, closed, before = m.group(), m.end(), False, piece[max(0, a - 24) : a]
+            mark, at, closed, before = m.group(), m.end(), False, piece[max(0, a - WORD) : a]
         elif kind in ("wide", "line", "thai"):
             if kind == "thai" and not has_thai:
                 continue
-            left = piece[max(0, a - 24) : a]
-            right = piece[m.end() : m.end() + 24]
-            if kind == "line" and not (_SPACELESS.search(left[-8:]) or _SPACELESS.search(right[:8])):
-                continue
-            if kind == "wide" and not _SPACELESS.search(left + right):
+            left, right = piece[_run_start(piece, a) : a], piece[m.end() : _run_stop(piece, m.end())]
+            near = NEAR if kind == "line" else WORD
+            if kind in ("line", "wide") and not (_SPACELESS.search(left[-near:]) or _SPACELESS.search(right[:near])):
                 continue
             if left.rstrip()[-1:] in TERMINATORS + _CLOSERS and left.rstrip()[-1:] != "":
                 if left.rstrip()[-1:] in TERMINATORS:
@@ -319,8 +347,11 @@ def running(text: str, start: int, stop: int, out: list[int]) -> None:
             at += 1
         if at < n and piece[at] in "。！？!?．…." and closed:
             continue  # the terminator behind the mark decides
-        rest = piece[at : at + 48]
-        if not rest.strip():
+        word = at
+        while word < n and piece[word].isspace():
+            word += 1
+        rest = piece[at : max(word + WORD, _run_stop(piece, word))]
+        if word == n:
             gaps.append((at, 0.0, _COSTLY))
             continue
         spaced = rest[0].isspace()
