@@ -21,10 +21,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
 from functools import lru_cache
 
-from tallyloom.llm.languages import FUNCTION_WORDS, asked_language, foreign_words, weights
+from tallyloom.llm.languages import FUNCTION_WORDS, asked_language, foreign_words, weights, without_code
+from tallyloom.llm.refusals import is_refusal
 from tallyloom.llm.shape import FENCE, HEADING, MARKER, RULE_LINE
 
 DEFECTS = ("empty", "refusal", "copied_question", "other_language", "truncated")
@@ -48,59 +48,6 @@ def is_empty(text: str | None) -> bool:
     return text is None or bare(text) in NO_ANSWER
 
 
-# --- refusals -------------------------------------------------------------------------------------------------------
-_ASK_EN = r"(?:answer|help|assist|comply|discuss|respond|reply|provide|share|comment|do that|do this|continue|fulfil\w*|support|say|talk|give|complete|process)"
-#: The refusing act, by language. Each must carry the refuser's own not-doing, not a statement about some other thing.
-REFUSES = re.compile(
-    "|".join(
-        (
-            rf"\b(?:i|we)(?:'m| am| are|'re)? (?:sorry,? but )?(?:cannot|can ?not|can't|won't|will not|am unable to|are unable to|am not able to|'m unable to|'m not able to|am not permitted to|am not allowed to|'m not permitted to|'m not allowed to|must not|may not|do not wish to|don't wish to|refuse to|decline to|have to decline to|am not going to|'m not going to)\b.{{0,40}}?\b{_ASK_EN}\b",
-            r"\b(?:i|we) (?:must|have to|need to|will have to|would) (?:politely |respectfully )?(?:decline|refuse|pass)\b|\bmust decline\b|\bi decline\b|\bi refuse\b",
-            r"\b(?:i|we)(?:'d| would) (?:rather|prefer) not\b|\bno comment\b|\bno answer from (?:my|our) side\b|\bmy (?:guidelines|rules|policies|instructions|policy)\b.{0,40}\b(?:keep|prevent|stop|forbid|do(?:es)? not|don't)\b",
-            r"\b(?:outside|beyond) (?:of )?(?:what|the scope|my)\b.{0,40}\b(?:i|may|can|assist|help|scope|abilit\w*|remit)\b|\bas a matter of policy\b|\bnot something i (?:can|may|will)\b",
-            r"(?:我|这里|本人|我们).{0,8}(?:不能|无法|不会|不便|不可以|没法|不愿|拒绝|没有权限|无权|不提供|不予|选择不|不作|不方便)|(?:恕|只能|不得不|必须)(?:我)?(?:不能|婉拒|拒绝|难以|无法)|不(?:作|予|便)(?:回应|回答|答复|透露|提供|评论|置评)|(?:这个|该|此)?(?:问题|请求|要求).{0,4}我?(?:无法|不能|不便)(?:回答|回应|处理|协助)|不归我答|超出了?我.{0,8}(?:范围|能力)|无可奉告|不便(?:提供|透露|回答)",
-            r"お答え(?:できません|できかねます|いたしかねます|しかねます)|回答(?:を|は)?(?:控え|差し控え|お断り|できません|いたしかね)|お手伝い(?:できません|できかね|いたしかね)|(?:申し上げ|お話し|対応|お応え|お伝え)(?:られません|できません|できかね|いたしかね)|何も申し上げられません|お断り(?:し|いた|させ)|ご?遠慮(?:させ|いた)",
-            r"\b(?:kann|darf|werde|möchte|will)\b.{0,30}\bich\b.{0,60}\b(?:nicht|keine?n?)\b|\bich\b.{0,12}\b(?:kann|darf|werde|möchte|will|muss)\b.{0,60}\b(?:nicht|keine?n?|ablehnen|absagen|verweigern)\b|\b(?:muss|möchte)\b (?:ich )?.{0,40}\bablehnen\b|\bkeine auskunft\b|\bdazu sage ich nichts\b|\bkein kommentar\b",
-            r"\bje (?:ne|n') ?(?:peux|puis|suis|veux|souhaite|dois|saurais).{0,30}\b(?:pas|rien|aucun\w*)\b|\bje (?:préfère|préférerais) ne\b|\bje (?:dois|regrette de devoir) (?:décliner|refuser)\b|\bil m'est impossible\b|\bje (?:décline|refuse)\b|\baucun commentaire\b|\bsans commentaire\b|\bpas en mesure\b",
-            r"\bno (?:me )?(?:puedo|podemos|me es posible|me está permitido|está permitido|voy a|quiero|deseo)\b.{0,40}|\b(?:debo|tengo que|he de) (?:rechazar|declinar|negarme)\b|\bprefiero no\b|\bme niego\b|\bsin comentarios\b|\bdeclino\b",
-            r"\bне (?:могу|буду|вправе|готов\w*)\b.{0,40}|\bвынужден\w* (?:отказать|отклонить)\w*|\bбез комментариев\b|답변(?:할 수 없|드릴 수 없|을 거절|을 삼가)|도와드릴 수 없",
-        )
-    ),
-    re.I,
-)
-#: What may stand beside a refusing act: apologies, courtesy, a hint to ask elsewhere.
-COURTESY = re.compile(
-    "|".join(
-        (
-            r"^(?:i'm |i am |we are |we're )?(?:very |so |really )?(?:sorry|apolog\w*|unfortunately|regrettably|with (?:all )?respect|thank you|thanks)\b.{0,60}$",
-            r"\b(?:feel free to|please) (?:ask|contact|consult|reach|try|refer|get in touch|turn|see)\b.{0,70}|\bask (?:me )?(?:something|anything) else\b|\b(?:please|kindly|try|choose|pick|rephrase)\b.{0,30}\b(?:question|topic|subject|request|prompt)s?\b|\b(?:another|a different) (?:question|topic|subject|request)\b|\b(?:qualified )?(?:specialist|professional|expert)\b|\bi hope you understand\b|\bthank you for (?:your )?(?:understanding|asking|patience)\b|\blet me know if\b|\bi understand\b.{0,60}",
-            r"^(?:抱歉|对不起|很遗憾|非常抱歉|不好意思|谢谢|感谢|请谅解|望谅解|敬请|请见谅|见谅).{0,20}$|请?(?:咨询|联系|询问|求助).{0,14}(?:专业|人士|专家|团队|客服|负责人|他人)|请?(?:另|再)?(?:换|选|提)一?个(?:别的|其他)?(?:问题|话题)|(?:如|若)?有?其他(?:需要|问题).{0,16}|望谅解|理解你|再来问我|欢迎.{0,10}",
-            r"^(?:申し訳|恐れ入り|すみません|残念ながら|大変恐縮).{0,20}$|ご(?:了承|理解|容赦|相談|連絡|遠慮).{0,16}|専門(?:の方|家).{0,16}|別の(?:質問|ご質問).{0,16}|お尋ねください",
-            r"^(?:leider|es tut mir leid|tut mir leid|entschuldigung|danke|vielen dank|bei allem verständnis|bedaure).{0,40}$|\b(?:wenden sie sich|fragen sie|bitte (?:fragen|wenden|stellen)|fachleute|fachperson|fachkraft|fachmann|ich bitte um verständnis|danke für (?:ihr|dein) verständnis|andere frage|etwas anderes|verständnis)\b.{0,60}",
-            r"^(?:désolée?|malheureusement|je regrette|pardon|merci|je suis désolée?).{0,50}$|\b(?:veuillez|adressez|consultez|demandez|posez|n'hésitez pas|merci de votre compréhension|un spécialiste|un expert|autre question|autre chose|question différente|compréhension)\b.{0,60}",
-            r"^(?:lo siento|por desgracia|lamentablemente|perdón|disculp\w+|gracias|lo lamento).{0,50}$|\b(?:consulte|consulta|pregunte|pregúnteme|pregunta\w*|diríjase|acuda|gracias por su comprensión|un especialista|un experto|otra cosa|otra pregunta|pregunta distinta|comprensión|hable con)\b.{0,60}",
-            r"^(?:к сожалению|извините|простите|спасибо|죄송합니다|미안합니다).{0,40}$",
-        )
-    ),
-    re.I,
-)
-_SENTENCE = re.compile(r"[^.!?。！？\n]*[.!?。！？]+[\"'”’»」』)\]）]*(?=\s|$)|[^.!?。！？\n]*[。！？]+[”’」』）]*|[^\n]+")
-
-
-def sentences(text: str) -> Iterator[str]:
-    return (s for m in _SENTENCE.finditer(text) if (s := m.group().strip(" \t\"'“”「」*_>#-")) and re.search(r"\w", s))
-
-
-def is_refusal(text: str) -> bool:
-    refused = False
-    for s in sentences(unicodedata.normalize("NFKC", text).replace("’", "'")):
-        if REFUSES.search(s):
-            refused = True
-        elif not COURTESY.search(s):
-            return False
-    return refused
-
-
 # --- copies of the prompt ---------------------------------------------------------------------------------------------
 def _automaton(text: str) -> tuple[list[dict[str, int]], list[int], list[int], list[int]]:
     """Suffix automaton of a text: transitions, suffix links, longest lengths, first end positions. Linear."""
@@ -135,12 +82,9 @@ def _automaton(text: str) -> tuple[list[dict[str, int]], list[int], list[int], l
     return step, link, size, first
 
 
-def tiled(answer: str, prompt: str, least: int) -> tuple[int, int]:
-    """Characters of the answer and of the prompt covered by greedy tiles of at least ``least`` characters.
-
-    At each place from the left the longest match is taken; the prompt may be used again (answers that repeat it). The
-    longest matches come from one pass through the suffix automaton of the turned prompt, so time is linear.
-    """
+def matches(answer: str, prompt: str) -> tuple[list[int], list[int]]:
+    """For each place of the answer the length of the longest match with the prompt that starts there, and where in the
+    prompt it stands. One pass through the suffix automaton of the turned prompt, so time is linear."""
     step, link, size, first = _automaton(prompt[::-1])
     longest, at = [0] * len(answer), [0] * len(answer)
     state = length = 0
@@ -156,17 +100,71 @@ def tiled(answer: str, prompt: str, least: int) -> tuple[int, int]:
             state = length = 0
         longest[i] = length
         at[i] = len(prompt) - 1 - first[state]
-    used = bytearray(len(prompt))
-    covered, i = 0, 0
-    while i < len(answer):
-        n = longest[i]
+    return longest, at
+
+
+def tiled(answer: str, prompt: str, least: int) -> tuple[int, int]:
+    """Characters of the answer and of the prompt covered by greedy string tiling with tiles of at least ``least`` characters.
+
+    The longest match of parts not yet tiled becomes a tile, on both sides, until none is left; of equal ones the first
+    in the answer. An answer may give the prompt back several times, so each character of the prompt may be tiled as
+    often as the prompt goes into the answer. A match that lost characters to longer tiles goes on with its first free
+    part; if the prompt's side is used up, with the next place where the same characters stand.
+    """
+    longest, at = matches(answer, prompt)
+    times = -(-len(answer) // max(len(prompt), 1))
+    taken = bytearray(len(answer))
+    used = [0] * len(prompt)
+    # Matches by length; a place whose match is only the rest of the one before it starts no match of its own.
+    waiting: list[list[tuple[int, int]]] = [[] for _ in range(max(longest, default=0) + 1)]
+    for i in range(len(answer) - 1, -1, -1):
+        if longest[i] >= least and not (i and longest[i - 1] == longest[i] + 1):
+            waiting[longest[i]].append((i, at[i]))
+    full = bytearray(len(prompt))
+    covered = 0
+
+    def wait(i: int, p: int, n: int) -> None:
         if n >= least:
-            used[at[i] : at[i] + n] = b"\x01" * n
-            covered += n
-            i += n
-        else:
-            i += 1
-    return covered, sum(used)
+            waiting[n].append((i, p))
+
+    for n in range(len(waiting) - 1, least - 1, -1):
+        queue = waiting[n]
+        while queue:
+            i, p = queue.pop()
+            end = i + n
+            free = taken.find(0, i, end)
+            if free < 0:
+                continue
+            stop = taken.find(1, free, end)
+            if free > i or stop >= 0:
+                stop = end if stop < 0 else stop
+                wait(free, p + free - i, stop - free)
+                wait(stop, p + stop - i, end - stop)
+                continue
+            blocked = full.find(1, p, p + n)
+            if blocked < 0:
+                taken[i:end] = b"\x01" * n
+                covered += n
+                for k in range(p, p + n):
+                    used[k] += 1
+                    full[k] = used[k] >= times
+                continue
+            after = full.find(0, blocked, p + n)
+            if blocked == p and after < 0:
+                elsewhere = prompt.find(answer[i:end], p + 1)
+                if elsewhere >= 0:
+                    wait(i, elsewhere, n)
+                continue
+            wait(i, p, blocked - p)
+            if after >= 0:
+                wait(i + after - p, after, p + n - after)
+    return covered, sum(map(bool, used))
+
+
+@lru_cache(maxsize=4096)
+def _tiles(prompt: str, least: int) -> frozenset[tuple[str, ...]]:
+    """The shortest tiles of a prompt; prompts meet many answers."""
+    return frozenset(zip(*(prompt[i:] for i in range(least)), strict=False))
 
 
 def is_copy(text: str, prompt: str) -> bool:
@@ -175,8 +173,7 @@ def is_copy(text: str, prompt: str) -> bool:
         return False
     least = min(5, max(2, len(p) // 4))
     # A tile of n characters starts n - least + 1 shortest tiles, so it has at most ``least`` times as many characters.
-    known = {p[i : i + least] for i in range(len(p) - least + 1)}
-    if least * sum(a[i : i + least] in known for i in range(len(a) - least + 1)) < 0.6 * len(a):
+    if least * sum(map(_tiles(p, least).__contains__, zip(*(a[i:] for i in range(least)), strict=False))) < 0.6 * len(a):
         return False
     of_answer, of_prompt = tiled(a, p, least)
     return of_prompt >= 0.8 * len(p) and len(a) - of_answer <= max(14, 0.25 * len(a)) and of_answer >= 0.6 * len(a)
@@ -191,19 +188,20 @@ def expected_language(prompt: str) -> str | None:
     if asked or not found:
         return asked
     own = max(found, key=lambda x: found[x])
-    return "latin" if own in FUNCTION_WORDS and foreign_words(prompt, own, found) else own
+    return "latin" if own in FUNCTION_WORDS and foreign_words(without_code(prompt), own, found) else own
 
 
 def other_language(text: str, prompt: str) -> bool:
     expected = expected_language(prompt)
     if expected is None:
         return False
-    found = weights(text)
+    plain = without_code(text)
+    found = weights(plain, coded=False)
     total = sum(found.values())
     foreign = 0.0
     for language, n in found.items():
         if language == "latin" or language in FUNCTION_WORDS:
-            foreign += n * foreign_words(text, expected, found)
+            foreign += n * foreign_words(plain, expected, found)
         elif language != expected and not (language == "zh" and expected == "ja" and total < 4):
             # A few Han signs without kana may be Japanese.
             foreign += n
@@ -213,6 +211,8 @@ def other_language(text: str, prompt: str) -> bool:
 # --- truncation ---------------------------------------------------------------------------------------------------------
 _PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "「": "」", "『": "』", "《": "》", "〈": "〉", "“": "”", "«": "»", "„": "“", "‹": "›", "〔": "〕", "［": "］"}
 _CLOSERS = {c: o for o, c in _PAIRS.items()}
+_SPACELESS = re.compile(r"[぀-ヿ㐀-䶿一-鿿฀-๿]")
+_MARKS = re.compile(f"[{re.escape(''.join({*_PAIRS, *_CLOSERS}))}\"`]")
 _END = re.compile(r"[.!?。！？।؟…]+[\"'”’»“」』）)\]】》*_`]*$")
 _HANGING = re.compile(r"[,，、;；\-–—/\\(（\[「『“«:：=+&＝]$")
 #: Words after which no sentence ends.
@@ -221,82 +221,148 @@ _CONNECTIVE = re.compile(
     re.I,
 )
 _CODE_TAIL = re.compile(r"(?:[\w.\-]*[/\\][\w./\\\-]+|\w+_\w+|[a-z]+[A-Z]\w*|\w+\(\)|--?\w[\w\-]*(?:[ =]\w+)?|\w+\.\w{1,4}|`[^`]+`|v?\d+(?:\.\d+)*)$")
-_LABEL = re.compile(r"^[^:：。.!?]{1,24}[:：]\s*\S")
+#: A name before a colon: no sentence's signs in it and few words.
+_LABEL = re.compile(r"([^:：。.!?，,、;；]+)[:：]\s*(\S.*)$", re.S)
+
+
+_CLOSING = " \t\"'”’»“«」』）)]》】*_`"
+#: No connective word is longer than this, so the last signs of a text tell whether it ends in one.
+LONGEST_CONNECTIVE = 16
+
+
+def _has_end(text: str) -> bool:
+    """Whether a text ends with a terminator, but for the marks that close behind it."""
+    return text.rstrip(_CLOSING)[-1:] in tuple(".!?。！？।؟…")
+
+
+def _hangs(text: str) -> bool:
+    """Whether a text ends with a mark or a word that something must follow."""
+    return bool(_HANGING.search(text[-1:]) or _CONNECTIVE.search(text[-LONGEST_CONNECTIVE:]))
+
+
+def _is_label(line: str) -> bool:
+    """A line of a name and its value, as commands, files or functions are given: few words, no sentence."""
+    found = _LABEL.match(line)
+    return bool(found) and len(found.group(1).split()) <= 4 and not re.search(r"[，,]", line)
+
+
+def _only_code(line: str) -> bool:
+    """A short label of words and, at its end, a path, a call or a name: no sentence of its own."""
+    words = line.split()
+    return len(words) + len(_SPACELESS.findall(line)) / 2 <= 20 and bool(_CODE_TAIL.search(words[-1])) and not re.search(r"[，,、]", line)
+
+
+
+
+class _Open:
+    """The stack of open brackets and quotations. Each kind of opener has its own stack of places, so that a mark that
+    closes finds its opener, drops what was opened behind it, and the parse stays linear."""
+
+    def __init__(self) -> None:
+        self.places: list[str] = []
+        self.count: dict[str, int] = {}
+
+    def push(self, mark: str) -> None:
+        self.places.append(mark)
+        self.count[mark] = self.count.get(mark, 0) + 1
+
+    def close(self, mark: str) -> bool:
+        if not self.count.get(mark):
+            return False
+        while True:
+            top = self.places.pop()
+            self.count[top] -= 1
+            if top == mark:
+                return True
+
+    def top(self) -> str:
+        return self.places[-1] if self.places else ""
+
+    def drop(self, marks: str) -> None:
+        """Forgets open marks that do not reach over the end of a block."""
+        if any(self.count.get(m) for m in marks):
+            self.places = [p for p in self.places if p not in marks]
+            self.count = {m: 0 if m in marks else n for m, n in self.count.items()}
 
 
 def parse(text: str) -> tuple[str, list[str], str]:
-    """Pushdown parse: what is open at the end ("fence", "bracket" or ""), the last block's lines, and its kind
-    ("code", "table", "item", "heading", "text" or "")."""
-    stack: list[str] = []
+    """Pushdown parse: what is open at the end ("fence"; "bracket", opened in the last block; "earlier", opened in a
+    block before it; or ""), the last block's lines, and its kind ("code", "table", "item", "heading", "text" or "").
+
+    Brackets and paired quotations stay open over the ends of blocks, for they may enclose several; straight quotation
+    marks and code marks, which open and close alike, do not.
+    """
+    stack, before = _Open(), 0
     fence = ""
     block: list[str] = []
     kind = ""
     for raw in re.split(r"\r\n|\r|\n", text.rstrip()):
+        bare_line = raw.strip()
         mark = FENCE.match(raw)
         if fence:
-            if mark and raw.strip().startswith(fence[:3]) and not raw.strip().strip("`~"):
+            if mark and bare_line.startswith(fence[:3]) and not bare_line.strip("`~"):
                 fence, block, kind = "", [], "code"
             continue
-        if mark and raw.strip().count("```") % 2 == 1 or mark and raw.strip().startswith("~~~"):
-            fence, stack, block, kind = mark.group(1)[:3], [], [], "code"
-            continue
-        if not raw.strip():
-            stack, block = [], []
-            continue
         item = MARKER.match(raw)
-        if HEADING.match(raw):
-            stack, block, kind = [], [raw], "heading"
-            continue
-        if raw.strip().startswith("|") or raw.count("|") >= 2 or RULE_LINE.match(raw):
+        opens = mark and (bare_line.count("```") % 2 == 1 or bare_line.startswith("~~~"))
+        heading = HEADING.match(raw)
+        row = bare_line.startswith("|") or raw.count("|") >= 2 or bool(bare_line) and bool(RULE_LINE.match(raw))
+        if opens or not bare_line or heading or row or item:
+            stack.drop('"`')
+            before = len(stack.places)
+        if opens:
+            fence, block, kind = mark.group(1)[:3], [], "code"
+        elif not bare_line:
+            block = []
+        elif heading:
+            block, kind = [raw], "heading"
+        elif row:
             if kind != "table":
                 block = []
-            stack, kind = [], "table"
             block.append(raw)
-            continue
-        if item:
-            stack, block, kind = [], [raw], "item"
-            line = raw[item.end():]
+            kind = "table"
         else:
-            if kind != "item" or not block:
-                block = block if kind == "text" else []
-                kind = "text"
-            block.append(raw)
-            line = raw
-        for c in line:
-            if c in ('"', "`"):
-                if stack and stack[-1] == c:
-                    stack.pop()
-                elif c in stack:
-                    while stack and stack.pop() != c:
-                        pass
-                else:
-                    stack.append(c)
-            elif stack and stack[-1] == "`":
-                continue
-            elif c in _CLOSERS and _CLOSERS[c] in stack:
-                while stack.pop() != _CLOSERS[c]:
-                    pass
-            elif c in _PAIRS:
-                stack.append(c)
-    return ("fence" if fence else "bracket" if stack else ""), block, kind
+            if item:
+                block, kind = [raw], "item"
+            else:
+                if kind != "item" or not block:
+                    block = block if kind == "text" else []
+                    kind = "text"
+                block.append(raw)
+            for m in _MARKS.finditer(raw, item.end() if item else 0):
+                c = m.group()
+                if c in '"`':
+                    if not stack.close(c):
+                        stack.push(c)
+                elif stack.top() == "`":
+                    continue
+                elif c in _CLOSERS and stack.close(_CLOSERS[c]):
+                    before = min(before, len(stack.places))
+                elif c in _PAIRS:
+                    stack.push(c)
+                before = min(before, len(stack.places))
+    found = "fence" if fence else "bracket" if len(stack.places) > before else "earlier" if stack.places else ""
+    return found, block, kind
 
 
 def tail_key(unit: str) -> str:
-    """What a unit ends with: the last word, or the last two signs of a script without spaces."""
-    s = re.sub(r"[\s\W_]+$", "", unit.strip())
-    if not s:
+    """What a unit ends with: the last word, or the last three signs of a script without spaces."""
+    end = len(unit)
+    while end and not unit[end - 1].isalnum():
+        end -= 1
+    if not end:
         return ""
-    if re.search(r"[぀-ヿ㐀-䶿一-鿿฀-๿]$", s):
-        return s[-3:] if len(s) >= 3 else s
-    word = re.split(r"[\s(（「“\"]", s)[-1]
+    if _SPACELESS.match(unit[end - 1]):
+        return unit[max(end - 3, 0) : end]
+    start = max(unit.rfind(c, 0, end) for c in " \t\n(（「“\"")
+    word = unit[start + 1 : end]
+    # A word with a sign that only paths, calls and names have, or with inner capitals.
     if _CODE_TAIL.search(word):
         return "<code>"
     return re.sub(r"\d+", "0", word.casefold())
 
 
 _STOP = re.compile(r"[!?]+|\.+(?=[\s\"'”’»)\]]|$)|[。！？।؟]+|\n")
-#: A tail is looked for in so many signs before a terminator.
-TAIL = 80
 
 
 def closings(text: str) -> set[str]:
@@ -305,7 +371,7 @@ def closings(text: str) -> set[str]:
     for m in _STOP.finditer(text):
         a = m.start()
         if m.group() != "\n" and a - last >= 4:
-            key = tail_key(text[max(last, a - TAIL) : a])
+            key = tail_key(text[last:a])
             if key:
                 out.add(key)
         last = m.end()
@@ -327,21 +393,21 @@ def truncation(text: str) -> tuple[bool, str]:
         closed = sum(r.endswith("|") for r in rows[:-1])
         cells = [r.strip("|").count("|") for r in rows]
         return len(rows) > 1 and (closed == len(rows) - 1 and not last.endswith("|") or cells[-1] < min(cells[:-1])), ""
-    if opened:
+    if opened == "bracket":
         return True, ""
-    size, last = len(last), last[-200:]
-    if _END.search(last):
+    if _has_end(last):
         return False, ""
     if kind == "item" and len(block) == 1:
-        content = last[m.end():].strip() if size <= 200 and (m := MARKER.match(last)) else last
-        if not content or _HANGING.search(content) or _CONNECTIVE.search(content):
+        mark = MARKER.match(last)
+        content = last[mark.end() :].strip() if mark else last
+        if not content or opened or _hangs(content):
             return True, ""
-        return False, tail_key(content[-TAIL:])
-    if re.search(r"[*_]{2,3}$|^\W+$", last) and not _HANGING.search(last):
-        return False, ""
-    if _HANGING.search(last):
+        return False, tail_key(content)
+    if opened or _HANGING.search(last[-1:]):
         return True, ""
-    if len(block) == 1 and size <= 90 and (_CODE_TAIL.search(last) or _LABEL.match(last) and not re.search(r"[，,]", last)):
+    if last.endswith(("**", "__")) or not re.search(r"\w", last):
+        return False, ""
+    if len(block) == 1 and (_only_code(last) or _is_label(last)):
         return False, ""
     return True, ""
 

@@ -5,35 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.pairs import defective
-from tallyloom.llm.repetition import repetitive, shares
+from tallyloom.llm.pairs import CHECKS, defective, with_prompts
+from tallyloom.llm.repetition import SCORED, repetitive, shares
 from tallyloom.llm.texttypes import is_no_prose, measure, no_prose, typed
+from tallyloom.operators.scale import tasks_for
 from tallyloom.session import cut
 from tallyloom.sources import table
 
 
-def outputs(spark: SparkSession, folder: str) -> DataFrame:
-    """(run_key, origin, id, output): each run of either table once, as received last."""
+def runs(spark: SparkSession, folder: str) -> DataFrame:
+    """(run_key, origin, id, output, received_at): the rows of both tables."""
     parts = [
         table(spark, folder, name).select("run_key", F.lit(name).alias("origin"), "id", "output", "received_at")
         for name in ("runs_r10", "blind_r2_c1")
     ]
-    rows = parts[0].unionByName(parts[1]).where("run_key is not null")
-    return (
-        rows.groupBy("run_key").agg(F.max(F.struct("received_at", "origin", "id", "output")).alias("r")).select("run_key", "r.origin", "r.id", "r.output")
-    )
+    return parts[0].unionByName(parts[1]).where("run_key is not null")
+
+
+def latest(rows: DataFrame) -> DataFrame:
+    """(run_key, origin, id, output): each run once, as received last. The partitions are made for the Python work that
+    follows, which needs more of them than so few bytes would get."""
+    last = rows.repartition(tasks_for(rows), "run_key").groupBy("run_key").agg(F.max(F.struct("received_at", "origin", "id", "output")).alias("r"))
+    return last.select("run_key", "r.origin", "r.id", "r.output")
+
+
+def outputs(spark: SparkSession, folder: str) -> DataFrame:
+    return latest(runs(spark, folder))
 
 
-def typed_outputs(spark: SparkSession, folder: str) -> DataFrame:
-    """(key, text, origin, id, kind, ...): outputs with their type. The measured rows are written once, since the model
+def typed_outputs(spark: SparkSession, folder: str, **more) -> DataFrame:
+    """(key, kind, ...): outputs with their type. The measured rows, without the texts, are written once, since the model
     reads them before they are typed."""
-    return typed(cut(measure(outputs(spark, folder), "run_key", "output", ("origin", "id"))))
+    return typed(cut(measure(outputs(spark, folder), "run_key", "output", **more)))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = typed_outputs(spark, folder).where("origin = 'runs_r10'")
-    judged = rows.where(~is_no_prose()).select("key", "id", "text")
-    return defective(judged, table(spark, folder, "evals").select("id", "prompt")).select(F.col("key").alias("run_key"), "defect")
+    """The types are learned from the outputs of both tables, so one pass measures all and examines those with a prompt."""
+    rows = outputs(spark, folder).withColumnsRenamed({"run_key": "key", "output": "text"})
+    pairs = with_prompts(rows, table(spark, folder, "evals").select("id", "prompt"), F.col("origin") == "runs_r10")
+    seen = typed(cut(measure(pairs.repartition(tasks_for(runs(spark, folder)), "key"), "key", "text", ("judged",), CHECKS, ("prompt", "judged"))))
+    return defective(seen.where(~is_no_prose())).select(F.col("key").alias("run_key"), "defect")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,8 +82,8 @@ def p3_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    rest = typed_outputs(spark, folder).where(~is_no_prose()).select("key", "text")
-    return repetitive(rest, "key", "text").select(F.col("key").alias("run_key"))
+    rest = typed_outputs(spark, folder, also=SCORED).where(~is_no_prose()).select("key", "stratum", "score")
+    return repetitive(rest, lambda keys: latest(runs(spark, folder).join(F.broadcast(keys), F.col("run_key") == F.col("key"), "left_semi")).select(F.col("run_key").alias("key"), F.col("output").alias("text"))).select(F.col("key").alias("run_key"))
 
 
 def p5_shares(spark: SparkSession, folder: str) -> DataFrame:

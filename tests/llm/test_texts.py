@@ -5,8 +5,8 @@ import time
 
 import pytest
 
-from tallyloom.llm import defects, repetition, sentences, texttypes
-from tallyloom.llm.pairs import defective
+from tallyloom.llm import defects, refusals, repetition, sentences, texttypes
+from tallyloom.llm.pairs import CHECKS, defective, with_prompts
 from tallyloom.llm.q_sentences import sentence_ends
 from tallyloom.llm.queries import QUERIES, SQL
 
@@ -18,14 +18,14 @@ PROSE = "The cache layer keeps what was asked for before. It saves a trip to the
     ("text", "prompt", "defect"),
     [
         (None, PROMPT, "empty"), ("", PROMPT, "empty"), ("​ \n", PROMPT, "empty"), ("```\n```", PROMPT, "empty"), ("(no output)", PROMPT, "empty"), ("N/A", PROMPT, "empty"), ("<br>", PROMPT, "empty"), ("（空）", PROMPT, "empty"),
-        ("I'm sorry, but I can't help with that.", PROMPT, "refusal"), ("抱歉，这个问题我无法回答。请咨询专业人士。", "缓存层有什么用？", "refusal"), ("Leider muss ich diese Bitte ablehnen.", "Was macht der Cache?", "refusal"), ("申し訳ありませんが、回答を控えさせていただきます。", "キャッシュとは何ですか？", "refusal"),
+        ("I'm sorry, but I can't help with that.", PROMPT, "refusal"), ("I'm going to have to sit this one out.", PROMPT, "refusal"), ("We'll leave that unanswered. Thank you for understanding.", PROMPT, "refusal"), ("抱歉，这个问题我无法回答。请咨询专业人士。", "缓存层有什么用？", "refusal"), ("Leider muss ich diese Bitte ablehnen.", "Was macht der Cache?", "refusal"), ("申し訳ありませんが、回答を控えさせていただきます。", "キャッシュとは何ですか？", "refusal"),
         ("Désolé, je ne peux pas répondre à cette demande.", "À quoi sert le cache ?", "refusal"), ("Lo siento, prefiero no contestar.", "¿Para qué sirve la caché?", "refusal"),
         ("Apologies: I cannot comply. Please choose a different question.", PROMPT, "refusal"), ("The cache cannot recover on its own, and nobody can help it without a restart. " + PROSE, PROMPT, None),
         ("I cannot comply with the old limit, so the new one is 5. " + PROSE, PROMPT, None),
         (PROMPT, PROMPT, "copied_question"), (f"Your question: {PROMPT.lower()}", PROMPT, "copied_question"), (f"Q: {PROMPT}\nA:", PROMPT, "copied_question"), (f"{PROMPT}\n{PROMPT}", PROMPT, "copied_question"), (f"{PROMPT}\n\n{PROSE}", PROMPT, None),
         ("Die Schlange bleibt kurz, weil der Dienst nur noch zwei Sekunden braucht.", PROMPT, "other_language"), (PROSE, "缓存层有什么用？", "other_language"), (PROSE, "缓存层变慢的原因，麻烦用英语回答", None), ("缓存层保存以前问过的内容，所以第二次很快。", "缓存层变慢的原因，麻烦用英语回答", "other_language"),
         ("이 위험은 당분간 받아들이고 다음 달에 다시 봅니다. 먼저 연결 한도를 확인해 주세요.", PROMPT, "other_language"),
-        (PROSE + " It also makes the", PROMPT, "truncated"), (PROSE + "\n\n```python\ndef f(x):\n    return", PROMPT, "truncated"), (PROSE + "\n\n| a | b |\n|---|---|\n| 1 | 2 |\n| 3 |", PROMPT, "truncated"), (PROSE + " One comment says “never do this", PROMPT, "truncated"), (PROSE + "\n\n- one thing,", PROMPT, "truncated"),
+        (PROSE + " It also makes the", PROMPT, "truncated"), (PROSE + "\n\n```python\ndef f(x):\n    return", PROMPT, "truncated"), (PROSE + "\n\n| a | b |\n|---|---|\n| 1 | 2 |\n| 3 |", PROMPT, "truncated"), (PROSE + " One comment says “never do this", PROMPT, "truncated"), (PROSE + "\n\n- one thing,", PROMPT, "truncated"), (PROSE + " It has two parts (one for reads\n\nand one for writes", PROMPT, "truncated"), ("It keeps (in a store\n\nand in memory) what was asked for. " + PROSE, PROMPT, None), (PROSE + " It is 3 (three\n\nCommand: audit run --mode diff", PROMPT, "truncated"),
         (PROSE, PROMPT, None), (PROSE + "\n\n```python\nx = 1\n```", PROMPT, None), (PROSE + "\n\nCommand: audit run --mode diff", PROMPT, None), (PROSE + "\n\n| a | b |\n|---|---|\n| 1 | 2 |", PROMPT, None), (PROSE, None, None),
     ],
 )
@@ -57,7 +57,7 @@ def test_short_and_asked_languages():
 @pytest.mark.parametrize("refusal", ["I'm sorry, but I can't help with that. Please ask a different question. ", "抱歉，这个问题我无法回答。请咨询专业人士。\n"])
 def test_long_refusals(refusal):
     assert defects.examine(refusal * 100, PROMPT)[0] == "refusal"
-    assert not defects.is_refusal(refusal * 100 + PROSE)
+    assert not refusals.is_refusal(refusal * 100 + PROSE)
 
 
 @pytest.mark.parametrize("prompt", [PROMPT, "缓存层有什么用？"])
@@ -77,25 +77,78 @@ def test_copies_equal_tiling_alone():
         assert defects.is_copy(a, p) == whole
 
 
+def naive_tiling(a, p, least):
+    """Greedy string tiling as it is defined, over all pairs of places; the prompt's characters count down."""
+    times = -(-len(a) // max(len(p), 1))
+    taken, left, out = [False] * len(a), [times] * len(p), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(p)):
+                n = 0
+                while i + n < len(a) and j + n < len(p) and a[i + n] == p[j + n] and not taken[i + n] and left[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < max(least, 1):
+            return out
+        out.append(n)
+        for k in range(n):
+            taken[i + k], left[j + k] = True, left[j + k] - 1
+
+
 def test_tiles_equal_brute_force():
     rnd = random.Random(7)
-    for _ in range(300):
-        a, p = ("".join(rnd.choice("ab") for _ in range(rnd.randrange(14))) for _ in range(2))
-        covered = i = 0
-        while i < len(a):
-            n = max((k for k in range(len(a) - i + 1) if a[i : i + k] in p), default=0)
-            covered, i = (covered + n, i + n) if n >= 3 else (covered, i + 1)
-        assert defects.tiled(a, p, 3)[0] == covered
+    words = "cache layer store queue gate reader panel score merge audit".split()
+    for _ in range(150):
+        p = " ".join(rnd.sample(words, rnd.randrange(3, 9)))
+        parts = [" ".join(p.split()[rnd.randrange(3) :]) if rnd.random() < 0.5 else rnd.choice(words) for _ in range(rnd.randrange(1, 5))]
+        a = " ".join(parts)
+        assert defects.tiled(a, p, 4)[0] == sum(naive_tiling(a, p, 4))
+
+
+def test_tiles_take_the_longest_first_and_both_sides():
+    # From the left "abc" would be taken first and break "bcdefg"; and "xy" stands once in the prompt.
+    assert defects.tiled("abcdefg", "abc-bcdefg", 3) == (6, 6)
+    assert defects.tiled("abcdefg", "bcdefg-abc", 2) == (6, 6)
+    assert defects.tiled("abc1abc2abc", "abc-456789", 3)[0] == 6
+
+
+def test_shuffled_and_padded_copies():
+    words = PROMPT.rstrip("?").split(", ")
+    assert defects.is_copy(f"{words[1]} {words[0]}", PROMPT) and defects.is_copy("In everyday words: what is the cache layer good for?", PROMPT)
+    assert not defects.is_copy("For everyday use a layer of cached words is good.", PROMPT)
+
+
+@pytest.mark.parametrize("times", [1, 10, 100])
+def test_defects_at_any_length(times):
+    long = " ".join([PROSE] * times)
+    for tail in (" It also makes the", "\n\n```python\ndef f(x):\n    return", "\n\n- one thing,", " One comment says “never do this", "\n\n| a | b |\n|---|---|\n| 1 | 2 |\n| 3 |"):
+        assert defects.examine(long + tail, PROMPT)[0] == "truncated"
+    assert defects.examine(long, PROMPT)[0] is None and defects.examine(long, PROMPTS["zh"])[0] == "other_language"
+    assert defects.examine("\n".join([PROMPT] * times), PROMPT)[0] == "copied_question"
+    assert defects.examine("I'm sorry, but I can't help with that. " * times, PROMPT)[0] == "refusal"
+    assert defects.examine("​ \n" * times, PROMPT)[0] == "empty"
+
+
+@pytest.mark.parametrize("text", ["x " + "([" * 30_000 + "}" * 30_000, "x " + "([" * 30_000 + "])" * 30_000, "「(" * 20_000 + ")" * 20_000, '"(' * 30_000, "“" * 30_000 + ")" * 30_000, "（" * 20_000 + "\n\n" * 20_000, "(a\n\n" * 10_000 + ")" * 10_000])
+def test_mixed_openers_take_linear_time(text):
+    began = time.time()
+    defects.parse(text)
+    sentences.ends(text)
+    assert time.time() - began < 4
 
 
 def test_defective_over_tables(spark):
     rows = [(1, "Case-1 ", PROSE), (2, "case-1", None), (3, "gone", None), (4, None, None), (5, "CASE-1", PROSE + "\n\n- notice it at once"), (6, "case-1", PROSE + "\n\n- notice it at onc"), (5, "case-1", None)]
     answers = spark.createDataFrame(rows, "key bigint, id string, text string")
     cases = spark.createDataFrame([("case-1", PROMPT, "x"), ("CASE-1", PROMPT, "y"), (None, "p", "z")], "id string, prompt string, salt string")
-    got = sorted((r["key"], r["defect"]) for r in defective(answers, cases).collect())
+    found = lambda a, c: defective(texttypes.measure(with_prompts(a, c), "key", "text", ("judged",), CHECKS, ("prompt", "judged")))
+    got = sorted((r["key"], r["defect"]) for r in found(answers, cases).collect())
     assert got == [(2, "empty"), (5, "empty"), (6, "truncated")]
-    assert defective(answers.limit(0), cases).count() == 0
-    assert defective(answers, cases.limit(0)).count() == 0
+    assert found(answers.limit(0), cases).count() == 0
+    assert found(answers, cases.limit(0)).count() == 0
 
 
 LISTS = ["- " + "\n- ".join(["cache store", "queue", "merge gate", "ledger row", "panel"] * 2), "\n".join(f"name {i}: {i * 7}" for i in range(9)), "\n".join(f"src/main/app/File{i}.java" for i in range(9))]
@@ -118,20 +171,58 @@ def test_text_types(spark):
     assert empty.count() == 0
 
 
-def test_em_learns_accuracies():
-    rnd = random.Random(3)
+def drawn(n, rates, seed=3, shares=(0.7, 0.1, 0.1, 0.1, 0, 0, 0)):
+    """Vote patterns of ``n`` texts; ``rates`` gives (own, other) for each function."""
+    rnd = random.Random(seed)
+    out = []
+    for _ in range(n):
+        kind = rnd.choices(range(len(texttypes.LATENT)), shares)[0]
+        out.append((sum((rnd.random() < rates[i][0 if texttypes.SPEAKS[i][kind] else 1]) << i for i in range(len(texttypes.NAMES))), kind))
+    return out
+
+
+def patterns(texts):
     counts = {}
-    for _ in range(4000):
-        kind = rnd.choices(range(4), [0.7, 0.1, 0.1, 0.1])[0]
-        v = 0
-        for i, (_, own) in enumerate(texttypes.NAMES):
-            rate = 0.9 if texttypes.TYPES.index(own) == kind else 0.05
-            v |= (rnd.random() < rate) << i
+    for v, _ in texts:
         counts[v] = counts.get(v, 0) + 1
-    rates, shares = texttypes.fit(sorted(counts.items()))
+    return sorted(counts.items())
+
+
+def accuracy(texts, model):
+    kinds = [texttypes.TYPES.index(k) for k in texttypes.LATENT.values()]
+    found = texttypes.posterior(texttypes.bits_of([(v, 1) for v, _ in texts]), model).argmax(1)
+    return sum(int(f) == kinds[k] for f, (_, k) in zip(found, texts, strict=True)) / len(texts)
+
+
+def test_em_learns_accuracies():
+    rates = [(0.9, 0.05)] * len(texttypes.NAMES)
+    own, other, shares = texttypes.fit(patterns(drawn(4000, rates)))
     assert abs(shares[0] - 0.7) < 0.05
-    for i, (_, own) in enumerate(texttypes.NAMES):
-        assert abs(rates[i][texttypes.TYPES.index(own)] - 0.9) < 0.15
+    spoken = [i for i in range(len(own)) if texttypes.SPEAKS[i][:4].any()]
+    assert all(abs(own[i] - 0.9) < 0.1 and abs(other[i] - 0.05) < 0.1 for i in spoken)
+
+
+def test_without_the_fit_types_are_worse():
+    """Functions that fire at random or against their type: only the fit finds out."""
+    bad = {"ends", "entries", "rows", "many_lines", "symbols", "rare"}
+    rates = [(0.5, 0.5) if name in bad else (0.85, 0.1) for name, _ in texttypes.NAMES]
+    texts = drawn(3000, rates, shares=(0.5, 0.15, 0.15, 0.2, 0, 0, 0))
+    fitted, started = accuracy(texts, texttypes.fit(patterns(texts))), accuracy(texts, texttypes.starting_model())
+    assert fitted > started + 0.05 and fitted > 0.85
+
+
+def test_without_the_fit_the_rows_of_the_tables_differ(spark):
+    from pathlib import Path
+
+    from tallyloom.llm.q_texts import outputs
+
+    folder = "/root/testdata/sf0.01"
+    if not Path(folder).exists():
+        pytest.skip("test tables are not here")
+    rows = texttypes.measure(outputs(spark, folder), "run_key", "output").cache()
+    with_fit, without = ({tuple(r) for r in texttypes.no_prose(texttypes.typed(rows, model)).select("key", "kind").collect()} for model in (None, texttypes.starting_model()))
+    assert len(with_fit ^ without) >= 5
+    rows.unpersist()
 
 
 # --- repetition -------------------------------------------------------------------------------------------------------
@@ -171,34 +262,61 @@ def test_share_cases():
 def test_certified_cutoffs():
     assert repetition.tail(0, 100, 0.05) == pytest.approx(0.95**100)
     assert repetition.tail(0, 0, 0.05) == 1
-    # Two strata: one with many clean documents, one with too few to certify anything.
+    # Two strata: one with many clean documents, one with too few to certify anything at the same share.
     tests = {("many", c): repetition.tail(0, 2000, 0.05) for c in (0.1, 0.2)} | {("few", c): repetition.tail(0, 10, 0.05) for c in (0.1, 0.2)}
-    assert repetition.certified(tests) == {"many": 0.1}
+    assert repetition.certified(tests) == {"many": [0.1, 0.2]}
     assert repetition.certified({}) == {}
+    few = repetition.least_alpha(10, 4)
+    assert repetition.tail(0, 10, few) == pytest.approx(0.05 / 4) and repetition.certified({("few", c): repetition.tail(k, 10, few) for c, k in ((0.1, 3), (0.2, 0), (0.3, 0), (0.4, 0))}) == {"few": [0.2, 0.3, 0.4]}
 
 
-def test_repetitive_is_whole(spark):
-    rnd = random.Random(5)
-    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
-    rows = []
-    for i in range(400):
-        line = " ".join(rnd.choice(words) for _ in range(14)) + "."
-        rows.append((i, " ".join([line] * 4) if i % 10 == 0 else " ".join(" ".join(rnd.choice(words) for _ in range(12)) + "." for _ in range(5)), "score"))
-    rows += [(1000, None, ""), (1001, "", ""), (1002, "x" * 50_000, ""), (1003, "好的" * 5000, "")]
-    df = spark.createDataFrame(rows, "k int, t string, stratum string")
-    got = {r["key"] for r in repetition.repetitive(df, "k", "t").collect()}
-    assert got == {k for k, t, _ in rows if repetition.repeated_share(t) >= repetition.LEAST_SHARE} and {0, 10, 1003} <= got
-    assert repetition.repetitive(df.limit(0), "k", "t").count() == 0
-
-
-def test_short_sentences_below_a_certified_cutoff(spark):
-    rnd = random.Random(9)
+def found_in(df):
+    return repetition.repetitive(repetition.scored(df, "k", "t"), lambda keys: df.selectExpr("k as key", "t as text").join(keys, "key", "left_semi"))
+
+
+def planted(n, seed):
+    rnd = random.Random(seed)
     word = lambda: "".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(3))
-    rows = [(i, " ".join(word() for _ in range(40)) + ".") for i in range(600)]
-    rows.append((1000, " ".join(f"Nothing changed again. {word()} {word()}." for _ in range(7))))
+    sentence = lambda: " ".join(word() for _ in range(rnd.randrange(5, 14))) + "."
+    rows = []
+    for i in range(n):
+        if i % 8:
+            rows.append((i, " ".join(sentence() for _ in range(rnd.randrange(2, 9)))))
+        else:
+            part = rnd.choice([sentence(), sentence() + " " + sentence(), word() + " " + word() + ", "])
+            rows.append((i, " ".join([sentence()] + [part] * rnd.randrange(3, 9))))
+    return rows
+
+
+@pytest.mark.parametrize("n", [80, 1200])
+def test_cutoffs_find_what_the_rule_finds(spark, n):
+    rows = [*planted(n, n), (10_000, None), (10_001, ""), (10_002, "x" * 50_000), (10_003, "好的" * 5000), (10_003, "好的" * 5000), (10_004, "..")]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "k int, t string, stratum string")
+    got = [r["key"] for r in found_in(df).collect()]
+    truth = {k for k, t in rows if repetition.repeated_share(t) >= repetition.LEAST_SHARE}
+    both = len(truth & set(got))
+    assert both >= 0.9 * len(truth) and both >= 0.9 * len(set(got)) and got.count(10_003) == 2
+    assert found_in(df.limit(0)).count() == 0
+
+
+def test_short_repeated_sentences_are_scored(spark):
+    rows = [r for r in planted(400, 9) if r[0] % 8]
+    rows.append((1000, " ".join(f"Nothing changed again. {t.split()[0]} {t.split()[1]}." for _, t in rows[:7])))
     df = spark.createDataFrame(rows, "k int, t string")
-    got = repetition.repetitive(df, "k", "t").collect()
-    assert [r["key"] for r in got] == [1000] and got[0]["score"] < got[0]["cutoff"]
+    assert repetition.repeated_share(rows[-1][1]) >= 0.4
+    assert [r["key"] for r in found_in(df).collect()] == [1000]
+
+
+def test_recall_against_the_rule_on_the_tables(spark):
+    from pathlib import Path
+
+    folder = "/root/testdata/sf0.01"
+    if not Path(folder).exists():
+        pytest.skip("test tables are not here")
+    got = {r["run_key"] for r in QUERIES["p5_found"](spark, folder).collect()}
+    no_case = {r["run_key"] for r in QUERIES["p3_found"](spark, folder).select("run_key").collect()}
+    truth = {r["run_key"] for r in QUERIES["p5_shares"](spark, folder).where("share >= 0.4").collect()} - no_case
+    assert len(got & truth) >= 0.9 * len(truth) and len(got & truth) >= 0.9 * len(got)
 
 
 # --- sentences --------------------------------------------------------------------------------------------------------
