@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.scale import running_total, salt_of
+from tallyloom.session import cut
 
 #: Targets beyond this number are refused: they are joined as a broadcast.
 MAX_SOURCES = 10_000
@@ -105,7 +106,8 @@ def budget(docs: DataFrame, targets: DataFrame) -> list[dict]:
 
 def mixture(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source: str = "source", size: str = "size", schedules: dict[str, list[float]] | None = None, seed: int = 17) -> DataFrame:
     """(position, source, doc_id, pass_no, tokens) in training order."""
-    docs = sizes(documents, doc_id, source, size).where("tokens > 0 and source is not null")
+    # Sizes are written once: the budget, the running sums and their offsets read them, not the texts.
+    docs = cut(sizes(documents, doc_id, source, size).where("tokens > 0 and source is not null"))
     entries = [e for e in budget(docs, targets) if e["share"]]
     shapes = default_schedules([(e["source"], e["share"], e["max_repeats"]) for e in entries]) | (schedules or {})
     plan = docs.sparkSession.createDataFrame(
@@ -148,3 +150,15 @@ def shares(mixed: DataFrame, documents: DataFrame, targets: DataFrame, doc_id: s
             F.coalesce("held_tokens", F.lit(0)).alias("held_tokens"),
         )
     )
+
+
+def kept_targets(mixed: DataFrame, documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """For every source with a target: the share asked for, the passes that takes, and whether the mixture keeps both (it
+    misses the tokens asked for by less than the source's largest document and repeats nothing too often)."""
+    docs = sizes(documents, "doc_id", "source", "size")
+    entries = budget(docs.where("tokens > 0 and source is not null"), targets)
+    plan = docs.sparkSession.createDataFrame([(e["source"], e["share"], float(e["asked"]), int(e["max_repeats"])) for e in entries], "source string, target_share double, asked double, max_repeats int")
+    largest = docs.groupBy("source").agg(F.max("tokens").alias("largest"), F.sum("tokens").alias("held"))
+    used = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.max("pass_no").alias("passes"))
+    met = (F.coalesce("tokens", F.lit(0)) >= F.col("asked") - 1) & (F.coalesce("tokens", F.lit(0)) <= F.col("asked") + F.coalesce("largest", F.lit(0)))
+    return plan.join(largest, "source", "left").join(used, "source", "left").select("source", F.round("target_share", 9).alias("target_share"), F.round("asked", 3).alias("asked"), F.coalesce("held", F.lit(0)).alias("held_tokens"), met.alias("met"), (F.coalesce("passes", F.lit(0)) <= F.col("max_repeats")).alias("repeats_kept"))

@@ -8,7 +8,8 @@
 3. Every item takes the slot of its rank within its length. Ranks come from salted running counts, so a length that a
    third of the items share is ranked in many tasks.
 
-The plan's runs, not items, reach the executors: one row for each (limit, length), at most the sum of the capacities.
+The plan's runs, not items, reach the executors: one row for each (limit, length), at most the sum of the capacities,
+which is checked; they are broadcast if they are few (``BROADCAST_RUNS``), else joined by shuffle.
 
 Defined cases: null ids are dropped, a null or empty text has length 0 and stands in the first container; repeated ids
 are separate items (ranked by their place among equals, which then is not repeatable); no documents give no rows;
@@ -24,12 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators.scale import running_total, salt_of
+from tallyloom.session import cut
 
 PLAN = "limit_id int, length int, runs array<struct<first:bigint,last:bigint,each:bigint,container:bigint>>"
-#: Salt buckets of a length: with the hidden input's rows a bucket of one hot length stays below a few ten thousand rows.
+#: Salt buckets of a length, so that a length which a third of the items share is ranked in many tasks.
 SALTS = 256
-#: More limits than this are refused; the driver plans each one.
-MAX_LIMITS = 1000
+#: More limits than this are refused, the driver plans each one; and more tokens of capacity in all, for the histogram
+#: has a row for each length up to each capacity and the plan a run or more for each of its rows.
+MAX_LIMITS, MAX_CAPACITY = 1000, 5_000_000
+#: A plan of at most so many runs is broadcast; a larger one, of which there are at most a few for each length, is shuffled.
+BROADCAST_RUNS = 200_000
 
 
 def best_fit(histogram: Iterable[tuple[int, int]], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -110,11 +115,14 @@ def read_limits(limits: DataFrame) -> list[tuple[int, int]]:
     rows = limits.where("limit_id is not null and capacity_tokens >= 1").groupBy("limit_id").agg(F.max("capacity_tokens").alias("c")).limit(MAX_LIMITS + 1).collect()
     if len(rows) > MAX_LIMITS:
         raise ValueError(f"more than {MAX_LIMITS} limits")
+    if sum(r["c"] for r in rows) > MAX_CAPACITY:
+        raise ValueError(f"more than {MAX_CAPACITY} tokens of capacity in all")
     return sorted((r["limit_id"], r["c"]) for r in rows)
 
 
-def plan(spark: SparkSession, pieces: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
-    """One row for each (limit, length) with its runs; the histogram has at most sum(capacity + 1) rows."""
+def plan(spark: SparkSession, pieces: DataFrame, limits: list[tuple[int, int]]) -> tuple[DataFrame, int]:
+    """One row for each (limit, length) with its runs, and the number of runs; the histogram has at most sum(capacity + 1)
+    rows, checked in :func:`read_limits`."""
     counts: dict[int, list[tuple[int, int]]] = {}
     for row in pieces.groupBy("limit_id", "length").count().collect():
         counts.setdefault(row["limit_id"], []).append((row["length"], row["count"]))
@@ -124,7 +132,7 @@ def plan(spark: SparkSession, pieces: DataFrame, limits: list[tuple[int, int]])
         for length, first, last, each, box in best_fit(counts.get(limit, []), capacity)[0]:
             by_length.setdefault(length, []).append((first, last, each, box))
         rows += [(limit, length, runs) for length, runs in by_length.items()]
-    return spark.createDataFrame(rows, PLAN)
+    return spark.createDataFrame(rows, PLAN), sum(len(runs) for _, _, runs in rows)
 
 
 def pack(documents: DataFrame, limits: DataFrame, doc_id: str = "doc_id", size: str = "size") -> DataFrame:
@@ -133,8 +141,9 @@ def pack(documents: DataFrame, limits: DataFrame, doc_id: str = "doc_id", size:
     if not known:
         known = [(0, 1)]
         documents = documents.limit(0)
-    pieces = items(documents, known, doc_id, size)
-    slots = plan(spark, pieces, known)
+    # Sizes are written once: the histogram, the ranks and their offsets read them, not the texts.
+    pieces = items(cut(documents.select(doc_id, size)), known, doc_id, size)
+    slots, runs = plan(spark, pieces, known)
     ranked = running_total(
         pieces.withColumn("_salt", salt_of("doc_id", "piece", buckets=SALTS)).withColumn("_one", F.lit(1)),
         ["limit_id", "length"],
@@ -144,8 +153,7 @@ def pack(documents: DataFrame, limits: DataFrame, doc_id: str = "doc_id", size:
         "rank",
     )
     run = F.element_at(F.filter("runs", lambda r: (r["first"] <= F.col("rank")) & (F.col("rank") <= r["last"])), 1)
-    # At most sum(capacity + 1) rows with few runs each: the bound does not depend on the documents.
-    placed = ranked.join(F.broadcast(slots), ["limit_id", "length"]).withColumn("run", run)
+    placed = ranked.join(F.broadcast(slots) if runs <= BROADCAST_RUNS else slots.hint("merge"), ["limit_id", "length"]).withColumn("run", run)
     container = F.col("run.container") + F.floor((F.col("rank") - F.col("run.first")) / F.col("run.each"))
     return placed.select("limit_id", "capacity", "doc_id", "piece", "length", container.cast("bigint").alias("container"))
 
@@ -161,3 +169,13 @@ def fill(packed: DataFrame) -> DataFrame:
         (F.sum("tokens") / (F.count(F.lit(1)) * F.first("capacity"))).alias("filled"),
         F.ceil(F.sum("tokens") / F.first("capacity")).alias("least_containers"),
     )
+
+
+def checked(packed: DataFrame, documents: DataFrame, doc_id: str = "doc_id", size: str = "size") -> DataFrame:
+    """For each limit what must hold of any right packing: every token placed once, no container over its capacity, no
+    item cut that would have fitted whole, and no more containers than best fit descending may use (11/9 of the least + 1)."""
+    boxes = fill(packed)
+    per_item = packed.groupBy("limit_id", "capacity", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("size"))
+    wrong = per_item.groupBy("limit_id").agg(F.count_if((F.col("n") > 1) & (F.col("size") <= F.col("capacity"))).alias("needless_cuts"), F.count(F.lit(1)).alias("items"))
+    within = F.col("containers") <= F.ceil(F.col("least_containers") * 11 / 9) + 1
+    return boxes.join(wrong, "limit_id").select("limit_id", "capacity", "items", "pieces", "tokens", "least_containers", (F.col("fullest") <= F.col("capacity")).alias("none_overfull"), "needless_cuts", within.alias("within_bound"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.percentiles import latest_rows, merge, percentiles, provider_name, value_counts
+from tallyloom.session import cut
 from tallyloom.sources import table
 
 GROUP = ["source", "kind", "grp"]
@@ -38,7 +39,7 @@ def _runs(spark: SparkSession, folder: str) -> DataFrame:
 def p4_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Exact percentiles of tool durations by provider and of run durations by repo and mode."""
     counts = [value_counts(rows, GROUP, "duration_ms") for rows in (_timings(spark, folder), _runs(spark, folder))]
-    return percentiles(merge(GROUP, *counts), GROUP)
+    return percentiles(cut(merge(GROUP, *counts)), GROUP)
 
 
 def p4_digest(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,7 +51,7 @@ def p4_digest(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_merged(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles over all days, from the daily digests alone."""
-    return percentiles(merge(GROUP, p4_digest(spark, folder)), GROUP)
+    return percentiles(cut(merge(GROUP, p4_digest(spark, folder))), GROUP)
 
 
 P4_SQL = """
@@ -71,5 +72,19 @@ select source, kind, grp, max(n) as n,
 from k group by source, kind, grp
 """
 
+#: The grid of the digests: values up to 1 / error as they are, above rounded down to a power of 1 + error.
+DIGEST_SQL = P4_SQL.split("k as (")[0].replace("duration_ms from t", "duration_ms, recorded_at::date as day from t").replace("repo, duration_ms from r", "repo, duration_ms, started_at::date from r").replace("lower(trim(mode)), duration_ms from r", "lower(trim(mode)), duration_ms, started_at::date from r") + """
+d as (
+  select source, kind, grp, day, case when duration_ms <= 100 then duration_ms
+    else least(duration_ms, ceil(exp(floor(ln(duration_ms) / ln(1.01::double) + 1e-9::double) * ln(1.01::double)) - 1e-6::double)::bigint) end as value, count(*) as n
+  from v where duration_ms >= 0 group by all)
+"""
+MERGED_SQL = DIGEST_SQL + """, m as (select source, kind, grp, value, sum(n)::bigint as n from d group by all),
+k as (select *, sum(n) over (partition by source, kind, grp order by value) as upto, sum(n) over (partition by source, kind, grp) as whole from m)
+select source, kind, grp, max(whole)::bigint as n, min(value) filter (upto >= ceil(whole * 0.5)) as p50, min(value) filter (upto >= ceil(whole * 0.9)) as p90,
+  min(value) filter (upto >= ceil(whole * 0.95)) as p95, min(value) filter (upto >= ceil(whole * 0.99)) as p99
+from k group by source, kind, grp
+"""
+
 QUERIES = {"p4_percentiles": p4_percentiles, "p4_digest": p4_digest, "p4_merged": p4_merged}
-SQL = {"p4_percentiles": P4_SQL}
+SQL = {"p4_percentiles": P4_SQL, "p4_digest": DIGEST_SQL + "select * from d", "p4_merged": MERGED_SQL}

@@ -36,5 +36,11 @@ def p9_units(spark: SparkSession, folder: str) -> DataFrame:
     return p9_found(spark, folder).groupBy("doc_id").agg(F.count(F.lit(1)).alias("units"), F.max("end_char").alias("last_end"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_units": p9_units}
-SQL: dict[str, str] = {}
+def p9_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the last unit of each document ends: at its last visible character."""
+    return p9_found(spark, folder).groupBy("doc_id").agg(F.max("end_char").cast("long").alias("last_end"))
+
+
+P9_COVER = r"select doc_id, length(regexp_replace(text, '[\s\x{3000}\x{00A0}]+$', '')) as last_end from documents where regexp_matches(text, '[^\s\x{3000}\x{00A0}]')"
+QUERIES = {"p9_found": p9_found, "p9_units": p9_units, "p9_cover": p9_cover}
+SQL = {"p9_cover": P9_COVER}
