@@ -267,17 +267,15 @@ def _back(text: str, at: int, least: int) -> int:
 
 def _run_start(text: str, at: int) -> int:
     """Where the run of spaceless signs that ends at ``at`` starts, or WORD signs before if that is more."""
-    i = at
-    while i and _SPACELESS.match(text[i - 1]):
-        i -= 1
-    return min(i, max(at - WORD, 0))
+    start = max(at - WORD, 0)
+    while start and _FIRST_RUN.fullmatch(text, start, at):
+        at, start = start, max(start - WORD, 0)
+    return start
 
 
 def _run_stop(text: str, at: int) -> int:
-    i = at
-    while i < len(text) and _SPACELESS.match(text[i]):
-        i += 1
-    return max(i, min(at + WORD, len(text)))
+    run = _FIRST_RUN.match(text, at)
+    return max(run.end() if run else at, min(at + WORD, len(text)))
 
 
 def running(text: str, start: int, stop: int, out: list[int]) -> None:
