@@ -86,12 +86,6 @@ def _cases(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "evals").groupBy(F.lower(F.trim("id")).alias("id")).agg(F.max("mode").alias("mode"), F.max("sticky").alias("sticky"), F.max("prompt").alias("prompt"))
 
 
-@book.query(A + """select cond, count(*) as n, round(avg(length(coalesce(output, ''))), 4) as mean_length, round(avg(case when sticky then 1.0 else 0.0 end), 6) as sticky_share from a join e on lower(trim(a.id)) = e.id group by 1""")
-def a15_eval_summary(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _answers(spark, folder).join(_cases(spark, folder), "id")
-    return rows.groupBy("cond").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.length(F.coalesce("output", F.lit("")))), 4).alias("mean_length"), F.round(F.avg(F.when(F.col("sticky"), 1.0).otherwise(0.0)), 6).alias("sticky_share"))
-
-
 @book.query(A + """select count(*) filter (e.id is null) as unmatched, count(*) filter (e.id is not null) as matched, count(distinct a.id) as ids from a left join e on lower(trim(a.id)) = e.id""")
 def j7_key_join(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "runs_r10").groupBy("run_key").agg(F.max_by("id", "received_at").alias("raw")).withColumn("id", F.lower(F.trim("raw")))
@@ -106,12 +100,6 @@ def j18_complete_cases(spark: SparkSession, folder: str) -> DataFrame:
     return complete(_answers(spark, folder), "id", "cond", ["C0", "C1", "C2"])
 
 
-@book.query(A + """select probe_expect, count(*) as n, round(count(*) filter (length(coalesce(output, '')) < 100) / count(*), 6) as rate from a where probe_expect is not null group by 1""")
-def a18_probe_rate(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _answers(spark, folder).where("probe_expect is not null")
-    return rows.groupBy("probe_expect").agg(F.count(F.lit(1)).alias("n"), F.round(F.count_if(F.length(F.coalesce("output", F.lit(""))) < 100) / F.count(F.lit(1)), 6).alias("rate"))
-
-
 @book.query("""with b as (select * from (select *, row_number() over (partition by run_key order by received_at desc) as rn from blind_r2_c1) where rn = 1),
 d as (select source, round_no, count(*) as n, round(avg(length(coalesce(output, ''))), 4) as mean_length from b group by 1, 2)
 select source, round_no, n, mean_length, round(avg(mean_length) over (partition by source order by round_no rows between 2 preceding and current row), 3) as last_three from d""")
