@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -64,6 +65,7 @@ _BRANCH = re.compile(r"\b(?:if|for|while|case|catch)\b|&&|\|\||(?<!<)\?(?!>)")
 _PART = re.compile(r"\b(?:if|else|for|while|do|switch|try|catch|finally)\b|[{}();]")
 #: Limits of the method rules.
 LINES, BRANCHES, DEPTH, PARAMETERS = 80, 15, 4, 5
+_BRACE = re.compile(r"[{}]")
 
 
 def blank(code: str) -> str:
@@ -95,46 +97,81 @@ def blank(code: str) -> str:
     return "".join(out)
 
 
+def braces(plain: str) -> dict[int, int]:
+    """Place of every opening brace -> place of the brace that closes it, in one pass; what never closes is left out."""
+    out, stack = {}, []
+    for m in _BRACE.finditer(plain):
+        if m.group() == "{":
+            stack.append(m.start())
+        elif stack:
+            out[stack.pop()] = m.start()
+    return out
+
+
 def methods(code: str) -> list[dict]:
-    """Methods of Java-like code with lines, branches, nesting and parameters, by a brace machine."""
-    plain, found = blank(code), []
+    """Methods of Java-like code with lines, branches, nesting and parameters, by one brace machine over the whole text.
+
+    Methods may stand in each other (local and anonymous classes). Parts of the code are counted once, by running totals
+    and by a stack of open methods, so time is linear in the text and its methods whatever their nesting.
+    """
+    plain = blank(code)
+    closes = braces(plain)
+    lines = [m.start() for m in re.finditer("\n", plain)]
+    branches = [m.start() for m in _BRANCH.finditer(plain)]
+    found, starts = [], {}
     for m in _METHOD.finditer(plain):
-        depth, i = 1, m.end()
-        while i < len(plain) and depth:
-            depth += {"{": 1, "}": -1}.get(plain[i], 0)
-            i += 1
-        body = plain[m.end() : i - 1]
-        level = deepest = parens = 0
-        pending = False
-        stack: list[bool] = []
-        for t in _PART.finditer(body):
-            part = t.group()
-            if part == "{":
-                stack.append(pending)
-                level += pending
-                pending = False
-                deepest = max(deepest, level)
-            elif part == "}":
-                if stack:
-                    level -= stack.pop()
-                pending = False
-            elif part in "()":
-                parens += 1 if part == "(" else -1
-            elif part == ";":
-                pending = pending and parens > 0
-            else:
-                pending = True
+        opened = m.end() - 1
+        end = closes.get(opened, len(plain))
+        starts[opened] = len(found)
         found.append(
             {
-                "name": m.group(1), "start_line": plain.count("\n", 0, m.start()) + 1, "end_line": plain.count("\n", 0, i) + 1,
-                "cyclomatic": 1 + len(_BRANCH.findall(body)), "nesting": deepest, "parameters": len([p for p in m.group(2).split(",") if p.strip()]), "body": code[m.end() : i - 1],
+                "name": m.group(1), "start_line": bisect_left(lines, m.start()) + 1, "end_line": bisect_left(lines, end) + 1,
+                "cyclomatic": 1 + bisect_left(branches, end) - bisect_left(branches, m.end()), "nesting": 0, "parameters": len([p for p in m.group(2).split(",") if p.strip()]), "at": (m.end(), end),
             }
         )
+    # Nesting: the control blocks open since each open method began; a method takes the deepest of what it holds.
+    stack: list[tuple[int, bool]] = []
+    open_methods: list[list[int]] = []
+    level = parens = 0
+    pending = False
+    for t in _PART.finditer(plain):
+        part = t.group()
+        if part == "{":
+            if t.start() in starts:
+                open_methods.append([starts[t.start()], level, level])
+                stack.append((1, False))
+            else:
+                stack.append((0, pending))
+                level += pending
+                if open_methods:
+                    open_methods[-1][2] = max(open_methods[-1][2], level)
+            pending = False
+        elif part == "}":
+            if stack:
+                is_method, control = stack.pop()
+                level -= control
+                if is_method and open_methods:
+                    index, base, deepest = open_methods.pop()
+                    found[index]["nesting"] = deepest - base
+                    if open_methods:
+                        open_methods[-1][2] = max(open_methods[-1][2], deepest)
+            pending = False
+        elif part in "()":
+            parens += 1 if part == "(" else -1
+        elif part == ";":
+            pending = pending and parens > 0
+        else:
+            pending = True
+    for index, base, deepest in open_methods:
+        found[index]["nesting"] = deepest - base
     return found
 
 
 _LOOP = r"\b(?:for|while)\s*\([^)]*\)\s*\{[^{}]*"
-_REMOTE = r"(?:restTemplate|httpClient|webClient|feign\w*|rpc\w*|\w*Client)\.\w+\("
+#: Calls that leave the process, from the public documentation of the JDK and of common libraries: type or variable name
+#: endings and the methods that send.
+SENDERS = {"[Cc]lient": "fetch|call|request|send|get|post|put|delete", "[Hh]ttp": "send|sendAsync|execute|newCall", "[Tt]emplate": "exchange|getForObject|getForEntity|postForObject|postForEntity|convertAndSend", "[Ss]tub": "\\w+", "[Pp]roducer": "send", "[Rr]emote": "\\w+", "[Gg]ateway": "\\w+"}
+_REMOTE = "(?:" + "|".join(rf"\b\w*{name}\w*\.(?:{calls})\(" for name, calls in SENDERS.items()) + ")"
 #: Rules on the body of a method as data: (rule, severity, what must be there, what must not).
 BODY_RULES = tuple(
     (rule, severity, re.compile(there, re.S), re.compile(absent, re.S) if absent else None)
@@ -159,12 +196,30 @@ _LOCKED = re.compile(r"if\s*\(\s*(\w+)\s*==\s*null\s*\)\s*\{\s*synchronized[^{]*
 _STATIC_MUTABLE = re.compile(r"\bstatic\s+(?!final\b)(?:\w+\s+)*?[\w<>, ]*\b(?:Map|List|Set|HashMap|ArrayList|HashSet)\b[\w<>, ]*\s+(\w+)")
 
 
+def own_body(m: dict, inner: list[tuple[int, int]], plain: str) -> str:
+    """The body of a method without the bodies of methods inside it, which are judged by themselves."""
+    parts, at = [], m["at"][0]
+    for a, b in inner:
+        parts.append(plain[at:a])
+        at = b
+    return "".join([*parts, plain[at : m["at"][1]]])
+
+
 def method_rules(code: str) -> list[tuple[str, str, str, int]]:
     """(rule, severity, method, line) for the rules on single methods."""
     out = []
-    for m in methods(code):
+    plain, found = blank(code), methods(code)
+    inner: list[list[tuple[int, int]]] = [[] for _ in found]
+    above: list[int] = []
+    for i, m in enumerate(found):
+        while above and found[above[-1]]["at"][1] <= m["at"][0]:
+            above.pop()
+        if above:
+            inner[above[-1]].append(m["at"])
+        above.append(i)
+    for m, holes in zip(found, inner, strict=True):
         lines = m["end_line"] - m["start_line"] + 1
-        plain = blank(m["body"])
+        body = own_body(m, holes, plain)
         checks = (
             ("LARGE-METHOD", "MEDIUM", lines > LINES),
             ("CYCLOMATIC", "MEDIUM", m["cyclomatic"] > BRANCHES),
@@ -172,7 +227,7 @@ def method_rules(code: str) -> list[tuple[str, str, str, int]]:
             ("LONG-PARAM-LIST", "LOW", m["parameters"] > PARAMETERS),
         )
         out += [(rule, severity, m["name"], m["start_line"]) for rule, severity, hit in checks if hit]
-        out += [(rule, severity, m["name"], m["start_line"]) for rule, severity, there, absent in BODY_RULES if there.search(plain) and not (absent and absent.search(plain))]
+        out += [(rule, severity, m["name"], m["start_line"]) for rule, severity, there, absent in BODY_RULES if there.search(body) and not (absent and absent.search(body))]
     return out
 
 

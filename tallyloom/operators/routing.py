@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.descriptions import excludes
+from tallyloom.functions.text import clamp01, squeeze, tokens
 from tallyloom.operators.scores import banded_top
 
 #: Weights of a route's parts.
@@ -26,10 +28,62 @@ def registry_query(entries: DataFrame, tags: Sequence[str], status: str | None =
     return out if n is None else out.limit(n)
 
 
+#: Hits from which the tag part is full, lines at which the context part is empty, least total of a route.
+FULL_TAGS, FULL_LINES, LEAST_ROUTE = 2, 400, 0.12
+
+
 def exclude_reason(task: Column) -> Column:
-    """Why an entry is out for a task: ordered checks, null for none. Entry columns: status, excluded (phrases)."""
-    hit = F.exists("excluded", lambda p: F.contains(task, p) | ((F.size(F.split(p, " ")) >= 2) & F.forall(F.filter(F.split(p, " "), lambda w: F.length(w) >= 4), lambda w: F.contains(task, w))))
-    return F.when(F.col("status") == "BLOCKED", "blocked").when(F.coalesce(hit, F.lit(False)), "excluded_phrase")
+    """Why an entry is out for a task (squeezed): ordered checks, null for none. Entry columns: status, exclude (phrases),
+    replacement (another entry that does the same, or null)."""
+    return (
+        F.when(F.col("status") == "blocked", "blocked")
+        .when(excludes(task, F.col("exclude")), "excluded_phrase")
+        .when((F.col("status") == "deprecated") & F.col("replacement").isNotNull(), "replaced")
+    )
+
+
+def candidates(tasks: DataFrame, entries: DataFrame) -> DataFrame:
+    """(task_id, entry_id) that share a token of the entry's surface or triggers, or whose category is the task's kind.
+
+    Everything a route can score points for is one of these, so the other pairs are never made.
+    """
+    index = entries.select("entry_id", F.explode(F.array_distinct(F.concat("surface", F.flatten(F.transform("include", lambda p: tokens(squeeze(p))))))).alias("token"))
+    asked = tasks.select("task_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    by_kind = tasks.select("task_id", F.col("kind").alias("category")).join(entries.select("entry_id", F.lower("category").alias("category")), "category").select("task_id", "entry_id")
+    return asked.join(index, "token").select("task_id", "entry_id").unionByName(by_kind).distinct()
+
+
+def scored_routes(tasks: DataFrame, entries: DataFrame) -> DataFrame:
+    """(task_id, entry_id, tag, trigger, category_part, history, context, score, reason) of every candidate.
+
+    ``tasks`` is (task_id, task, tokens, kind), ``task`` squeezed; ``entries`` has entry_id, surface (tokens), include and
+    exclude (phrases), category, status, score (0 to 100 or null), root_lines, replacement. A trigger fires if the task
+    holds it, or at least two and half of its tokens (its only token). Entries with a reason are out; their score is kept.
+    """
+    pairs = candidates(tasks, entries).join(tasks, "task_id").join(entries.withColumnRenamed("score", "past"), "entry_id")
+
+    def fires(phrase: Column) -> Column:
+        p = squeeze(phrase)
+        own = F.array_distinct(tokens(p))
+        both = F.size(F.array_intersect(own, F.col("tokens")))
+        return (p != "") & (F.contains("task", p) | F.when(F.size(own) == 1, both == 1).otherwise((both >= 2) & (both * 2 >= F.size(own))))
+
+    parts = {
+        "tag": F.least(F.lit(1.0), F.size(F.array_intersect(F.array_distinct("surface"), F.col("tokens"))) / F.lit(FULL_TAGS)),
+        "trigger": F.exists("include", fires).cast("int").cast("double"),
+        "category_part": F.coalesce((F.lower("category") == F.col("kind")).cast("int").cast("double"), F.lit(0.0)),
+        "history": clamp01(F.coalesce("past", F.lit(0.0)) / 100),
+        "context": 1 - clamp01(F.coalesce("root_lines", F.lit(0)) / F.lit(float(FULL_LINES))),
+    }
+    total = sum((F.col(name) * w for name, w in zip(parts, ROUTE_WEIGHTS.values(), strict=True)), F.lit(0.0))
+    return pairs.withColumns(parts).select("task_id", "entry_id", *parts, F.round(total, 6).alias("score"), exclude_reason(F.col("task")).alias("reason"))
+
+
+def full_routes(tasks: DataFrame, entries: DataFrame, k: int = 5) -> DataFrame:
+    """(task_id, entry_id, score, place): the best ``k`` of each task among those that are not out and relevant (a tag, a
+    trigger or the category), at least LEAST_ROUTE and in the band of the best."""
+    kept = scored_routes(tasks, entries).where(F.col("reason").isNull() & (F.greatest("tag", "trigger", "category_part") > 0))
+    return banded_top(kept.select("task_id", "entry_id", "score"), ["task_id"], "score", "entry_id", k, LEAST_ROUTE)
 
 
 def routes(tasks: DataFrame, entries: DataFrame, k: int = 3, least: float = 0.05) -> DataFrame:
