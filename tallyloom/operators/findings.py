@@ -144,3 +144,11 @@ def baseline_metrics(rows: DataFrame) -> DataFrame:
         F.count_if(F.col("rank") >= 2).alias("severe"),
         F.round(F.avg("confidence"), 6).alias("confidence"),
     )
+
+
+def tree_hash(files: DataFrame, path: str, content: str) -> DataFrame:
+    """(tree_hash, files): SHA-256 of the sorted directory:hash lines, a directory's hash being that of its sorted path:hash
+    lines. What comes together is one directory's files, then one line a directory."""
+    lines = files.select(F.regexp_extract(path, "^(.*)/[^/]*$", 1).alias("d"), F.concat(path, F.lit(":"), F.col(content).cast("string")).alias("l"))
+    dirs = lines.groupBy("d").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("l")), "\n"), 256).alias("h"), F.count(F.lit(1)).alias("n"))
+    return dirs.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("d", F.lit(":"), "h"))), "\n"), 256).alias("tree_hash"), F.sum("n").alias("files"))

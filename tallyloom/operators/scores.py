@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.scale import running_total
+
 #: Weights of the five subscores and grade bands.
 SUBSCORE_WEIGHTS = {"success": 0.35, "accuracy": 0.25, "tokens": 0.15, "time": 0.15, "stability": 0.10}
 BANDS = ((90.0, "A"), (75.0, "B"), (60.0, "C"), (0.0, "D"))
@@ -14,23 +16,48 @@ BANDS = ((90.0, "A"), (75.0, "B"), (60.0, "C"), (0.0, "D"))
 BAND = 0.45
 
 
-def exact_percentile(column: str, share: float) -> Column:
-    """Linear interpolation at (n - 1) * share."""
-    return F.percentile(F.col(column).cast("double"), F.lit(share))
+def interpolated_percentiles(rows: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, *shares): exact percentiles by linear interpolation at (n - 1) * share; null values do not count.
+
+    Values are reduced to counts, counts are summed up in fixed ranges of the value axis with range offsets, and the values
+    at the two ranks around the place are picked, so no task holds a key's values. Keys may be null.
+    """
+    packed = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("")
+    kept = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, packed.alias("_key"), F.col(value).cast("double").alias("_v"))
+    sized = F.floor(F.log2(F.abs(F.col("_v")) + 1) * 16).cast("int")
+    counts = kept.groupBy("_key", *keys, "_v").agg(F.count(F.lit(1)).alias("_n")).withColumn("_range", F.when(F.col("_v") < 0, -sized - 1).otherwise(sized))
+    placed = running_total(counts, ["_key"], "_range", ["_v"], "_n", "_before", "_all")
+    picks = []
+    for name, share in shares.items():
+        place = (F.col("_all") - 1) * F.lit(share)
+        for side, rank in (("low", F.floor(place)), ("high", F.ceil(place))):
+            picks.append(F.min(F.when((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n")), F.col("_v"))).alias(f"_{name}_{side}"))
+        picks.append(F.max(place - F.floor(place)).alias(f"_{name}_part"))
+    found = placed.groupBy("_key", *keys).agg(*picks)
+    return found.select(*keys, *[(F.col(f"_{n}_low") + (F.col(f"_{n}_high") - F.col(f"_{n}_low")) * F.col(f"_{n}_part")).alias(n) for n in shares])
 
 
 def ledger_summary(runs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    measured = F.when(F.col("duration_ms") >= 0, F.col("duration_ms"))
-    return runs.withColumn("_d", measured).groupBy(*keys).agg(
+    """Averages, debt and percentiles of the measured durations of each key (of all runs without keys)."""
+    measured = runs.withColumn("_d", F.when(F.col("duration_ms") >= 0, F.col("duration_ms")))
+    summed = measured.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("runs"),
         F.round(F.avg("input_tokens"), 3).alias("avg_input"),
         F.round(F.avg("output_tokens"), 3).alias("avg_output"),
         F.round(F.avg("cache_hit"), 6).alias("cache_hit"),
         F.round(F.avg("dedup_ratio"), 6).alias("dedup_ratio"),
         F.sum("findings").alias("debt"),
-        F.round(exact_percentile("_d", 0.5), 4).alias("p50"),
-        F.round(exact_percentile("_d", 0.95), 4).alias("p95"),
     )
+    found = interpolated_percentiles(measured, keys, "_d", {"p50": 0.5, "p95": 0.95})
+    rounded = [F.round(F.col(p), 4).alias(p) for p in ("p50", "p95")]
+    if keys:
+        cond = [summed[k].eqNullSafe(found[k]) for k in keys]
+        both = summed.join(found, cond, "left").drop(*[found[k] for k in keys])
+    else:
+        # Two one-row results laid over each other, without a cross join.
+        laid = summed.unionByName(found, allowMissingColumns=True)
+        both = laid.agg(*[F.max(c).alias(c) for c in laid.columns])
+    return both.select(*keys, *[c for c in summed.columns if c not in keys], *rounded)
 
 
 def grade(score: Column) -> Column:
@@ -59,15 +86,44 @@ def banded_top(rows: DataFrame, keys: Sequence[str], score: str, item: str, k: i
     return kept.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("_best")
 
 
+#: Span starts of one block of :func:`islands`.
+BLOCK = 4096
+
+
 def islands(spans: DataFrame, key: str, low: str, high: str, reach: int = 1) -> DataFrame:
-    """Merged spans of each key: a span joins the island if it starts within ``reach`` of the furthest end so far."""
-    w = Window.partitionBy(key).orderBy(low, high)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    marked = spans.withColumn("_new", F.when(F.col(low) <= F.max(high).over(before) + reach, 0).otherwise(1))
-    numbered = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    """Merged spans of each key: a span joins the island if it starts within ``reach`` of the furthest end so far.
+
+    Windows run inside blocks of starts; the furthest end and the number of islands of earlier blocks, one row a block,
+    are carried in, so a key with very many spans is worked on in many tasks.
+    """
+    blocked = spans.withColumn("_block", F.floor(F.col(low) / BLOCK))
+    ends = blocked.groupBy(key, "_block").agg(F.max(high).alias("_end"))
+    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(key, "_block", F.max("_end").over(earlier).alias("_carry"))
+    w = Window.partitionBy(key, "_block").orderBy(low, high)
+    furthest = F.greatest(F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carry"))
+    marked = blocked.join(carried, [key, "_block"]).withColumn("_new", F.when(F.col(low) <= furthest + reach, 0).otherwise(1))
+    inside = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    opened = marked.groupBy(key, "_block").agg(F.sum("_new").alias("_n")).select(key, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    numbered = marked.withColumn("_inside", inside).join(opened, [key, "_block"]).withColumn("_island", F.col("_inside") + F.col("_offset"))
     return numbered.groupBy(key, "_island").agg(F.min(low).alias("low"), F.max(high).alias("high"), F.count(F.lit(1)).alias("spans")).drop("_island")
 
 
+def chained_spans(spans: DataFrame, key: str, low: str, length: str) -> DataFrame:
+    """Merged spans of each key where a span joins if it starts within the span just before it (its start plus length): only
+    the span before counts, not the furthest end so far. Blocks of starts with the last span of the block before carried in."""
+    blocked = spans.withColumn("_block", F.floor(F.col(low) / BLOCK))
+    lasts = blocked.groupBy(key, "_block").agg(F.max(F.struct(low, length)).alias("_last"))
+    before = lasts.select(key, "_block", F.lag("_last").over(Window.partitionBy(key).orderBy("_block")).alias("_carry"))
+    w = Window.partitionBy(key, "_block").orderBy(low, length)
+    marked = blocked.join(before, [key, "_block"]).withColumn("_prev", F.coalesce(F.lag(F.struct(low, length)).over(w), F.col("_carry")))
+    marked = marked.withColumn("_new", F.when(F.col(low) <= F.col(f"_prev.{low}") + F.col(f"_prev.{length}"), 0).otherwise(1))
+    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    opened = marked.groupBy(key, "_block").agg(F.sum("_new").alias("_n")).select(key, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    numbered = marked.withColumn("_inside", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).join(opened, [key, "_block"])
+    return numbered.groupBy(key, (F.col("_inside") + F.col("_offset")).alias("_island")).agg(F.min(low).alias("low"), F.max(F.col(low) + F.col(length)).alias("high"), F.count(F.lit(1)).alias("spans")).drop("_island")
+
+
 def latest_of(rows: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
     """Last write wins."""
     return rows.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value))

@@ -243,11 +243,14 @@ def a24_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return _clean(spark, folder).rollup("category", "severity").agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("n"))
 
 
-@book.query(C + r"""select sha256(string_agg(line, chr(10) order by line)) as tree_hash, count(*) as files from (select file || ':' || sha256(string_agg(id, ',' order by id)) as line from f group by file)""")
+@book.query(C + r"""select sha256(string_agg(line, chr(10) order by line)) as tree_hash, sum(n)::bigint as files from (select regexp_extract(file, '^(.*)/[^/]*$', 1) || ':' || sha256(string_agg(line, chr(10) order by line)) as line, count(*) as n
+  from (select file, file || ':' || hex(bit_xor(h)) as line from (select file, ('0x' || substr(sha256(id), 1, 15))::bigint as h from f where file is not null) group by file) group by regexp_extract(file, '^(.*)/[^/]*$', 1))""".replace("hex(bit_xor(h))", "bit_xor(h)"))
 def a30_tree_hash(spark: SparkSession, folder: str) -> DataFrame:
-    """Hash of sorted path:hash lines; only one short line a file comes together."""
-    lines = _clean(spark, folder).groupBy("file").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("id")), ","), 256).alias("h"))
-    return lines.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("file", F.lit(":"), "h"))), "\n"), 256).alias("tree_hash"), F.count(F.lit(1)).alias("files"))
+    """Hash of a tree in two levels: the sorted path:hash lines of a directory, then those of the directories. A file's own
+    hash is an order-free sum of its findings' hashes, so no task gathers more than a directory's lines."""
+    part = F.conv(F.substring(F.sha2("id", 256), 1, 15), 16, 10).cast("long")
+    lines = _clean(spark, folder).where("file is not null").groupBy("file").agg(F.bit_xor(part).alias("h"))
+    return ops.tree_hash(lines, "file", "h")
 
 
 @book.query(C + """select case when rank >= 3 then 'block' when rank = 2 then 'review' when rank = 1 then 'watch' else 'pass' end as tier, count(*) as n, round(avg(case when confidence between 0 and 1 then confidence end), 6) as confidence from f group by 1""")

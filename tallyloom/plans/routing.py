@@ -103,9 +103,8 @@ def j9_drift(spark: SparkSession, folder: str) -> DataFrame:
 def x2_streamed_rates(spark: SparkSession, folder: str) -> DataFrame:
     """The event log read as a stream until it is used up; an extension beside the batch summary."""
     ensure_checkpoint_dir(spark)
-    name = f"rates_{uuid.uuid4().hex}"
-    at = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}"
-    return stream.run_to_table(stream.windowed_rates(stream.read_events(spark, folder)), name, at)
+    at = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/rates-{uuid.uuid4().hex}"
+    return stream.run_to_files(stream.windowed_rates(stream.read_events(spark, folder)), f"{at}/result", f"{at}/state")
 
 
 QUERIES, SQL = book.queries, book.sql

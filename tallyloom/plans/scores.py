@@ -152,6 +152,16 @@ def w6_islands(spark: SparkSession, folder: str) -> DataFrame:
     return ops.islands(spans, "file", "low", "high")
 
 
+@book.query("""with s as (select distinct file, start_line::bigint as low, greatest(coalesce(end_line, start_line) - start_line, 0)::bigint as size from findings where start_line is not null and file is not null),
+o as (select *, case when low <= lag(low + size) over (partition by file order by low, size) then 0 else 1 end as fresh from s),
+i as (select *, sum(fresh) over (partition by file order by low, size rows unbounded preceding) as island from o) select file, min(low) as low, max(low + size) as high, count(*) as spans from i group by file, island""")
+def w7_chained_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Duplicate spans of a file merged with the span just before them."""
+    rows = table(spark, folder, "findings").where("start_line is not null and file is not null")
+    size = F.greatest(F.coalesce("end_line", "start_line") - F.col("start_line"), F.lit(0)).cast("long")
+    return ops.chained_spans(rows.select("file", F.col("start_line").cast("long").alias("low"), size.alias("size")).distinct(), "file", "low", "size")
+
+
 @book.query(R + "select repo, mode, first(run_id order by started_at desc, run_id desc) as run_id from r group by 1, 2")
 def w13_latest_per_key(spark: SparkSession, folder: str) -> DataFrame:
     return ops.latest_of(_runs(spark, folder), ["repo", "mode"], "run_id", ["started_at", "run_id"])

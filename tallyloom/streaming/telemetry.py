@@ -27,8 +27,17 @@ def without_redelivery(events: DataFrame, key: str = "event_id", late: str = "2
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs what is available into a memory table and gives it back: for tests and small reports."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Runs what is available and gives back the result as files in ``path``, a folder all executors share.
+
+    Each batch writes the whole result (mode ``complete``) or its own part (``append``) in parallel, a part under its batch
+    number, so a batch that is run again writes the same files again. Nothing is gathered on the driver.
+    """
+    schema = stream.schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(schema).parquet(path)
