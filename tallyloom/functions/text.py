@@ -122,3 +122,55 @@ def clamp01(x: Column) -> Column:
 def percent(part: Column, whole: Column) -> Column:
     """100 * part / whole, 0 where the whole is not positive."""
     return F.when(whole > 0, 100.0 * part / whole).otherwise(0.0)
+
+
+def normalised_condition(code: Column) -> Column:
+    """A condition with its texts as ``STR`` and its numbers as ``NUM``, single spaces."""
+    out = F.regexp_replace(F.trim(F.regexp_replace(code, r"\s+", " ")), r'"(?:\\.|[^"\\])*"', "STR")
+    out = F.regexp_replace(out, r"'(?:\\.|[^'\\])*'", "STR")
+    return F.trim(F.regexp_replace(out, r"\b[0-9]+(?:\.[0-9]+)?[fFdDlL]?\b", "NUM"))
+
+
+def shared_sentence(a: Column, b: Column, least: int = 20) -> Column:
+    """Whether any sentence of ``a`` of at least ``least`` characters stands in ``b``, as it is or with spaces squeezed."""
+    parts = F.filter(F.transform(F.split(a, r"[.!?。！？\n]+"), lambda s: F.trim(s)), lambda s: F.length(s) >= least)
+    return F.coalesce(F.exists(parts, lambda s: F.contains(b, s) | F.contains(squeeze(b), squeeze(s))), F.lit(False))
+
+
+def front_matter(text: Column) -> Column:
+    """(head, body): what stands between two ``---`` lines at the start, null without them, and the rest."""
+    pattern = r"(?s)^---[ \t]*\r?\n(.*?\r?\n)?---[ \t]*(?:\r?\n|$)"
+    has = text.rlike(pattern)
+    return F.struct(F.when(has, F.regexp_extract(text, pattern, 1)).alias("head"), F.when(has, F.regexp_replace(text, pattern, "")).otherwise(text).alias("body"))
+
+
+def front_fields(head: Column) -> Column:
+    """The ``key: value`` lines of a front matter as a map; the last line of a key counts, lists and nested lines do not."""
+    kept = F.filter(lines(F.coalesce(head, F.lit(""))), lambda x: x.rlike(r"^[A-Za-z_][A-Za-z0-9_\-]*:"))
+    # Of repeated keys the last: pairs are taken from the end and each key once.
+    pairs = F.reverse(F.transform(kept, lambda x: F.struct(F.regexp_extract(x, r"^([A-Za-z_][A-Za-z0-9_\-]*):", 1).alias("k"), F.regexp_replace(F.trim(F.regexp_replace(x, r"^[^:]*:", "")), "^[\"']|[\"']$", "").alias("v"))))
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+    return F.map_from_entries(F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), 1)))
+
+
+def windowed(all_lines: Column, ranges: Column, radius: int) -> Column:
+    """The lines of some ranges (structs low and high, 1-based, in order, not touching after they are widened by ``radius``)
+    with a mark for what is left out before, between and behind them."""
+    total = F.size(all_lines)
+    wide = F.transform(ranges, lambda r: F.struct(F.greatest(r["low"] - radius, F.lit(1)).alias("a"), F.least(r["high"] + radius, total).alias("b")))
+    gap = lambda n: F.when(n > 0, F.array(F.concat(F.lit("... ["), n.cast("string"), F.lit(" lines elided] ...")))).otherwise(F.array().cast("array<string>"))
+    parts = F.transform(wide, lambda r, i: F.concat(gap(r["a"] - F.when(i > 0, F.try_element_at(wide, i)["b"]).otherwise(0) - 1), F.slice(all_lines, r["a"], F.greatest(r["b"] - r["a"] + 1, F.lit(0)))))
+    return F.concat(F.flatten(parts), gap(total - F.try_element_at(wide, F.lit(-1))["b"]))
+
+
+def cut_to_bytes(all_lines: Column, most: int) -> Column:
+    """The first lines that fit into ``most`` bytes of UTF-8, line ends counted, with a mark if lines were cut."""
+    sizes = F.transform(all_lines, lambda x: F.octet_length(x) + 1)
+    state = F.aggregate(
+        F.zip_with(all_lines, sizes, lambda x, n: F.struct(x.alias("x"), n.alias("n"))),
+        F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("used"), F.lit(False).alias("full")),
+        lambda s, e: F.when(s["full"] | (s["used"] + e["n"] > most), F.struct(s["kept"].alias("kept"), s["used"].alias("used"), F.lit(True).alias("full"))).otherwise(
+            F.struct(F.concat(s["kept"], F.array(e["x"])).alias("kept"), (s["used"] + e["n"]).alias("used"), F.lit(False).alias("full"))
+        ),
+    )
+    return F.when(state["full"], F.concat(state["kept"], F.array(F.lit(f"... [truncated at {most} bytes] ...")))).otherwise(all_lines)
