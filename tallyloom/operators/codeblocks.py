@@ -7,7 +7,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Tokens in a window, step between windows.
@@ -46,6 +46,32 @@ def windows(files: DataFrame, key: str, code: str, size: int = WINDOW, step: int
     return flat.select("key", "start", F.sha2("tokens", 256).alias("print"))
 
 
+def duplicate_blocks(files: DataFrame, key: str, code: str, size: int = WINDOW, least: int = 100, kinds: int = 1) -> DataFrame:
+    """(key, start, tokens, first_key, first_start): the longest stretches of a text's normalised tokens all of whose windows
+    of ``size`` tokens stand somewhere before: in a text with a smaller key, or earlier in the same one without overlap.
+    Stretches of ``least`` tokens or more are kept, with the place where their first window stands first.
+
+    Windows start at every token, so copies at any offset meet. A window is looked up among the first places of all
+    windows, never paired with its other copies. ``kinds`` drops stretches whose first window has fewer distinct tokens.
+    A fingerprint is 96 bits of two hashes. Windows of one text are numbered by their own start; the first places are a
+    map-side combined aggregate, hot windows included.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"key": batch["key"], "tokens": [normalised_tokens(t or "") for t in batch["code"]]})
+
+    flat = files.select(F.col(key).alias("key"), F.col(code).alias("code")).mapInPandas(run, f"key {dict(files.dtypes)[key]}, tokens array<string>").where(F.size("tokens") >= size)
+    window = lambda i: F.slice("tokens", i + 1, size)
+    marks = F.transform(F.sequence(F.lit(0), F.size("tokens") - size), lambda i: F.struct(F.xxhash64(window(i)).alias("a"), F.hash(window(i)).alias("b"), F.size(F.array_distinct(window(i))).alias("kinds")))
+    prints = flat.select("key", F.posexplode(marks).alias("start", "p")).select("key", "start", "p.a", "p.b", "p.kinds")
+    firsts = prints.groupBy("a", "b").agg(F.min(F.struct("key", "start")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    repeated = prints.join(firsts, ["a", "b"]).where((F.col("first.key") != F.col("key")) | (F.col("first.start") <= F.col("start") - size))
+    runs = repeated.withColumn("_run", F.col("start") - F.row_number().over(Window.partitionBy("key").orderBy("start")))
+    found = runs.groupBy("key", "_run").agg(F.min(F.struct("start", "first", "kinds")).alias("f"), (F.count(F.lit(1)) + size - 1).alias("tokens"))
+    return found.where((F.col("tokens") >= least) & (F.col("f.kinds") >= kinds)).select("key", F.col("f.start").alias("start"), "tokens", F.col("f.first.key").alias("first_key"), F.col("f.first.start").alias("first_start"))
+
+
 def shared_windows(prints: DataFrame) -> DataFrame:
     """(print, files, first_key, first_start, windows): windows that stand in two or more files.
 

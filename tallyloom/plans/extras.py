@@ -181,7 +181,7 @@ def _code(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _symbols_sql() -> str:
-    cells = " || ".join(f"list_transform(regexp_extract_all(code, '{p}', 1), lambda n: {{'language': '{language}', 'kind': '{kind}', 'name': n}})" for language, kind, p in codefacts.SYMBOLS)
+    cells = " || ".join(f"list_transform(regexp_extract_all(code, '{p.replace(chr(39), chr(39) * 2)}', 1), lambda n: {{'language': '{language}', 'kind': '{kind}', 'name': n}})" for language, kind, p in codefacts.SYMBOLS)
     return f"with d as (select doc_id, coalesce(text, '') as code from documents), y as (select doc_id, unnest({cells}) as s from d), s as (select doc_id, s.language as language, s.kind as kind, s.name as name from y)\n"
 
 

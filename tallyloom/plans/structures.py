@@ -37,6 +37,24 @@ def b41_shared_windows(spark: SparkSession, folder: str) -> DataFrame:
     return codeblocks.shared_windows(codeblocks.windows(_code(spark, folder), "doc_id", "code", 20, 5))
 
 
+_TOKENS = r"""'"(?:\\.|[^"\\\n])*"|''(?:\\.|[^''\\\n])*''|[A-Za-z_]\w*|\d+(?:\.\d+)?|\S'"""
+_KEPT = ", ".join(f"'{w}'" for w in sorted(codeblocks.KEYWORDS))
+DUP = rf"""with c as (select doc_id, array_to_string(list_transform(list_filter(string_split(text, '```'), lambda x, i: i % 2 = 0), lambda x: regexp_replace(x, '^[a-z]*\r?\n', '')), chr(10)) as code from documents),
+t as (select doc_id, list_transform(regexp_extract_all(code, {_TOKENS}), lambda t: case when (t[1] = '"' or t[1] = '''') and length(t) > 1 then 'STR' when regexp_matches(t, '^\d') then 'NUM' when regexp_matches(t, '^[A-Za-z_]') then case when t in ({_KEPT}) then t else 'ID' end else t end) as toks from c where code <> ''),
+w as (select doc_id, i as start, array_to_string(list_slice(toks, i + 1, i + 20), ' ') as print from t, lateral (select unnest(range(0, len(toks) - 19)) as i) where len(toks) >= 20),
+m as (select *, min({{'d': doc_id, 's': start}}) over (partition by print) as first, count(*) over (partition by print) as copies from w),
+r as (select *, start - row_number() over (partition by doc_id order by start) as run from m where copies > 1 and (first.d <> doc_id or first.s <= start - 20)),
+g as (select doc_id, min(start) as start, count(*) + 19 as tokens, min_by(first, start) as first from r group by doc_id, run)
+"""
+
+
+@book.query(DUP + "select doc_id as key, start, tokens, first.d as first_key, first.s as first_start from g where tokens >= 30")
+def b41_duplicate_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Stretches of thirty tokens or more that stand before, here or in another text, at any offset."""
+    blocks = codeblocks.duplicate_blocks(_code(spark, folder), "doc_id", "code", 20, 30)
+    return blocks.select("key", F.col("start").cast("long").alias("start"), F.col("tokens").cast("long").alias("tokens"), "first_key", F.col("first_start").cast("long").alias("first_start"))
+
+
 @book.query()
 def b12_method_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return codeblocks.scan(_code(spark, folder), "doc_id", "code")
@@ -50,17 +68,17 @@ def b10_unused_names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _diff_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """A small diff for each finding, made from its own columns."""
+    """A small diff for each finding, made from its own columns: the graver, the more lines are deleted before the first
+    added one, and a kept line stands between the two."""
     path = F.col("file")
-    body = [F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n@@ -"), F.col("start_line").cast("string"), F.lit(",2 +"), F.col("start_line").cast("string"), F.lit(",3 @@\n kept\n-old\n+new "), F.col("id"), F.lit("\n+more")]
+    gone = F.repeat(F.lit("-old\n"), F.coalesce("rank", F.lit(0)) + 1)
+    body = [F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n@@ -"), F.col("start_line").cast("string"), F.lit(","), (F.coalesce("rank", F.lit(0)) + 3).cast("string"), F.lit(" +"), F.col("start_line").cast("string"), F.lit(",4 @@\n kept\n"), gone, F.lit("+new "), F.col("id"), F.lit("\n mid\n+more")]
     return clean(table(spark, folder, "findings")).select(F.concat(*body).alias("diff"))
 
 
-@book.query(C + """select file as path, start_line + k as line_no, case when k = 1 then 'new ' || id else 'more' end as text from f, (values (1), (2)) v(k)""")
+@book.query(C + """select file as path, (start_line + k)::int as line_no, case when k = 1 then 'new ' || id else 'more' end as text from f, (values (1), (3)) v(k)""")
 def s7_added_lines(spark: SparkSession, folder: str) -> DataFrame:
-    hunks = diffs.read_diffs(_diff_texts(spark, folder), "diff")
-    # Every finding is its own diff, so hunks of one path and number are told apart by their lines.
-    return hunks.select("path", "new_start", F.posexplode("lines").alias("at", "raw")).where(F.col("raw").startswith("+")).select("path", (F.col("new_start") + F.col("at") - 1).alias("line_no"), F.expr("substr(raw, 2)").alias("text"))
+    return diffs.added_lines(diffs.read_diffs(_diff_texts(spark, folder), "diff"))
 
 
 @book.query(C + "select substr(status, 1, 1) as kind, count(*) as n from f where substr(status, 1, 1) in ('A', 'D') group by 1")
@@ -89,8 +107,7 @@ def s18_javac(spark: SparkSession, folder: str) -> DataFrame:
 
 @book.query(C + """select id, '{"id":"' || id || '","rule_id":"' || rule_id || '","start_line":' || start_line || ',"end_line":' || coalesce(cast(end_line as varchar), 'null') || '}' as json from f""")
 def s21_json_report(spark: SparkSession, folder: str) -> DataFrame:
-    rows = clean(table(spark, folder, "findings"))
-    return rows.select("id", F.to_json(F.struct("id", "rule_id", "start_line", "end_line"), {"ignoreNullFields": "false"}).alias("json"))
+    return sinks.json_rows(clean(table(spark, folder, "findings")), ["id", "rule_id", "start_line", "end_line"], keep=["id"])
 
 
 @book.query(C + "select rule_id, min(category) as name from f group by 1")

@@ -6,15 +6,16 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HUNK_SCHEMA = "path string, old_path string, change_kind string, hunk int, old_start int, old_count int, new_start int, new_count int, lines array<string>"
+HUNK_SCHEMA = "path string, old_path string, change_kind string, hunk int, old_start int, old_count int, new_start int, new_count int, lines array<string>, numbers array<int>"
 _HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 
 
 def parse_diff(text: str) -> list[tuple]:
-    """(path, old_path, change_kind, hunk, old_start, old_count, new_start, new_count, lines); a file without hunks has one row with hunk 0."""
+    """(path, old_path, change_kind, hunk, old_start, old_count, new_start, new_count, lines, numbers); a file without hunks has one row with hunk 0.
+    ``numbers`` holds the line in the new file for each line, null for a deleted one."""
     out: list[tuple] = []
     path = old = kind = None
     hunks = 0
@@ -24,13 +25,17 @@ def parse_diff(text: str) -> list[tuple]:
     def close() -> None:
         nonlocal current
         if current is not None:
-            out.append((path, old, kind, *current))
+            at, numbers = current[3], []
+            for line in current[-1]:
+                numbers.append(None if line.startswith("-") else at)
+                at += not line.startswith("-")
+            out.append((path, old, kind, *current, numbers))
             current = None
 
     def end_file() -> None:
         close()
         if path is not None and not hunks:
-            out.append((path, old, kind, 0, None, None, None, None, []))
+            out.append((path, old, kind, 0, None, None, None, None, [], []))
 
     for line in text.splitlines():
         if current is not None and (left_old > 0 or left_new > 0):
@@ -78,11 +83,8 @@ def read_diffs(texts: DataFrame, text: str) -> DataFrame:
 
 def added_lines(hunks: DataFrame) -> DataFrame:
     """(path, line_no, text) of added lines, numbered in the new file."""
-    flat = hunks.select("path", "hunk", "new_start", F.posexplode("lines").alias("at", "raw"))
-    w = Window.partitionBy("path", "hunk").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.when(~F.col("raw").startswith("-"), 1).otherwise(0)).over(w), F.lit(0))
-    numbered = flat.withColumn("line_no", F.col("new_start") + before)
-    return numbered.where(F.col("raw").startswith("+")).select("path", F.col("line_no").cast("int").alias("line_no"), F.expr("substr(raw, 2)").alias("text"))
+    flat = hunks.select("path", F.explode(F.arrays_zip("lines", "numbers")).alias("l"))
+    return flat.where(F.col("l.lines").startswith("+")).select("path", F.col("l.numbers").alias("line_no"), F.expr("substr(l.lines, 2)").alias("text"))
 
 
 def name_status(lines: DataFrame, column: str) -> DataFrame:

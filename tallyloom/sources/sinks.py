@@ -2,16 +2,39 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.redaction import COUNTERS, MASK, SENSITIVE_KEYS, masked_values
+
 #: SARIF levels by severity.
 SARIF_LEVEL = {"CRITICAL": "error", "HIGH": "error", "MEDIUM": "warning", "LOW": "note"}
 
 
-def json_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One JSON text for each row, fields in the given order, nulls kept."""
-    return rows.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("json"))
+def json_rows(rows: DataFrame, columns: list[str], keep: Sequence[str] = ()) -> DataFrame:
+    """One JSON text for each row, fields in the given order, nulls kept; ``keep`` names columns to stand beside it."""
+    return rows.select(*keep, F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def markdown_rows(rows: DataFrame, columns: list[str], keys: Sequence[str]) -> DataFrame:
+    """(part, *keys, line) of a table in Markdown: part 0 the head, 1 the rule, 2 the rows, to be ordered by part and keys. Bars
+    in cells are escaped, line breaks become spaces, null is an empty cell. Lines are rows, so a report of any size is
+    written in parallel."""
+    cell = lambda c: F.replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\s*[\r\n]+\s*", " "), F.lit("|"), F.lit("\\|"))
+    body = rows.select(F.lit(2).alias("part"), *keys, F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in columns]), F.lit(" |")).alias("line"))
+    head = rows.sparkSession.createDataFrame([(0, "| " + " | ".join(columns) + " |"), (1, "|" + "---|" * len(columns))], "part int, line string")
+    return head.unionByName(body, allowMissingColumns=True)
+
+
+def checked_lines(rows: DataFrame, required: Sequence[str], columns: list[str], keep: Sequence[str] = ()) -> DataFrame:
+    """(*keep, missing, json): what an append-only log takes: rows with all required fields as JSON, values masked by key and by
+    shape; for the others the fields they lack and no text."""
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required]))
+    shown = [(F.lit(MASK) if re.search(SENSITIVE_KEYS, c) and c not in COUNTERS else masked_values(F.col(c).cast("string"))).alias(c) for c in columns]
+    return rows.select(*keep, missing.alias("missing"), F.when(F.size(missing) == 0, F.to_json(F.struct(*shown), {"ignoreNullFields": "false"})).alias("json"))
 
 
 def sarif_results(rows: DataFrame) -> DataFrame:
@@ -28,6 +51,7 @@ def sarif_rules(rows: DataFrame) -> DataFrame:
 
 
 def append_lines(rows: DataFrame, path: str) -> None:
+    """Appends JSON lines; :func:`checked_lines` is what should go in."""
     rows.write.mode("append").json(path)
 
 
