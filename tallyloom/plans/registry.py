@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package with a QUERIES and a SQL table.
-MODULES = ("telemetry", "findings", "texts", "scores", "structures", "routing", "snapshots", "evaluation", "descriptions", "extras")
+MODULES = ("telemetry", "findings", "texts", "scores", "structures", "routing", "snapshots", "evaluation", "descriptions", "extras", "files")
 
 
 def core_queries() -> dict:
