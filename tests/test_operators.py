@@ -173,11 +173,25 @@ def test_diagrams(spark):
     assert nodes == [("a", "Alpha"), ("b", "b"), ("c", "Gamma"), ("lone", "lone")] and edges[2] == ("c", "a", True)
     flows = diagrams.read_flows(spark.createDataFrame([(1, dsl), (2, None)], "k int, d string"), "k", "d")
     assert [(r["key"], r["id"]) for r in diagrams.isolated(flows).collect()] == [(1, "lone")]
-    assert [tuple(r) for r in diagrams.lint(flows).collect()] == [(2, "NO-EDGE")]
+    assert [tuple(r)[:2] for r in diagrams.lint(spark.createDataFrame([(1, dsl), (2, None)], "k int, d string"), "k", "d").collect()] == [(1, "P08")]
     assert diagrams.longest_path(["a", "b", "c", "d"], [("a", "b"), ("b", "c"), ("c", "a"), ("d", "b")]) == 3
     assert diagrams.longest_path([], []) == 0
 
 
+LINT = [
+    ("P01", "flowchart\n a --> b", "flowchart TD\n a --> b"), ("P02", "flowchart LR\n" + "\n".join(f" a --> b{i}" for i in range(12)), "flowchart LR\n a --> b"), ("P03", "flowchart LR\n" + "\n".join(f" a{i % 4} --> b{i % 5}" for i in range(15)), "flowchart LR\n a --> b"),
+    ("P04", "flowchart LR\n a[twenty-seven signs in a label] --> b", "flowchart LR\n a[twenty-six signs <br/> in two lines] --> b"), ("P05", "flowchart LR\n a[<u>x</u>] --> b", "flowchart LR\n a[x<br/>y] --> b"), ("P06", "flowchart LR\n a[pay (new)] --> b", 'flowchart LR\n a["pay (new)"] --> b'),
+    ("P07", "flowchart LR\n subgraph s\n a\n end\n a --> b", "flowchart LR\n subgraph s\n a --> b\n end"), ("P08", "flowchart LR\n a --> b\n c", "flowchart LR\n a --> b\n c ~~~ a"), ("P09", "flowchart LR\n" + "\n".join(f" a{i} --> a{i + 1}" for i in range(7)), "flowchart LR\n" + "\n".join(f" a{i} --> a{i + 1}" for i in range(6))),
+    ("P10", "flowchart TD\n" + "\n".join(f" a{i} --> a{i + 1}" for i in range(7)), "flowchart TD\n a0 --> z\n" + "\n".join(f" a{i} --> a{i + 1}" for i in range(7))), ("P11", "flowchart LR\n a[OrderService.java] --> b", "flowchart LR\n a[order service] --> b"), ("P12", "flowchart LR\n a[orderService] --> b", "flowchart LR\n a[orders] --> b"),
+    ("P13", "flowchart LR\n 支付 --> b", "flowchart LR\n pay[支付] --> b"), ("P14", "flowchart LR\n end --> b", "flowchart LR\n End --> b"),
+]
+
+
+@pytest.mark.parametrize(("rule", "bad", "good"), LINT)
+def test_every_lint_rule_fires(rule, bad, good):
+    assert rule in {r for r, _ in diagrams.lint_figure(bad)} and rule not in {r for r, _ in diagrams.lint_figure(good)}
+
+
 def test_islands_and_intervals(spark):
     df = spark.createDataFrame([("f", 1, 9), ("f", 3, 4), ("f", 10, 12), ("f", 20, 21)], "k string, low int, high int")
     assert sorted((r["low"], r["high"]) for r in scores.islands(df, "k", "low", "high").collect()) == [(1, 12), (20, 21)]
