@@ -331,3 +331,14 @@ def scan(files: DataFrame, key: str, code: str) -> DataFrame:
 
     schema = f"key {dict(files.dtypes)[key]}, method string, start_line int, lines int, cyclomatic int, nesting int, parameters int, rules array<string>"
     return files.select(F.col(key).alias("key"), F.col(code).alias("code")).mapInPandas(run, schema)
+
+
+def scan_classes(files: DataFrame, key: str, code: str) -> DataFrame:
+    """(key, rule, severity, name, line) of the rules on whole files."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, *r) for k, text in zip(batch["key"], batch["code"], strict=True) for r in class_rules(text or "")]
+            yield pd.DataFrame(rows, columns=["key", "rule", "severity", "name", "line"])
+
+    return files.select(F.col(key).alias("key"), F.col(code).alias("code")).mapInPandas(run, f"key {dict(files.dtypes)[key]}, rule string, severity string, name string, line int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import clusters, codeblocks
+from tallyloom.operators import clusters, codeblocks, components
 from tallyloom.operators.findings import clean
 from tallyloom.plans.base import Book
 from tallyloom.plans.findings import C
@@ -115,4 +115,55 @@ def s22_sarif_rules(spark: SparkSession, folder: str) -> DataFrame:
     return sinks.sarif_rules(clean(table(spark, folder, "findings")))
 
 
+def _components(spark: SparkSession, folder: str) -> DataFrame:
+    """A component for each finding; what it breaks follows from the finding's columns."""
+    rows = clean(table(spark, folder, "findings")).where("rank is not null")
+    tag = F.when(F.col("rank") >= 2, "<order-panel :a=\"1\"/>").otherwise("<div/>")
+    dropped = F.when(F.col("rank") == 0, "").otherwise("report(e)")
+    residue = F.when(F.col("introduced"), "console.log(a)").otherwise("")
+    script = F.concat(
+        F.lit("import OrderPanel from './p'\nexport default {\n components: { OrderPanel },\n computed: {\n  first() {\n   const a = 1\n   const b = 2\n   return a + b\n  },\n  second() {\n   const a = 1\n   const b = 2\n   return a + b\n  }\n },\n methods: {\n  load(a) { try { go(a) } catch (e) { "), dropped, F.lit(" } "), residue, F.lit(" }\n }\n}\n// TODO later\nexport function fetch"),
+        F.regexp_replace("id", "[^0-9]", ""), F.lit("(a, b) { return api.fetch(a, b) }\n"),
+    )
+    return rows.select("id", "rank", F.concat(F.lit("<template>"), tag, F.lit("</template>\n<script>\n"), script, F.when(F.col("rank") == 3, F.concat(F.lit("import { fetch"), F.regexp_replace("id", "[^0-9]", ""), F.lit(" } from './q'\n"))).otherwise(""), F.lit("</script>\n")).alias("text"))
+
+
+@book.query(C + """, r as (select unnest(['DUP-COMPUTED', 'TODO-MARKER', 'API-WRAPPER-PASSTHRU', case when rank < 2 then 'UNUSED-COMPONENT' end, case when rank = 0 then 'EMPTY-CATCH' end, case when introduced then 'DEBUG-RESIDUE' end]) as rule from f where rank is not null) select rule, count(*) as n from r where rule is not null group by 1""")
+def v1_component_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return components.scan(_components(spark, folder), "id", "text").groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@book.query(C + "select id, 'fetch' || regexp_replace(id, '[^0-9]', '', 'g') as name from f where rank < 3")
+def v2_unused_exports(spark: SparkSession, folder: str) -> DataFrame:
+    return components.unused_exports(_components(spark, folder), "id", "text")
+
+
+def _classes(spark: SparkSession, folder: str) -> DataFrame:
+    """A Java-like class for each finding."""
+    rows = clean(table(spark, folder, "findings")).where("rank is not null")
+    name = F.concat(F.lit("C"), F.regexp_replace("id", "[^0-9]", ""))
+    kept = F.when(F.col("rank") >= 2, " volatile").otherwise("")
+    used = F.when(F.col("introduced"), "used();").otherwise("")
+    code = F.concat(
+        F.lit("interface I"), name, F.lit(" { }\nclass "), name, F.when(F.col("rank") == 3, F.lit("")).otherwise(F.concat(F.lit(" implements I"), name)), F.lit(" {\n private static"), kept, F.lit(" Thing one;\n static "), F.when(F.col("rank") == 1, "Map<String, Thing> cache = make();").otherwise("final int n = 1;"),
+        F.lit("\n public static Thing get() { if (one == null) { synchronized (X.class) { if (one == null) { one = new Thing(); } } } "), used, F.lit(" return one; }\n private void used() { n(); }\n}\n"),
+    )
+    return rows.select("id", code.alias("code"))
+
+
+@book.query(C + """select id, rule, name from (select id, 'DOUBLE-CHECK-NO-VOLATILE' as rule, 'one' as name from f where rank < 2 union all select id, 'SHARED-MUTABLE', 'cache' from f where rank = 1)""")
+def b28_class_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return codeblocks.scan_classes(_classes(spark, folder), "id", "code").select(F.col("key").alias("id"), "rule", "name")
+
+
+@book.query(C + "select id as key, 'method' as kind, 'used' as name from f where rank is not null and not coalesce(introduced, false)")
+def b1_unused_members(spark: SparkSession, folder: str) -> DataFrame:
+    return codeblocks.unused_members(_classes(spark, folder), "id", "code")
+
+
+@book.query(C + "select 'IC' || regexp_replace(id, '[^0-9]', '', 'g') as name, case when rank = 3 then 0 else 1 end::bigint as implementations from f where rank is not null")
+def b7_single_implementations(spark: SparkSession, folder: str) -> DataFrame:
+    return codeblocks.single_implementations(_classes(spark, folder), "id", "code")
+
+
 QUERIES, SQL = book.queries, book.sql
