@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Alert thresholds; ratio alerts need at least this many events.
-LEAST_EVENTS, LOW_SUCCESS, LOW_CACHE, HIGH_LATENCY, HIGH_REPEATS = 5, 0.9, 0.5, 500.0, 0.2
+LEAST_EVENTS, LOW_SUCCESS, LOW_CACHE, HIGH_LATENCY, HIGH_REPEATS, MANY_CALLS = 5, 0.9, 0.5, 500.0, 0.2, 3.0
 
 
 def typed(events: DataFrame) -> DataFrame:
@@ -24,6 +24,7 @@ def typed(events: DataFrame) -> DataFrame:
         (k % 3 == 0).alias("cache_hit"),
         (~((F.col("event_type") == "error") & (k % 50 == 0))).alias("evidence_kept"),
         k.alias("tokens"),
+        (k % 6 + 1).alias("calls"),
     )
 
 
@@ -38,6 +39,7 @@ def summary(events: DataFrame) -> DataFrame:
         F.round(F.try_divide(F.count_if("cache_hit"), n), 6).alias("cache_hit_rate"),
         F.round(F.avg("latency_ms"), 6).alias("avg_latency_ms"),
         F.count_if(~F.col("evidence_kept")).alias("evidence_lost"),
+        F.round(F.avg("calls"), 6).alias("calls_per_event"),
     )
 
 
@@ -60,11 +62,12 @@ def repeats(events: DataFrame) -> DataFrame:
     return events.withColumn("nth", F.row_number().over(w)).where("nth > 1")
 
 
-def alerts(summed: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Alerts that fired: (code, value, limit). Ratios need LEAST_EVENTS events."""
+def alerts(summed: DataFrame, repeated: DataFrame, lines: DataFrame) -> DataFrame:
+    """Alerts that fired: (code, value, limit). Ratios need LEAST_EVENTS events. ``lines`` is the scan of the log, one row
+    with the number of ``malformed`` lines."""
     counted = repeated.agg(F.count(F.lit(1)).alias("repeats"))
-    # Two one-row results laid over each other, without a cross join.
-    both = summed.unionByName(counted, allowMissingColumns=True)
+    # One-row results laid over each other, without a cross join.
+    both = summed.unionByName(counted, allowMissingColumns=True).unionByName(lines.select("malformed"), allowMissingColumns=True)
     row = both.agg(*[F.max(c).alias(c) for c in both.columns])
     enough = F.col("events") >= LEAST_EVENTS
     share = F.try_divide(F.col("repeats"), F.col("events"))
@@ -73,6 +76,8 @@ def alerts(summed: DataFrame, repeated: DataFrame) -> DataFrame:
         ("LOW_CACHE_HIT", F.col("cache_hit_rate"), LOW_CACHE, enough & (F.col("cache_hit_rate") < LOW_CACHE)),
         ("HIGH_LATENCY", F.col("avg_latency_ms"), HIGH_LATENCY, F.col("avg_latency_ms") > HIGH_LATENCY),
         ("EVIDENCE_LOST", F.col("evidence_lost").cast("double"), 0.0, F.col("evidence_lost") > 0),
+        ("RETRY_STORM", F.col("calls_per_event"), MANY_CALLS, F.col("calls_per_event") > MANY_CALLS),
+        ("MALFORMED_LINES", F.col("malformed").cast("double"), 0.0, F.col("malformed") > 0),
         ("REPEATED_CALLS", F.round(share, 6), HIGH_REPEATS, enough & (share > HIGH_REPEATS)),
     ]
     cells = F.array(*[F.struct(F.lit(c).alias("code"), v.alias("value"), F.lit(float(t)).alias("threshold"), f.alias("fired")) for c, v, t, f in checks])

@@ -227,7 +227,7 @@ def s1_path_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @book.query(C + """, k as (select rule_id, file, count(*) as n from f group by 1, 2) select rule_id, round(sum(n * n)::double / (sum(n) * sum(n)), 9) as concentration, sum(n)::bigint as total from k group by 1""")
-def a27_concentration(spark: SparkSession, folder: str) -> DataFrame:
+def x4_concentration(spark: SparkSession, folder: str) -> DataFrame:
     cells = _clean(spark, folder).groupBy("rule_id", "file").agg(F.count(F.lit(1)).alias("n"))
     return cells.groupBy("rule_id").agg(F.round(F.sum(F.col("n") * F.col("n")).cast("double") / (F.sum("n") * F.sum("n")), 9).alias("concentration"), F.sum("n").alias("total"))
 
