@@ -33,13 +33,17 @@ def masked_values(text: Column) -> Column:
     return text
 
 
+def _masked(key: Column, value: Column, by_key: bool) -> Column:
+    return F.when(F.lit(by_key) & is_sensitive(key), MASK).otherwise(masked_values(value))
+
+
 def masked_fields(fields: Column, by_key: bool = True) -> Column:
     """A map with the values of sensitive keys masked whole and secrets in other values masked by shape; value shapes are
     masked even where key names are not looked at."""
-    return F.transform_values(fields, lambda k, v: F.when(F.lit(by_key) & is_sensitive(k), MASK).otherwise(masked_values(v)))
+    return F.transform_values(fields, lambda k, v: _masked(k, v, by_key))
 
 
 def touched_keys(fields: Column) -> Column:
     """The keys whose values :func:`masked_fields` changes, sorted."""
-    done = masked_fields(fields)
-    return F.array_sort(F.filter(F.map_keys(fields), lambda k: ~F.try_element_at(done, k).eqNullSafe(F.try_element_at(fields, k))))
+    changed = F.filter(F.map_entries(fields), lambda e: ~_masked(e["key"], e["value"], True).eqNullSafe(e["value"]))
+    return F.array_sort(F.transform(changed, lambda e: e["key"]))

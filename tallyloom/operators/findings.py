@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.joins import in_intervals
+
 #: Severity order, score weights of the dimensions, categories of each dimension, share taken by severity.
 SEVERITY_RANK = {"LOW": 0, "MEDIUM": 1, "HIGH": 2, "CRITICAL": 3}
 DIMENSION_WEIGHT = {"structure": 30.0, "safety": 40.0, "noise": 30.0}
@@ -75,6 +77,30 @@ def drop_reasons(rows: DataFrame, excluded: Sequence[str], changed: DataFrame) -
     return marked.withColumn("reason", F.when(segments, "excluded_path").when(F.col("touched").isNull(), "outside_change")).drop("touched")
 
 
+def hunk_reasons(rows: DataFrame, excluded: Sequence[str], changed: DataFrame, hunks: DataFrame) -> DataFrame:
+    """As :func:`drop_reasons`, and ``outside_hunk`` for a finding whose line is in no hunk (file, low, high) of its file; a
+    changed file without hunks counts as changed as a whole. ``rows`` has unique ids."""
+    marked = drop_reasons(rows, excluded, changed)
+    cut = hunks.select("file").distinct().withColumn("_cut", F.lit(True))
+    inside = in_intervals(rows.select("id", "file", "start_line"), hunks, "file", "start_line").select("id").distinct().withColumn("_in", F.lit(True))
+    both = marked.join(cut, "file", "left").join(inside, "id", "left")
+    return both.withColumn("reason", F.coalesce("reason", F.when(F.col("_cut") & F.col("_in").isNull(), "outside_hunk"))).drop("_cut", "_in")
+
+
+def handoff(fields: Column, schemas: dict[str, dict]) -> Column:
+    """(kind, issues) of a map of fields: the first schema all of whose ``marks`` are there, with the required fields that
+    are missing or empty and the fields whose value is none of the allowed ones; no schema fits: kind null, one issue."""
+    keys = F.map_keys(fields)
+    out = F.struct(F.lit(None).cast("string").alias("kind"), F.array(F.lit("unknown kind")).alias("issues"))
+    for name, schema in reversed(list(schemas.items())):
+        fits = F.size(F.array_except(F.array(*[F.lit(m) for m in schema["marks"]]), keys)) == 0
+        value = lambda f: F.try_element_at(fields, F.lit(f))
+        issues = [F.when(F.coalesce(value(f), F.lit("")) == "", F.lit(f"missing {f}")) for f in schema.get("required", ())]
+        issues += [F.when((F.coalesce(value(f), F.lit("")) != "") & ~value(f).isin(*allowed), F.lit(f"not allowed {f}")) for f, allowed in schema.get("allowed", {}).items()]
+        out = F.when(fits, F.struct(F.lit(name).alias("kind"), F.array_compact(F.array(*issues)).cast("array<string>").alias("issues"))).otherwise(out)
+    return out
+
+
 def glob_to_regex(pattern: str) -> str:
     """A glob with ``**``, ``*`` and ``?`` as an anchored regular expression."""
     out, i = [], 0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import paths, redaction
 from tallyloom.functions import text as fx
 from tallyloom.operators import codefacts, selection
-from tallyloom.operators.findings import clean, glob_to_regex
+from tallyloom.operators.findings import clean, glob_to_regex, handoff, hunk_reasons
 from tallyloom.plans.base import Book
 from tallyloom.plans.findings import C
 from tallyloom.sources import table
@@ -291,4 +291,27 @@ def j10_accepted_risks(spark: SparkSession, folder: str) -> DataFrame:
     return selection.accepted_risk(_clean(spark, folder), RISKS, "2025-06-01", glob_to_regex).select("id", "risk")
 
 
+@book.query(C + """, h as (select file, min(start_line) + 100 as low, min(start_line) + 400 as high from f where file is not null and introduced and severity in ('HIGH', 'LOW') group by 1),
+c as (select distinct file from f where introduced and file is not null) select id, case when list_contains(string_split(file, '/'), 'tools') then 'excluded_path' when file is null or file not in (select file from c) then 'outside_change'
+  when file in (select file from h) and not exists (select 1 from h where h.file = f.file and f.start_line between h.low and h.high) then 'outside_hunk' end as reason from f""")
+def f2_hunk_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """Why findings are dropped, with the hunks of changed files."""
+    rows = _clean(spark, folder)
+    changed = rows.where("introduced and file is not null")
+    hunks = changed.where("severity in ('HIGH', 'LOW')").groupBy("file").agg((F.min("start_line") + 100).alias("low"), (F.min("start_line") + 400).alias("high"))
+    return hunk_reasons(rows, ("tools",), changed, hunks).select("id", "reason")
+
+
+HANDOFFS = {"review": {"marks": ("severity", "symbol"), "required": ("title",), "allowed": {"severity": ("LOW", "MEDIUM", "HIGH")}}, "plain": {"marks": ("id",), "required": ("title", "note")}}
+
+
+@book.query(C + """select id, case when symbol is not null and severity is not null then 'review' else 'plain' end as kind, list_filter([case when coalesce(title, '') = '' then 'missing title' end, case when symbol is null or severity is null then 'missing note' end,
+  case when symbol is not null and severity = 'CRITICAL' then 'not allowed severity' end], lambda x: x is not null) as issues from f""")
+def f16_handoffs(spark: SparkSession, folder: str) -> DataFrame:
+    """What kind of record each finding makes, and what it lacks."""
+    cells = [("id", F.col("id")), ("title", F.coalesce("title", F.lit(""))), ("severity", F.col("severity")), ("symbol", F.col("symbol"))]
+    pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in cells]), lambda p: p["v"].isNotNull())
+    return _clean(spark, folder).select("id", handoff(F.map_from_entries(pairs), HANDOFFS).alias("h")).select("id", "h.kind", "h.issues")
+
+
 QUERIES, SQL = book.queries, book.sql

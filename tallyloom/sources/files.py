@@ -16,7 +16,8 @@ SNIFFED, PRINTABLE = 4096, 0.7
 
 def walk(spark: SparkSession, folder: str, suffixes: Sequence[str] = (), excluded: Sequence[str] = (), most_bytes: int | None = None) -> DataFrame:
     """(path, name, length, content) of the files below a folder: with one of the suffixes, no path segment among the
-    excluded ones, at most so many bytes. The size is checked before a file is opened; ``content`` is read only if used."""
+    excluded ones, at most so many bytes. The size is checked before a file is opened; ``content`` is read only if used. Empty
+    files give no row."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     if most_bytes is not None:
         files = files.where(F.col("length") <= most_bytes)
