@@ -38,7 +38,7 @@ def is_binary(content: Column) -> Column:
 
 def texts(files: DataFrame) -> DataFrame:
     """(path, name, text) of the files that are no binaries; bytes that are no UTF-8 become replacement signs."""
-    return files.where(~is_binary(F.col("content"))).select("path", "name", F.decode(F.col("content"), F.lit("UTF-8")).alias("text"))
+    return files.where(~is_binary(F.col("content"))).select("path", "name", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def read_ledgers(spark: SparkSession, folder: str, globs: Sequence[str] = ("*.json",)) -> DataFrame:
