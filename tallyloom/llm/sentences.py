@@ -9,7 +9,8 @@ to the unit.
   closing words speak for an end, particles that govern what follows and continuing opening words against it.
 * Scripts with spaces: the terminators of a paragraph form a lattice, each with the readings "ends a sentence" and
   "stands inside" (abbreviation, ordinal, initial, dots); the cheapest path through the readings is taken, where an
-  end that leaves no word in a unit is not allowed and very short units cost a little.
+  end that leaves no word in a unit is not allowed and units of one word cost a little, more after an abbreviation that a
+  single word may follow.
 
 Every text is read once from left to right. At a gap the whole runs of spaceless signs around it are segmented, and in
 spaced scripts the words around it are looked up, so time is linear in the text's length.
@@ -140,6 +141,8 @@ INNER = set(
 )
 #: Abbreviations that may also end one.
 BOTH = set("etc &c al a.m p.m am pm u.s u.k u.n e.u inc ltd co corp usw ff f т.д т.п др пр u.ä".split())
+#: Of these, the ones after which a lone word goes on ("at 5 p.m. Monday.", "the U.S. Congress.").
+LOOSE = set("am pm a.m p.m u.s u.k u.n e.u inc ltd co corp".split())
 MONTHS = set(
     "januar februar märz april mai juni juli august september oktober november dezember jänner january february march may june july october december januari janvier février mars avril juin juillet août septembre octobre novembre décembre enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split()
 )
@@ -151,6 +154,9 @@ _IDENT = re.compile(r"[\w.\-]*[/\\_][\w./\\\-]+|[a-z]+(?:[A-Z]\w*)+|\w+\(\)|\w+\
 #: Abbreviations of several parts that may end a sentence.
 _MAY_END = re.compile(r"(?:\bт\.\s*[дп]|\bи\s+(?:др|пр)|\bu\.\s*v\.\s*[am]|\b[uo]\.\s*ä)$", re.I)
 _COSTLY = 50.0
+#: Costs of an abbreviation that may end a sentence before a capital: the terminator alone speaks for an end. The path turns
+#: it where the unit that would begin there ends with its first word.
+AMBIGUOUS, LONE_WORD, LONE_AFTER_LOOSE = (0.5, 1.5), 0.4, 1.2
 
 
 def readings(before: str, mark: str, after: str, closed: bool) -> tuple[float, float]:
@@ -179,7 +185,7 @@ def readings(before: str, mark: str, after: str, closed: bool) -> tuple[float, f
     word = prev.group().lower().lstrip("('’") if prev else ""
     bare = word.rsplit("'", 1)[-1].rsplit("’", 1)[-1]
     if word in BOTH or bare in BOTH or _MAY_END.search(before):
-        return (0.5, 1.5) if first.isupper() or caseless or _IDENT.match(nxt) or opens.strip() else (6.0, 0.0)
+        return AMBIGUOUS if first.isupper() or caseless or _IDENT.match(nxt) or opens.strip() else (6.0, 0.0)
     if word in INNER or bare in INNER:
         return 6.0, 0.0
     if len(bare) == 1 and bare.isalpha() and not (_HAN.match(bare) or _THAI.match(bare)):
@@ -376,12 +382,14 @@ def running(text: str, start: int, stop: int, out: list[int]) -> None:
         gaps.append((at, *readings(before, mark, rest, closed)))
     if gaps:
         gaps.sort()
-        words, more, last = [], [], 0
-        for at, _, _ in gaps:
+        words, more, last, loose = [], [], 0, False
+        for at, end_cost, inside_cost in gaps:
             part = piece[last:at]
             words.append(any(c.isalnum() for c in part))
-            more.append(0.4 if len(part.split()) <= 1 and not _SPACELESS.search(part) else 0.0)
-            last = at
+            lone = len(part.split()) <= 1 and not _SPACELESS.search(part)
+            more.append((LONE_AFTER_LOOSE if loose and part.endswith(".") else LONE_WORD) if lone else 0.0)
+            before = _PREV.search(piece[max(0, at - 1 - WORD) : at].rstrip(".")) if (end_cost, inside_cost) == AMBIGUOUS else None
+            last, loose = at, bool(before and before.group().lower() in LOOSE)
         base = start
         for (at, _, _), ends in zip(gaps, cheapest([(e, g) for _, e, g in gaps], words, more), strict=True):
             if ends and 0 < at < n:

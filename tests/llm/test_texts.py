@@ -338,6 +338,31 @@ def test_sentences(units):
     assert found == units
 
 
+def ends_of(text):
+    found, a = [], 0
+    for e in sentences.ends(text):
+        found.append(text[a:e].strip())
+        a = e
+    return found
+
+
+def test_the_path_through_terminators_turns_single_choices():
+    text = "It stopped at 5 p.m. Monday. Then it ran in the U.S. Congress. It ran until 7 a.m. Nobody saw it."
+    assert ends_of(text) == ["It stopped at 5 p.m. Monday.", "Then it ran in the U.S. Congress.", "It ran until 7 a.m.", "Nobody saw it."]
+    # Alone, the terminators of "p.m." and "U.S." speak for an end, as the one of "a.m." does.
+    for before, after in (("It stopped at 5 p.m", " Monday. Then it ran"), ("it ran in the U.S", " Congress. It ran"), ("It ran until 7 a.m", " Nobody saw it.")):
+        end, inside = sentences.readings(before, ".", after, False)
+        assert end < inside
+
+
+def test_the_word_lattice_turns_single_signs():
+    # 就 goes on with the sentence before it, 就目前 opens one; the lattice tells which word stands there.
+    assert sentences.lattice("就目前的") != tuple("就目前的") and sentences.lattice("就目前的")[0] == "就目前"
+    assert sentences.spaceless_gap("等了很久", "就目前的记录看", "dots") and not sentences.spaceless_gap("等了很久", "就走了", "dots")
+    # A run is segmented whole: what stands more signs before the gap than any window decides too.
+    assert not sentences.spaceless_gap("记录" * 40 + "因为", "他走了", "line") and sentences.spaceless_gap("记录" * 40, "他走了", "line")
+
+
 def test_blocks():
     text = "# Head\n\nA line\r\nthat goes on. Second.\n\n- item one. More\n2) item\n\n| a | b |\n|---|---|\n| c. D | e |\n\n```py\nx. Y\n\nz\n```\nAm\n5. Mai war es.\n"
     got, a = [], 0
