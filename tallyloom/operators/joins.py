@@ -49,10 +49,21 @@ def compare(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def overlap_pairs(sets: DataFrame, item: str, members: str, least: int) -> DataFrame:
-    """(a, b, shared): items a < b that share at least ``least`` members, through the members (an inverted index)."""
-    flat = sets.select(F.col(item).alias("i"), F.explode(F.array_distinct(members)).alias("m"))
-    left, right = flat.withColumnRenamed("i", "a"), flat.withColumnRenamed("i", "b")
-    return left.join(right, "m").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+    """(a, b, shared): items a < b that share at least ``least`` members.
+
+    Two such items share one of the n - least + 1 rarest members of each, so only those are indexed (a prefix filter), and
+    a member that very many items have stands at the end of nearly every order and is seldom joined on. Candidates are
+    then counted exactly. Items with fewer members than ``least`` pair with none; ``item`` is unique.
+    """
+    own = sets.select(F.col(item).alias("i"), F.array_distinct(F.filter(members, lambda m: m.isNotNull())).alias("ms")).where(F.size("ms") >= least)
+    flat = own.select("i", F.explode("ms").alias("m"))
+    often = flat.groupBy("m").agg(F.count(F.lit(1)).alias("n"))
+    # An item's members come together again: no more than the item has.
+    ordered = flat.join(often, "m").groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "m"))), lambda x: x["m"]).alias("ms"))
+    rare = ordered.select("i", "ms", F.explode(F.slice("ms", 1, F.size("ms") - (least - 1))).alias("m"))
+    left, right = (rare.select(F.col("i").alias(x), F.col("ms").alias(f"ms_{x}"), "m") for x in "ab")
+    pairs = left.join(right, "m").where("a < b").dropDuplicates(["a", "b"])
+    return pairs.select("a", "b", F.size(F.array_intersect("ms_a", "ms_b")).cast("long").alias("shared")).where(F.col("shared") >= least)
 
 
 def complete(rows: DataFrame, key: str, value: str, wanted: Sequence) -> DataFrame:

@@ -50,11 +50,6 @@ def a28_merged_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return clusters.merged(rows, clusters.clustered(rows))
 
 
-@book.query()
-def b41_shared_windows(spark: SparkSession, folder: str) -> DataFrame:
-    return codeblocks.shared_windows(codeblocks.windows(_code(spark, folder), "doc_id", "code", 20, 5))
-
-
 _TOKENS = r"""'"(?:\\.|[^"\\\n])*"|''(?:\\.|[^''\\\n])*''|[A-Za-z_]\w*|\d+(?:\.\d+)?|\S'"""
 _KEPT = ", ".join(f"'{w}'" for w in sorted(codeblocks.KEYWORDS))
 DUP = rf"""with c as (select doc_id, array_to_string(list_transform(list_filter(string_split(text, '```'), lambda x, i: i % 2 = 0), lambda x: regexp_replace(x, '^[a-z]*\r?\n', '')), chr(10)) as code from documents),
