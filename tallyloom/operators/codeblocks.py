@@ -257,9 +257,17 @@ def method_rules(code: str) -> list[tuple[str, str, str, int]]:
     return out
 
 
+#: Comment lines in a row from which they may be code.
+COMMENTED = 5
+_POOL = re.compile(r"\b(?:private|protected|public|static|final|\s)+(?:ExecutorService|ScheduledExecutorService|ThreadPoolExecutor)\s+(\w+)\s*=\s*(?:Executors\.|new\s)")
+_SINGLETON = re.compile(r"\b(?:private|public|protected)\s+static\s+(?!final\b|volatile\s+final\b)(?:volatile\s+)?[A-Z]\w*\s+(\w*[iI]nstance\w*)\s*(=[^;]*)?;")
+_TRANSACTION = re.compile(r"@Transactional\b[^{};]*?\b(\w+)\s*\([^()]*\)\s*(?:throws\s+[\w., ]+)?\{")
+
+
 def class_rules(code: str) -> list[tuple[str, str, str, int]]:
     """(rule, severity, name, line) for rules on a whole file."""
     plain, out = blank(code), []
+    braces_of = braces(plain)
     at = lambda i: plain.count("\n", 0, i) + 1
     for m in _LOCKED.finditer(plain):
         if not re.search(rf"\bvolatile\b[^;]*\b{re.escape(m.group(1))}\b", plain):
@@ -268,6 +276,32 @@ def class_rules(code: str) -> list[tuple[str, str, str, int]]:
         out.append(("SHARED-MUTABLE", "HIGH", m.group(1), at(m.start())))
     if plain.count("\n") + 1 > 10 * LINES:
         out.append(("LARGE-CLASS", "LOW", "", 1))
+    if not re.search(r"\.shutdown(?:Now)?\(", plain):
+        out += [("THREADPOOL-NO-SHUTDOWN", "LOW", m.group(1), at(m.start(1))) for m in _POOL.finditer(plain)]
+    for m in _SINGLETON.finditer(plain):
+        # A holder that some method of the class sets anew after it was made.
+        if len(re.findall(rf"(?<![\w.]){re.escape(m.group(1))}\s*=[^=]", plain)) > (m.group(2) is not None) + bool(_LOCKED.search(plain)):
+            out.append(("GLOBAL-MUTABLE-SINGLETON", "MEDIUM", m.group(1), at(m.start(1))))
+    for m in _TRANSACTION.finditer(plain):
+        body = plain[m.end() : braces_of.get(m.end() - 1, len(plain))]
+        if re.search(_REMOTE, body):
+            out.append(("TX-REMOTE-CALL", "HIGH", m.group(1), at(m.start(1))))
+    return out + [("COMMENTED-CODE", "LOW", "", line) for line in commented_code(code)]
+
+
+def commented_code(code: str) -> list[int]:
+    """First lines of runs of COMMENTED or more comment lines that read like code: with ``;`` and two of ``=``, ``(``, ``{``."""
+    out, run, inside = [], [], False
+    for n, line in enumerate([*code.split("\n"), ""], 1):
+        s = line.strip()
+        if inside or s.startswith(("//", "/*")):
+            inside = (inside or s.startswith("/*")) and "*/" not in s
+            run.append((n, s))
+            continue
+        text = "\n".join(x for _, x in run)
+        if len(run) >= COMMENTED and ";" in text and sum(c in text for c in "=({") >= 2 and not text.startswith("/**"):
+            out.append(run[0][0])
+        run = []
     return out
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import strip_space
+from tallyloom.functions.descriptions import negative_clause
+from tallyloom.functions.text import lines, strip_space, token_estimate, word_count
 
 #: Declarations by language and kind; the name is the first group.
 SYMBOLS = (
@@ -69,3 +70,44 @@ def calls(files: DataFrame, key: str, code: str, declared: DataFrame) -> DataFra
     flat = files.select(key, F.explode(F.regexp_extract_all(F.coalesce(F.col(code), F.lit("")), F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\("), F.lit(1))).alias("name"))
     per = flat.groupBy("name", key).agg(F.count(F.lit(1)).alias("c")).groupBy("name").agg(F.count(F.lit(1)).alias("callers"), F.sum("c").alias("calls"))
     return declared.select("name").distinct().join(per, "name", "left").select("name", F.coalesce("callers", F.lit(0)).alias("callers"), F.coalesce("calls", F.lit(0)).alias("calls"))
+
+
+#: What makes a declaration reachable without a call: kind and a pattern whose first group is the name, "" for the next one.
+ENTRIES = (
+    ("reflection", r"\b(?:forName|loadClass|getBean|getMethod|getDeclaredMethod)\(\s*\"(?:[A-Za-z0-9_.]*\.)?([A-Za-z_][A-Za-z0-9_]*)\""),
+    ("container", r"@(?:Component|Service|Repository|Controller|RestController|Configuration|Bean|Scheduled|EventListener)\b[^{;]*?\b(?:class\s+|[A-Za-z_][A-Za-z0-9_<>]*\s+)([A-Za-z_][A-Za-z0-9_]*)\s*[({]"),
+    ("listener", r"@(?:KafkaListener|RabbitListener|JmsListener)\b[^{;]*?\s([A-Za-z_][A-Za-z0-9_]*)\s*\("),
+    ("descriptor", r"\b(?:class|ref)=\"(?:[A-Za-z0-9_.]*\.)?([A-Za-z_][A-Za-z0-9_]*)\""),
+    ("import", r"\bimport\(\s*['\"](?:[^'\"]*/)?([A-Za-z_][A-Za-z0-9_]*)(?:\.[a-z]+)?['\"]"),
+)
+
+
+def dynamic_entries(files: DataFrame, key: str, code: str) -> DataFrame:
+    """(key, kind, name): names that a text makes reachable by reflection, a container, a listener, a descriptor or an import
+    at run time; declarations with such a name are not unused for want of a call."""
+
+    def found(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(F.coalesce(F.col(code), F.lit("")), F.lit(pattern), F.lit(1)), lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
+
+    return files.select(key, F.explode(F.array_distinct(F.concat(*[found(*e) for e in ENTRIES]))).alias("e")).select(key, "e.*")
+
+
+#: Sizes of a guiding text from which it should be split or loaded on demand.
+MOST_LINES, MOST_WORDS, MOST_TOKENS = 400, 1200, 2000
+
+
+def guide_rules(text: Column, description: Column) -> Column:
+    """What an audit finds in a guiding text: too long in lines, words or tokens, no heading, no or a short description, no
+    clause of what it is not for."""
+    t = F.coalesce(text, F.lit(""))
+    d = F.coalesce(description, F.lit(""))
+    rules = (
+        ("lines", F.size(lines(t)) > MOST_LINES), ("words", word_count(t) > MOST_WORDS), ("tokens", token_estimate(t) > MOST_TOKENS), ("no heading", ~t.rlike(r"(?m)^#{1,6}\s")),
+        ("no description", F.length(F.trim(d)) == 0), ("short description", F.length(F.trim(d)).between(1, 19)), ("no exclusions", (F.length(F.trim(d)) > 0) & (negative_clause(d) == "")),
+    )
+    return F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in rules]))
+
+
+def guide_verdict(rules: Column) -> Column:
+    """SPLIT for what is too long, OPTIMIZE for what is only badly described, else KEEP."""
+    return F.when(F.arrays_overlap(rules, F.array(F.lit("lines"), F.lit("words"), F.lit("tokens"))), "SPLIT").when(F.size(rules) > 0, "OPTIMIZE").otherwise("KEEP")

@@ -314,4 +314,27 @@ def f16_handoffs(spark: SparkSession, folder: str) -> DataFrame:
     return _clean(spark, folder).select("id", handoff(F.map_from_entries(pairs), HANDOFFS).alias("h")).select("id", "h.kind", "h.issues")
 
 
+@book.query(C + """, e as (select id, unnest([case when introduced then {'kind': 'reflection', 'name': coalesce(symbol, 'none')} end, {'kind': 'container', 'name': 'Panel' || start_line}, case when severity = 'HIGH' then {'kind': 'listener', 'name': 'onEvent'} end, {'kind': 'import', 'name': 'lazy'}]) as e from f where start_line is not null and (symbol is null or regexp_matches(symbol, '^[A-Za-z_][A-Za-z0-9_]*$')))
+select id, e.kind as kind, e.name as name from e where e is not null""")
+def v12_dynamic_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """Names of small texts, made from the findings, that are reachable without a call."""
+    rows = _clean(spark, folder).where(F.col("start_line").isNotNull() & (F.col("symbol").isNull() | F.col("symbol").rlike("^[A-Za-z_][A-Za-z0-9_]*$")))
+    code = F.concat(
+        F.when(F.col("introduced"), F.concat(F.lit('Class.forName("app.x.'), F.coalesce("symbol", F.lit("none")), F.lit('");\n'))).otherwise(""), F.lit("@Service\npublic class Panel"), F.col("start_line").cast("string"),
+        F.lit(" { }\n"), F.when(F.col("severity") == "HIGH", '@KafkaListener(topics = "t")\n void onEvent(String s) { }\n').otherwise(""), F.lit("const p = () => import('./views/lazy.vue')\n"),
+    )
+    return codefacts.dynamic_entries(rows.select("id", code.alias("code")), "id", "code")
+
+
+@book.query(r"""with d as (select doc_id, coalesce(text, '') as t, coalesce(source, '') as d, len(regexp_extract_all(coalesce(text, ''), '[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]')) as c from documents),
+r as (select doc_id, list_filter([case when len(string_split(regexp_replace(t, '\r\n?', chr(10), 'g'), chr(10))) > 400 then 'lines' end, case when len(regexp_extract_all(t, '[A-Za-z0-9_]+|[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]')) > 1200 then 'words' end,
+  case when ceil((length(t) - c) / 4) + ceil(c * 2 / 3) > 2000 then 'tokens' end, case when not regexp_matches(t, '(?m)^#{1,6}\s') then 'no heading' end, case when length(trim(d)) = 0 then 'no description' end,
+  case when length(trim(d)) between 1 and 19 then 'short description' end, case when length(trim(d)) > 0 then 'no exclusions' end], lambda x: x is not null) as rules from d)
+select doc_id, rules, case when list_has_any(rules, ['lines', 'words', 'tokens']) then 'SPLIT' when len(rules) > 0 then 'OPTIMIZE' else 'KEEP' end as verdict from r""")
+def v15_guide_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """What an audit finds in every document as a guiding text described by its source."""
+    rows = table(spark, folder, "documents").select("doc_id", codefacts.guide_rules(F.col("text"), F.col("source")).alias("rules"))
+    return rows.withColumn("verdict", codefacts.guide_verdict(F.col("rules")))
+
+
 QUERIES, SQL = book.queries, book.sql

@@ -96,6 +96,20 @@ def test_class_rules_and_corpus_rules(spark):
     assert [r["name"] for r in codeblocks.unused_names(names, texts, "name", "t").collect()] == ["app.gone"]
 
 
+CLASS_CASES = [
+    ("THREADPOOL-NO-SHUTDOWN", "class A { private final ExecutorService pool = Executors.newFixedThreadPool(2); }", "class A { private final ExecutorService pool = Executors.newFixedThreadPool(2); void end() { pool.shutdown(); } }"),
+    ("GLOBAL-MUTABLE-SINGLETON", "class A { private static A instance = new A(); static void set(A a) { instance = a; } }", "class A { private static A instance = new A(); static A get() { return instance; } }"),
+    ("TX-REMOTE-CALL", "class A { @Transactional public void pay(int a) { repo.save(a); httpClient.send(a); } }", "class A { @Transactional public void pay(int a) { repo.save(a); } void b() { httpClient.send(1); } }"),
+    ("COMMENTED-CODE", "\n".join(f"// int x{i} = call({i});" for i in range(5)), "\n".join(f"// a remark of words {i}" for i in range(6))),
+]
+
+
+@pytest.mark.parametrize(("rule", "bad", "good"), CLASS_CASES)
+def test_class_rules_fire_and_rest(rule, bad, good):
+    assert rule in {r for r, *_ in codeblocks.class_rules(bad)} and rule not in {r for r, *_ in codeblocks.class_rules(good)}
+    assert rule not in {r for r, *_ in codeblocks.class_rules("")}
+
+
 def test_token_windows(spark):
     a = "x = 1 + y; " * 12
     b = "zz = 77 + q; " * 12
