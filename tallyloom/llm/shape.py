@@ -12,7 +12,6 @@ FENCE = re.compile(r"^\s{0,3}(```+|~~~+)")
 #: A list marker at the start of a line: bullets, boxes, numbers, letters.
 MARKER = re.compile(r"^\s*(?:[-*+•◦▪‣·●○■□☐☑☒✓✔✗–—]\s+(?:\[[ xX]\]\s*)?|\(?(?:\d{1,3}|[a-zA-Z]|[ivxIVX]{1,5})[.)、]\s*(?=\S)|[（(](?:\d{1,3}|[一二三四五六七八九十]+|[a-zA-Z])[)）]\s*|[①-⑳]\s*|[一二三四五六七八九十]{1,3}、\s*|第[一二三四五六七八九十\d]+[、：]\s*)")
 PAIR = re.compile(r"^\s*[\"'`]?[^:：=\t|]{1,40}?[\"'`]?\s*(?:[:：=]|->|=>|→)\s*\S.{0,60}$")
-ENDS = re.compile(r"[.!?。！？।؟…][\"'”’」』»）)\]*_]*$")
 INNER_END = re.compile(r"[a-zà-ÿ)\]\"”»][.!?]\s+[A-ZÀ-Þ¿¡«\"“(]|[。！？]|[।؟]\s")
 RULE_LINE = re.compile(r"^[\s|+:=\-─━┼├┤│┌┐└┘┬┴╋═]*[-─━=]{3,}[\s|+:=\-─━┼├┤│┌┐└┘┬┴╋═]*$")
 _SPLITS = (
@@ -29,7 +28,8 @@ _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|&[a-z]{2,8};|&#\d+;")
 _HEX = re.compile(r"^(?:0x)?(?=.*\d|[a-f]{2}$)[0-9a-fA-F]{2,16}:?$")
 _LONG_CODE = re.compile(r"[A-Za-z0-9+/=_\-]{40,}")
 _BROKEN = re.compile("[�\x80-\x9f]|[ÃÂâäåæçèéð][\x80-\xbf‐-⃿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ¡-¿]|(?:锟斤拷)|(?:烫){2,}|(?:屯){2,}|[ÐÑØÙ][-¿]")
-_VOWEL = re.compile(r"[aeiouyAEIOUYà-ÿÀ-Ý]")
+_VOWELS = frozenset("aeiouyAEIOUY")
+_HEX_SIGNS = frozenset("0123456789abcdefABCDEFx:")
 _SENTENCE_END = re.compile(r"[.!?](?=[\"'”’»)\]]*(?:\s|$))|[。！？।؟…]")
 #: Signs that nearly every running text of the spaceless scripts holds.
 CJK_COMMON = set("的了是在不有和这我们也就都要会对到说以为被把从没还里中上下个之与及のにはをがとでもてすまたしるだいれ")
@@ -42,12 +42,21 @@ def visible(text: str) -> int:
     return sum(map(len, text.split()))
 
 
+_CLOSING = "\"'”’」』»）)]*_"
+_TERMINATORS = frozenset(".!?。！？।؟…")
+
+
+def has_end(line: str) -> bool:
+    """Whether a line ends in a terminator, but for the marks that close behind it."""
+    return line.rstrip().rstrip(_CLOSING)[-1:] in _TERMINATORS and bool(line.strip())
+
+
 def _short_item(content: str) -> bool:
     """A name or an item rather than a sentence."""
     content = content.strip()
-    if not content or ENDS.search(content) and not content.endswith(("...", "…")) or INNER_END.search(content):
+    if not content or has_end(content) and not content.endswith(("...", "…")) or INNER_END.search(content):
         return False
-    cjk = len(_CJK.findall(content))
+    cjk = 0 if content.isascii() else len(_CJK.findall(content))
     if cjk > 4:
         return cjk <= 22 and not re.search(r"[，、；]", content)
     words = content.split()
@@ -60,18 +69,20 @@ def _short_item(content: str) -> bool:
 def _rows(lines: list[str]) -> tuple[set[int], str]:
     """Numbers of the lines that are rows of cells under one delimiter, and the delimiter."""
     best: tuple[set[int], str] = (set(), "")
+    ended = [has_end(line) for line in lines]
     for name, pattern in _SPLITS:
         counts: dict[int, int] = {}
+        listed = name in ("semicolon", "comma")
         for i, line in enumerate(lines):
             s = line.strip()
+            if listed and ended[i] or not pattern.search(s):
+                continue
             if name in ("pipe", "box"):
                 s = s.strip("|│┃║ ")
-            cells = [c for c in pattern.split(s)]
-            if name in ("semicolon", "comma") and (ENDS.search(s) or any(len(c.split()) > 3 or len(c) > 32 or not c.strip() for c in cells)):
-                continue
-            if name in ("comma", "semicolon") and re.search(r"[,;]\s", s) and len(cells) < 4:
+            cells = pattern.split(s)
+            if listed and (any(len(c.split()) > 3 or len(c) > 32 or not c.strip() for c in cells) or len(cells) < 4 and re.search(r"[,;]\s", s)):
                 continue
-            if name == "space" and (MARKER.match(line) or any(len(c) > 40 for c in cells)):
+            if name == "space" and (any(len(c) > 40 for c in cells) or MARKER.match(line)):
                 continue
             if len(cells) >= 2:
                 counts[i] = len(cells)
@@ -112,8 +123,9 @@ def body_lines(text: str) -> tuple[list[str], int]:
     body: list[str] = []
     code = 0
     fence = ""
-    for line in re.split(r"\r\n|\r|\n", text):
-        mark = FENCE.match(line)
+    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+        first = line.lstrip()[:1]
+        mark = FENCE.match(line) if first in ("`", "~") else None
         if fence:
             code += visible(line)
             if mark and mark.group(1)[:3] == fence:
@@ -121,7 +133,7 @@ def body_lines(text: str) -> tuple[list[str], int]:
         elif mark:
             fence = mark.group(1)[:3]
             code += visible(line)
-        elif line.strip() and not HEADING.match(line):
+        elif first and not (first == "#" and HEADING.match(line)):
             body.append(line)
     return body, code
 
@@ -130,11 +142,12 @@ def _is_common(word: str) -> bool:
     return word in _WORDS or "가" <= word[-1] <= "힣" and word.endswith(HANGUL_COMMON)
 
 
-def _is_entry(line: str) -> bool:
-    mark = MARKER.match(line)
+def _is_entry(line: str, ended: bool, mark: re.Match | None) -> bool:
+    if ended and not line.rstrip().endswith(("...", "…")):
+        return False
     if mark:
         return _short_item(line[mark.end() :])
-    return _short_item(line) or bool(PAIR.match(line)) and not INNER_END.search(line) and not ENDS.search(line.strip())
+    return _short_item(line) or not ended and bool(PAIR.match(line)) and not INNER_END.search(line)
 
 
 def shape(text: str) -> dict:
@@ -162,19 +175,21 @@ def shape(text: str) -> dict:
     rows, delimiter = _rows(body) if len(body) >= 2 else (set(), "")
     entry_chars = entries = marked = ended = row_chars = 0
     for i, line in enumerate(body):
-        marked += bool(MARKER.match(line))
-        ended += bool(ENDS.search(line.strip()))
-        if i in rows:
-            row_chars += visible(line)
-        if _is_entry(line):
-            entries += 1
-            entry_chars += visible(line)
+        mark, closed = MARKER.match(line), has_end(line)
+        marked += bool(mark)
+        ended += closed
+        entry = _is_entry(line, closed, mark)
+        if entry or i in rows:
+            size = visible(line)
+            entries += entry
+            entry_chars += size if entry else 0
+            row_chars += size if i in rows else 0
     tags = sum(map(len, _TAG.findall(plain))) if chars["<"] or chars["&"] else 0
-    hexes = sum(len(t) for t in tokens if len(t) < 20 and _HEX.match(t)) if digits else 0
-    long_code = sum(len(t) for t in _LONG_CODE.findall(plain) if len(t) > 60 or re.search(r"\d", t)) if any(len(t) >= 40 for t in tokens) else 0
+    hexes = sum(len(t) for t in tokens if len(t) < 20 and _HEX_SIGNS.issuperset(t) and _HEX.match(t)) if digits else 0
+    long_code = sum(len(t) for t in _LONG_CODE.findall(plain) if len(t) > 60 or re.search(r"\d", t)) if max(map(len, tokens), default=0) >= 40 else 0
     broken = 0 if plain.isascii() else sum(map(len, _BROKEN.findall(plain)))
     hard = [w for w in latin if len(w) >= 2 and w.isascii()]
-    vowelless = sum(not _VOWEL.search(w) for w in hard) if len(hard) >= 8 else 0
+    vowelless = sum(map(_VOWELS.isdisjoint, hard)) if len(hard) >= 8 else 0
     sentences = len(_SENTENCE_END.findall(plain))
     one = max(seen, 1)
     return {
