@@ -40,12 +40,19 @@ NO_ANSWER = {
 
 def bare(text: str) -> str:
     """Letters and digits in lower case with single spaces."""
-    plain = unicodedata.normalize("NFKC", _MARKUP.sub(" ", _INVISIBLE.sub("", text)))
+    plain = _MARKUP.sub(" ", text) if "<" in text or "&" in text or "`" in text or "~" in text else text
+    plain = plain if plain.isascii() else unicodedata.normalize("NFKC", _INVISIBLE.sub("", plain))
     return re.sub(r"[\W_]+", " ", plain.casefold()).strip()
 
 
+@lru_cache(maxsize=1)
+def _bare(text: str) -> str:
+    """The answer in hand; two checks read it."""
+    return bare(text)
+
+
 def is_empty(text: str | None) -> bool:
-    return text is None or bare(text) in NO_ANSWER
+    return text is None or _bare(text) in NO_ANSWER
 
 
 # --- copies of the prompt ---------------------------------------------------------------------------------------------
@@ -161,6 +168,11 @@ def tiled(answer: str, prompt: str, least: int) -> tuple[int, int]:
     return covered, sum(map(bool, used))
 
 
+@lru_cache(maxsize=4096)
+def _bare_prompt(prompt: str) -> str:
+    return bare(prompt).replace(" ", "")
+
+
 @lru_cache(maxsize=4096)
 def _tiles(prompt: str, least: int) -> frozenset[tuple[str, ...]]:
     """The shortest tiles of a prompt; prompts meet many answers."""
@@ -168,7 +180,7 @@ def _tiles(prompt: str, least: int) -> frozenset[tuple[str, ...]]:
 
 
 def is_copy(text: str, prompt: str) -> bool:
-    a, p = bare(text).replace(" ", ""), bare(prompt).replace(" ", "")
+    a, p = _bare(text).replace(" ", ""), _bare_prompt(prompt)
     if not a or not p:
         return False
     least = min(5, max(2, len(p) // 4))

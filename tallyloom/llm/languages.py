@@ -35,7 +35,7 @@ def without_code(text: str) -> str:
     """The text without code, markup, paths, names and numbers."""
     plain = _TAG.sub(" ", text) if "<" in text else text
     plain = _FENCE.sub(" ", plain) if "`" in plain else plain
-    return "".join(" " if _CODED.search(run) else run for run in _SPLIT.split(plain))
+    return "".join(run if run.isalpha() and run.islower() or not _CODED.search(run) else " " for run in _SPLIT.split(plain))
 
 
 #: Runs of visible ASCII signs and what stands between them.
@@ -70,9 +70,9 @@ def weights(text: str, coded: bool = True) -> dict[str, float]:
     words = _LATIN_WORD.findall(plain.lower())
     if words:
         votes: dict[str, float] = {}
-        for w in words:
+        for w, n in Counter(words).items():
             for language in _WORDS.get(w, ()):
-                votes[language] = votes.get(language, 0) + 1 / len(_WORDS[w])
+                votes[language] = votes.get(language, 0) + n / len(_WORDS[w])
         if votes:
             out[max(votes, key=lambda x: (votes[x], x == "en"))] = float(len(words))
         else:
@@ -115,7 +115,7 @@ def foreign_words(text: str, expected: str, found: dict[str, float]) -> bool:
         only_top, only_own = len(words & (_OWN[top] - _OWN[expected])), len(words & (_OWN[expected] - _OWN[top]))
         if only_top >= 2 and only_top > MARGIN * only_own:
             return True
-    own, odd = len(words & _OWN[expected]), sum(bool(_ODD[expected].search(w)) for w in words)
+    own, odd = len(words & _OWN[expected]), 0 if text.isascii() else sum(bool(_ODD[expected].search(w)) for w in words)
     return odd >= max(2, own) or n >= SURE and own < LEAST_OWN * n
 
 
