@@ -337,4 +337,15 @@ def v15_guide_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("verdict", codefacts.guide_verdict(F.col("rules")))
 
 
+#: Words that make a change sensitive, in order.
+SENSITIVE = ("payment", "refund", "amount", "coupon", "order", "transaction", "auth", "permission", "lock")
+_FIRST = lambda c: "coalesce(" + ", ".join(f"case when contains(lower({c}), '{w}') then '{w}' end" for w in SENSITIVE) + ")"
+
+
+@book.query(C + f"select id, coalesce({_FIRST('file')}, {_FIRST('title')}) as keyword from f")
+def t14_sensitive(spark: SparkSession, folder: str) -> DataFrame:
+    """The first sensitive word in a finding's path, else in its title."""
+    return _clean(spark, folder).select("id", F.coalesce(fx.first_keyword(F.col("file"), SENSITIVE), fx.first_keyword(F.col("title"), SENSITIVE)).alias("keyword"))
+
+
 QUERIES, SQL = book.queries, book.sql

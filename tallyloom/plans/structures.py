@@ -96,10 +96,16 @@ def s7_added_lines(spark: SparkSession, folder: str) -> DataFrame:
     return diffs.added_lines(diffs.read_diffs(_diff_texts(spark, folder), "diff"))
 
 
-@book.query(C + "select substr(status, 1, 1) as kind, count(*) as n from f where substr(status, 1, 1) in ('A', 'D') group by 1")
+@book.query(C + """, l as (select case rank when 0 then 'A' when 1 then 'M' when 2 then 'R' when 3 then 'D' end as kind, file from f where file is not null and rank is not null)
+select kind, count(*) as n, count(distinct file) as paths, (count(*) filter (kind = 'R'))::bigint as moved from l group by 1""")
 def s6_name_status(spark: SparkSession, folder: str) -> DataFrame:
-    lines = clean(table(spark, folder, "findings")).select(F.concat(F.substring("status", 1, 1), F.lit("\t"), "file").alias("l"))
-    return diffs.name_status(lines, "l").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    """Name-status lines of all kinds; renamed files carry both names, and lines of no kind are left out."""
+    path = F.col("file")
+    line = F.when(F.col("rank") == 0, F.concat(F.lit("A\t"), path)).when(F.col("rank") == 1, F.concat(F.lit("M\t"), path)).when(F.col("rank") == 2, F.concat(F.lit("R090\told/"), path, F.lit("\t"), path)).otherwise(F.concat(F.lit("D\t"), path))
+    rows = clean(table(spark, folder, "findings")).where("file is not null and rank is not null")
+    lines = rows.select(F.explode(F.array(line, F.concat(F.lit("?? "), path))).alias("l"))
+    moved = F.count_if(F.col("old_path") == F.concat(F.lit("old/"), F.col("path")))
+    return diffs.name_status(lines, "l").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("path").alias("paths"), moved.alias("moved"))
 
 
 @book.query(C + "select rule_id, title as message, file, start_line, end_line, case severity when 'HIGH' then 'HIGH' when 'MEDIUM' then 'MEDIUM' else 'LOW' end as severity, 'semgrep' as provider from f")
