@@ -20,7 +20,7 @@ every value judged true, several of a field if so.
 
 Defined cases: null ids, ids without a report and null ``merged_ids`` are ignored; a group whose ids are all unknown
 gives no row; repeated deliveries of a report count once, the one received last; reports without a listed source come
-last and are claims of ``(unlisted)``; unusable values (see :func:`claims`) are no claims; a field without claims gives
+last and are claims of ``(unlisted)``; unusable values (see :func:`usable`) are no claims; a field without claims gives
 no row; NaN is unusable; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -66,8 +66,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     nodes = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     edges = cut(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(most_rounds):
-        links_left = edges.count()
-        if not links_left or _is_star_forest(edges):
+        links_left, open_ends = _shape(edges)
+        if not open_ends:
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "u"))
@@ -81,11 +81,13 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return nodes.join(edges.select(F.col("u").alias("id"), F.col("v").alias("group_key")), "id", "left").withColumn("group_key", F.coalesce("group_key", "id"))
 
 
-def _is_star_forest(edges: DataFrame) -> bool:
-    """Whether every upper end has one lower end, and no lower end is an upper end too: nothing is left to do."""
+def _shape(edges: DataFrame) -> tuple[int, int]:
+    """Number of links and of ids that are still open: an upper end with several lower ends or that is a lower end too. Without
+    such ids the links are stars and nothing is left to do."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("up")), F.struct(F.col("v").alias("id"), F.lit(0).alias("up")))).alias("e"))
     by_id = ends.groupBy("e.id").agg(F.sum("e.up").alias("up"), F.count(F.lit(1)).alias("n"))
-    return by_id.agg(F.count(F.when((F.col("up") > 1) | (F.col("up") > 0) & (F.col("n") > F.col("up")), 1)).alias("bad")).first()["bad"] == 0
+    row = by_id.agg(F.sum("up").alias("links"), F.count(F.when((F.col("up") > 1) | (F.col("up") > 0) & (F.col("n") > F.col("up")), 1)).alias("open")).first()
+    return row["links"] or 0, row["open"]
 
 
 def latest_reports(findings: DataFrame) -> DataFrame:
@@ -111,16 +113,13 @@ def _usable_text(column: str) -> Column:
     return F.when(~F.lower(trimmed).isin(*STAND_INS), trimmed)
 
 
-def claims(reports: DataFrame, ranks: dict[str, int], *carry: str) -> DataFrame:
-    """(id, reported_at, *carry, trust, speakers, field_name, value): every usable value of every report.
+def usable() -> dict[str, Column]:
+    """The usable value of each field of a report, as text, or null.
 
     Usable: a title or symbol that is no stand-in; severity LOW..CRITICAL and perf_confidence SUSPECTED..PROVEN in any
     letter case; 0 <= confidence <= 1; end_line >= start_line.
     """
-    known = F.create_map(*[F.lit(x) for pair in sorted(ranks.items()) for x in pair]) if ranks else F.create_map().cast("map<string,int>")
-    named = F.array_distinct(F.transform(F.filter(F.coalesce("sources", F.array().cast("array<string>")), lambda s: s.isNotNull()), provider))
-    valued = F.filter(named, lambda s: F.try_element_at(known, s).isNotNull())
-    values = {
+    return {
         "title": _usable_text("title"),
         "severity": F.when(F.upper(F.trim("severity")).isin(*SEVERITIES), F.upper(F.trim("severity"))),
         "confidence": F.when((F.col("confidence") >= 0) & (F.col("confidence") <= 1), F.format_string("%.4f", "confidence")),
@@ -128,23 +127,23 @@ def claims(reports: DataFrame, ranks: dict[str, int], *carry: str) -> DataFrame:
         "symbol": _usable_text("symbol"),
         "perf_confidence": F.when(F.upper(F.trim("perf_confidence")).isin(*PROOFS), F.upper(F.trim("perf_confidence"))),
     }
-    cells = F.array(*[F.struct(F.lit(name).alias("field_name"), value.alias("value")) for name, value in values.items()])
-    rows = reports.select(
-        "id",
-        "reported_at",
-        *carry,
-        valued.alias("speakers"),
-        F.explode(F.filter(cells, lambda c: c["value"].isNotNull())).alias("c"),
-    )
-    return rows.select(
-        "id",
-        "reported_at",
-        *carry,
-        F.array_min(F.transform("speakers", lambda s: F.try_element_at(known, s))).alias("trust"),
-        F.when(F.size("speakers") > 0, F.array_sort("speakers")).otherwise(F.array(F.lit(UNLISTED))).alias("speakers"),
-        "c.field_name",
-        "c.value",
-    )
+
+
+def spoken(ranks: dict[str, int]) -> tuple[Column, Column]:
+    """(speakers, trust): the listed providers of a report, sorted, or ``(unlisted)``; the best rank of them, null without."""
+    known = F.create_map(*[F.lit(x) for pair in sorted(ranks.items()) for x in pair]) if ranks else F.create_map().cast("map<string,int>")
+    named = F.array_distinct(F.transform(F.filter(F.coalesce("sources", F.array().cast("array<string>")), lambda s: s.isNotNull()), provider))
+    valued = F.filter(named, lambda s: F.try_element_at(known, s).isNotNull())
+    speakers = F.when(F.size(valued) > 0, F.array_sort(valued)).otherwise(F.array(F.lit(UNLISTED)))
+    return speakers, F.array_min(F.transform(valued, lambda s: F.try_element_at(known, s)))
+
+
+def claims(reports: DataFrame, ranks: dict[str, int], *carry: str) -> DataFrame:
+    """(id, reported_at, *carry, trust, speakers, field_name, value): every usable value of every report."""
+    speakers, trust = spoken(ranks)
+    cells = F.array(*[F.struct(F.lit(name).alias("field_name"), value.alias("value")) for name, value in usable().items()])
+    rows = reports.select("id", "reported_at", *carry, trust.alias("trust"), speakers.alias("speakers"), F.explode(F.filter(cells, lambda c: c["value"].isNotNull())).alias("c"))
+    return rows.select("id", "reported_at", *carry, "trust", "speakers", "c.field_name", "c.value")
 
 
 def facts(grouped: DataFrame) -> DataFrame:
@@ -207,44 +206,43 @@ def posterior(rates: dict[str, tuple[float, float]], share: float) -> Column:
     return 1 / (1 + F.exp(-(odds + F.lit(math.log(share / (1 - share))))))
 
 
-def grouped_claims(findings: DataFrame, groups: DataFrame, ranks: dict[str, int]) -> DataFrame:
-    """The claims of every report that is in a group, with ``group_key``."""
-    members = components(present_ids(groups, findings))
-    return claims_with_group(latest_reports(findings).join(members, "id"), ranks)
+def grouped_reports(findings: DataFrame, groups: DataFrame) -> DataFrame:
+    """The reports that are in a group, with ``group_key``."""
+    return latest_reports(findings).join(components(present_ids(groups, findings)), "id")
 
 
 def judged(findings: DataFrame, groups: DataFrame, providers: DataFrame) -> tuple[DataFrame, DataFrame, dict, float]:
     """Claims with their group, facts with their probability, the sources' rates and the share of true facts."""
     ranks = listed(providers)
-    grouped = cut(grouped_claims(findings, groups, ranks))
+    grouped = cut(claims(grouped_reports(findings, groups), ranks, "group_key"))
     told = cut(facts(grouped))
     patterns = cut(told.groupBy("yes", "no").agg(F.count(F.lit(1)).alias("n")))
     rates, share = quality(patterns, [*sorted(ranks), UNLISTED])
     return grouped, told.withColumn("truth", posterior(rates, share)), rates, share
 
 
-def claims_with_group(reports: DataFrame, ranks: dict[str, int]) -> DataFrame:
-    return claims(reports, ranks, "group_key")
+def _ranked(trust: Column) -> list[Column]:
+    recent = -F.coalesce(F.unix_micros("reported_at"), F.lit(-(2**62)))
+    return [F.coalesce(trust, F.lit(2**31 - 1)).alias("trust"), recent.alias("recent"), F.col("id").alias("id")]
 
 
 def survivors(findings: DataFrame, groups: DataFrame, providers: DataFrame, policy: str = BY_TRUST) -> DataFrame:
     """(group_key, field_name, finding_id, value): for each field of a group the claim that wins; ``truth`` too where the
-    model decides."""
-    trust = F.coalesce(F.col("trust"), F.lit(2**31 - 1))
-    recent = -F.coalesce(F.unix_micros("reported_at"), F.lit(-(2**62)))
-    keys = [trust.alias("trust"), recent.alias("recent"), F.col("id").alias("id")]
+    model decides. The least struct combines on the map side, so a hot group sends one row a task."""
     if policy == BY_TRUST:
-        rows = grouped_claims(findings, groups, listed(providers))
-    else:
-        claimed, told, _, _ = judged(findings, groups, providers)
-        facts_of = ["group_key", "field_name", "value"]
-        said = claimed.groupBy(*facts_of).agg(F.count(F.lit(1)).alias("n"))
-        rows = join_hot(claimed, told.join(said, facts_of).select(*facts_of, "truth", "n"), facts_of, "n")
-        keys = [(-F.col("truth")).alias("doubt"), *keys]
-    # The least struct combines on the map side, so a hot group sends one row a task.
-    best = rows.groupBy("group_key", "field_name").agg(F.min(F.struct(*keys, "value")).alias("b"))
-    more = [] if policy == BY_TRUST else [(-F.col("b.doubt")).alias("truth")]
-    return best.select("group_key", "field_name", F.col("b.id").alias("finding_id"), F.col("b.value").alias("value"), *more)
+        # One pass over whole reports: all fields of a group are settled in the same aggregate.
+        keys = _ranked(spoken(listed(providers))[1])
+        least = [F.min(F.when(value.isNotNull(), F.struct(*keys, value.alias("value")))).alias(name) for name, value in usable().items()]
+        best = grouped_reports(findings, groups).groupBy("group_key").agg(*least)
+        cells = F.array(*[F.struct(F.lit(name).alias("field_name"), F.col(name).alias("b")) for name in FIELDS])
+        rows = best.select("group_key", F.explode(F.filter(cells, lambda c: c["b"].isNotNull())).alias("c"))
+        return rows.select("group_key", "c.field_name", F.col("c.b.id").alias("finding_id"), F.col("c.b.value").alias("value"))
+    claimed, told, _, _ = judged(findings, groups, providers)
+    facts_of = ["group_key", "field_name", "value"]
+    said = claimed.groupBy(*facts_of).agg(F.count(F.lit(1)).alias("n"))
+    rows = join_hot(claimed, told.join(said, facts_of).select(*facts_of, "truth", "n"), facts_of, "n")
+    best = rows.groupBy("group_key", "field_name").agg(F.min(F.struct((-F.col("truth")).alias("doubt"), *_ranked(F.col("trust")), "value")).alias("b"))
+    return best.select("group_key", "field_name", F.col("b.id").alias("finding_id"), F.col("b.value").alias("value"), (-F.col("b.doubt")).alias("truth"))
 
 
 def true_values(findings: DataFrame, groups: DataFrame, providers: DataFrame, at_least: float = 0.5) -> DataFrame:
