@@ -47,7 +47,9 @@ _DROP = re.compile(rf"[\W\d_]+", re.UNICODE)
 _BREAK = re.compile(r"(?<=[.!?؟।…])[\"'”’»)\]]*\s+|(?<=[。！？])[”’」』）]*|[\r\n]+")
 _SIGN = re.compile(f"[{_SPACELESS}]")
 _NUMBER = re.compile(r"[\d_]+")
-_EDGES = "\"'`“”‘’„«»‹›「」『』()（）[]【】{}<>《》.,;:!?…。，、；：！？·•*#|+=/\\-–—~"
+#: Where the quick score parts sentences: a terminator before a space, a wide terminator, a line break.
+_ROUGH_BREAK = re.compile(r"[.!?…؟।]\s|[。！？\r\n]")
+_EDGES = " \t\"'`“”‘’„«»‹›「」『』()（）[]【】{}<>《》.,;:!?…。，、；：！？·•*#|+=/\\-–—~"
 _MARK = re.compile(r"^\s*(?:[-*+•◦#>]+\s+|\(?\d{1,3}[.)、]\s*|\(?[a-z][.)]\s+)")
 
 
@@ -99,7 +101,7 @@ def repeated_share(text: str | None) -> float:
 
 def stratum(text: str | None) -> str:
     """The kind of script that most of a text is in."""
-    return "signs" if text and 3 * len(_SIGN.findall(text)) > len(text) else "words"
+    return "signs" if text and not text.isascii() and 3 * len(_SIGN.findall(text)) > len(text) else "words"
 
 
 def quick_score(text: str | None) -> float:
@@ -107,7 +109,7 @@ def quick_score(text: str | None) -> float:
     if not text:
         return 0.0
     low = _NUMBER.sub("", text.casefold())
-    pieces = [x for piece in _BREAK.split(low) if (x := _DROP.sub("", _MARK.sub("", piece, count=1)))]
+    pieces = [x for piece in _ROUGH_BREAK.split(low) if (x := piece.strip(_EDGES))]
     total = sum(map(len, pieces))
     if not total:
         return 0.0
