@@ -37,6 +37,8 @@ WHOLE, LEAST_CHARS = 0.8, 40
 FIRES = (0.7, 0.3)
 #: The starting rates count like so many texts.
 PRIOR = 10.0
+#: Up to so many patterns are broadcast.
+BROADCAST_PATTERNS = 100_000
 
 
 def functions(s: dict) -> list[tuple[str, str, bool]]:
@@ -166,13 +168,14 @@ def patterns_of(measured: DataFrame) -> list[tuple[int, int]]:
 def typed(measured: DataFrame, model: Model | None = None) -> DataFrame:
     """Adds ``kind`` and the posterior of each type (p_prose, ...), fitting the model unless one is given.
 
-    Each vote pattern is scored once; the table of patterns (at most 2^K rows) is joined as a broadcast.
+    Each vote pattern is scored once; the table of patterns (at most 2^K rows) is joined as a broadcast while it is small.
     """
     patterns = patterns_of(measured)
     found = posterior(bits_of(patterns), model or fit(patterns))
     rows = [(v, TYPES[int(p.argmax())] if v else "other", *map(float, p)) for (v, _), p in zip(patterns, found, strict=True)]
     schema = "votes int, kind string, " + ", ".join(f"p_{t} double" for t in TYPES)
-    return measured.join(F.broadcast(measured.sparkSession.createDataFrame(rows, schema)), "votes")
+    scores = measured.sparkSession.createDataFrame(rows, schema)
+    return measured.join(F.broadcast(scores) if len(rows) <= BROADCAST_PATTERNS else scores.hint("merge"), "votes")
 
 
 def is_no_prose() -> Column:
