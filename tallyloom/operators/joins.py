@@ -48,22 +48,47 @@ def compare(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     return both.groupBy(*keys).agg(change.alias("change"))
 
 
+#: A member that at least 1/DENSE of all items have is counted by bits, WORD members at once; the members of dense words are
+#: numbered in blocks of about BLOCK. Items of one word are compared in cells of at most about CELL by CELL.
+DENSE, WORD, BLOCK, CELL = 8, 64, 4096, 2048
+
+
 def overlap_pairs(sets: DataFrame, item: str, members: str, least: int) -> DataFrame:
-    """(a, b, shared): items a < b that share at least ``least`` members.
+    """(a, b, shared): items a < b that share at least ``least`` members; ``item`` is unique. See :func:`shared_members`."""
+    own = sets.select(item, F.array_distinct(members).alias("_ms")).where(F.size("_ms") >= least)
+    return shared_members(own.select(item, F.explode("_ms").alias("_m")), item, "_m", least)
+
+
+def shared_members(rows: DataFrame, item: str, member: str, least: int) -> DataFrame:
+    """(a, b, shared): items a < b that have at least ``least`` members in common, from rows of (item, member). Nulls are
+    neither items nor members, repeated rows count once.
 
-    Two such items share one of the n - least + 1 rarest members of each, so only those are indexed (a prefix filter), and
-    a member that very many items have stands at the end of nearly every order and is seldom joined on. Candidates are
-    then counted exactly. Items with fewer members than ``least`` pair with none; ``item`` is unique.
+    Only small numbers are joined, never an item's members. A member few items have stands in a word of its own, which
+    its items are joined on. For members that very many items have, that would make nearly all pairs once a member; WORD of
+    them share a word, in which an item has a mask, and a pair is made once a word. A word's pairs are spread over
+    cells, so a member of very many items fills no single task. No side is broadcast, whatever its estimate, since
+    estimates of grouped rows are far too small; sums combine on the map side.
     """
-    own = sets.select(F.col(item).alias("i"), F.array_distinct(F.filter(members, lambda m: m.isNotNull())).alias("ms")).where(F.size("ms") >= least)
-    flat = own.select("i", F.explode("ms").alias("m"))
-    often = flat.groupBy("m").agg(F.count(F.lit(1)).alias("n"))
-    # An item's members come together again: no more than the item has.
-    ordered = flat.join(often, "m").groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "m"))), lambda x: x["m"]).alias("ms"))
-    rare = ordered.select("i", "ms", F.explode(F.slice("ms", 1, F.size("ms") - (least - 1))).alias("m"))
-    left, right = (rare.select(F.col("i").alias(x), F.col("ms").alias(f"ms_{x}"), "m") for x in "ab")
-    pairs = left.join(right, "m").where("a < b").dropDuplicates(["a", "b"])
-    return pairs.select("a", "b", F.size(F.array_intersect("ms_a", "ms_b")).cast("long").alias("shared")).where(F.col("shared") >= least)
+    flat = rows.select(F.col(item).alias("i"), F.col(member).alias("m")).where("i is not null and m is not null").distinct()
+    total = flat.agg(F.count_distinct("i").alias("items"), F.count(F.lit(1)).alias("all"))
+    often = flat.groupBy("m").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total))  # one row
+    # There are at most DENSE * all / items dense members.
+    blocks = F.ceil(DENSE * F.col("all") / F.col("items") / BLOCK)
+    often = often.withColumn("dense", F.col("n") * DENSE >= F.col("items"))
+    often = often.withColumn("block", F.when(F.col("dense"), F.pmod(F.xxhash64("m"), blocks)).otherwise(F.xxhash64("m")))
+    block = Window.partitionBy("dense", "block")
+    at = F.row_number().over(block.orderBy("m")) - 1
+    side = F.ceil(F.max(F.when(F.col("dense"), F.col("items")).otherwise(F.col("n"))).over(block) / CELL).cast("int")
+    places = often.select("m", "dense", "block", at.alias("at"), side.alias("side"))
+    word = ["dense", "block", "word", "side"]
+    bit = F.expr(f"shiftleft(1L, at % {WORD})")
+    cells = flat.join(places.hint("merge"), "m").groupBy("i", "dense", "block", F.floor(F.col("at") / WORD).alias("word"), "side").agg(F.bit_or(bit).alias("mask"))
+    own, every = F.pmod(F.hash("i"), F.col("side")), F.explode(F.sequence(F.lit(0), F.col("side") - 1))
+    left = cells.select(*word, F.col("i").alias("a"), F.col("mask").alias("_a"), own.alias("x"), every.alias("y"))
+    right = cells.select(*word, F.col("i").alias("b"), F.col("mask").alias("_b"), every.alias("x"), own.alias("y"))
+    both = F.col("_a").bitwiseAND(F.col("_b"))
+    pairs = left.join(right.hint("merge"), [*word, "x", "y"]).where((F.col("a") < F.col("b")) & (both != 0))
+    return pairs.groupBy("a", "b").agg(F.sum(F.bit_count(both)).alias("shared")).where(F.col("shared") >= least)
 
 
 def complete(rows: DataFrame, key: str, value: str, wanted: Sequence) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+from tallyloom.operators import joins
 from tallyloom.operators.scale import running_total, salt_of, successor
 
 
@@ -32,3 +33,23 @@ def test_successor_over_gaps_and_blocks(spark):
     df = spark.createDataFrame([("r", n) for n in numbers] + [("s", 7)], "repo string, n int")
     got = {(r["repo"], r["n"]): r["next"] for r in successor(df, "repo", "n", "next").collect()}
     assert got == {("r", a): b for a, b in zip(numbers, [*numbers[1:], None])} | {("s", 7): None}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_overlap_pairs_join_small_rows_only(spark, monkeypatch):
+    """Common and rare members, words over several cells; no member list is broadcast or joined, whatever its estimate."""
+    rnd = random.Random(5)
+    sets = {f"i{n}": [f"m{k}" for k in range(150) if rnd.random() < (0.7 if k < 100 else 0.02)] for n in range(60)} | {"none": [], "one": ["m0"]}
+    df = spark.createDataFrame([(k, [*v, None, *v[:1]]) for k, v in sets.items()] + [(None, ["m0", "m1"])], "item string, members array<string>")
+    want = {least: {(a, b, len(set(sets[a]) & set(sets[b]))) for a in sets for b in sets if a < b and len(set(sets[a]) & set(sets[b])) >= least} for least in (1, 2, 50)}
+    for cell in (joins.CELL if hasattr(joins, "CELL") else 0, 7):
+        monkeypatch.setattr(joins, "CELL", cell, raising=False)
+        for least, pairs in want.items():
+            got = joins.overlap_pairs(df, "item", "members", least)
+            assert {tuple(r) for r in got.collect()} == pairs and got.count() == len(pairs)
+    plan = plan_of(got)
+    assert "BroadcastHashJoin" not in plan and "array_intersect" not in plan
+    assert joins.overlap_pairs(df.limit(0), "item", "members", 2).count() == 0
