@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -92,6 +93,7 @@ _PART = re.compile(r"\b(?:if|else|for|while|do|switch|try|catch|finally)\b|[{}()
 #: Limits of the method rules.
 LINES, BRANCHES, DEPTH, PARAMETERS = 80, 15, 4, 5
 _BRACE = re.compile(r"[{}]")
+_QUOTED = re.compile(r"[\"'/]")
 
 
 def blank(code: str) -> str:
@@ -119,7 +121,8 @@ def blank(code: str) -> str:
                     out[j] = " "
             i = k + 1
         else:
-            i += 1
+            mark = _QUOTED.search(code, i + 1)
+            i = mark.start() if mark else n
     return "".join(out)
 
 
@@ -305,11 +308,16 @@ def commented_code(code: str) -> list[int]:
     return out
 
 
+def private_members(plain: str) -> list[tuple[str, str]]:
+    """(kind, name) of private methods and private fields in blanked code."""
+    out = [("method", m.group(1)) for m in re.finditer(r"\bprivate\s+(?:static\s+)?[\w<>\[\], ?]+?\s+(\w+)\s*\(", plain)]
+    return out + [("field", m.group(1)) for m in _FIELD.finditer(plain) if "private" in m.group()]
+
+
 def declared(code: str) -> list[tuple[str, str]]:
     """(kind, name) of private methods, private fields, interfaces and implementations in Java-like code."""
     plain = blank(code)
-    out = [("method", m.group(1)) for m in re.finditer(r"\bprivate\s+(?:static\s+)?[\w<>\[\], ?]+?\s+(\w+)\s*\(", plain)]
-    out += [("field", m.group(1)) for m in _FIELD.finditer(plain) if "private" in m.group()]
+    out = private_members(plain)
     out += [("interface", m.group(1)) for m in re.finditer(r"\binterface\s+(\w+)", plain)]
     for m in re.finditer(r"\bimplements\s+([\w, <>]+)", plain):
         out += [("implements", x.strip().split("<")[0]) for x in m.group(1).split(",") if x.strip()]
@@ -327,12 +335,30 @@ def declarations(files: DataFrame, key: str, code: str) -> DataFrame:
     return files.select(F.col(key).alias("key"), F.col(code).alias("code")).mapInPandas(run, f"key {dict(files.dtypes)[key]}, kind string, name string")
 
 
+_WORD = re.compile("[A-Za-z_][A-Za-z0-9_]*")
+
+
+def unused(code: str) -> list[tuple[str, str]]:
+    """(kind, name) of the private methods and fields whose name stands only once in the code."""
+    members = dict.fromkeys(private_members(blank(code)))
+    if not members:
+        return []
+    words = Counter(_WORD.findall(code))
+    return [(kind, name) for kind, name in members if words[name] == 1]
+
+
 def unused_members(files: DataFrame, key: str, code: str) -> DataFrame:
-    """(key, kind, name): private methods and fields whose name stands only once in their own file."""
-    members = declarations(files, key, code).where("kind in ('method', 'field')").distinct()
-    words = files.select(F.col(key).alias("key"), F.explode(F.regexp_extract_all(code, F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))).alias("name"))
-    counts = words.groupBy("key", "name").agg(F.count(F.lit(1)).alias("n"))
-    return members.join(counts, ["key", "name"]).where("n <= 1").select("key", "kind", "name")
+    """(key, kind, name): private methods and fields whose name stands only once in their own file; ``key`` is unique.
+
+    A file's words are counted where the file is read: nothing is shuffled or broadcast, however many words there are.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, kind, name) for k, text in zip(batch["key"], batch["code"], strict=True) for kind, name in unused(text or "")]
+            yield pd.DataFrame(rows, columns=["key", "kind", "name"])
+
+    return files.select(F.col(key).alias("key"), F.col(code).alias("code")).mapInPandas(run, f"key {dict(files.dtypes)[key]}, kind string, name string")
 
 
 def single_implementations(files: DataFrame, key: str, code: str) -> DataFrame:

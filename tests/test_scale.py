@@ -1,7 +1,7 @@
 import random
 from collections import defaultdict
 
-from tallyloom.operators import joins
+from tallyloom.operators import codeblocks, joins
 from tallyloom.operators.scale import running_total, salt_of, successor
 
 
@@ -53,3 +53,18 @@ def test_overlap_pairs_join_small_rows_only(spark, monkeypatch):
     plan = plan_of(got)
     assert "BroadcastHashJoin" not in plan and "array_intersect" not in plan
     assert joins.overlap_pairs(df.limit(0), "item", "members", 2).count() == 0
+
+
+def test_unused_members_shuffle_no_words(spark):
+    """Names are counted in their own file only, in strings and comments too; no words leave the pass over the texts."""
+    files = [
+        ("a", "class A { private int n; private void used() { n(); } // used\n }"),
+        ("b", 'class B { private int x; private int used; private void größe() { } String s = "x"; }'),
+        ("c", "class C { private void both() { } private int both; private Map<String, A> lone = make(); }"),
+        ("d", None),
+        ("e", ""),
+    ]
+    got = codeblocks.unused_members(spark.createDataFrame(files, "id string, code string"), "id", "code")
+    assert sorted(map(tuple, got.collect())) == [("b", "field", "used"), ("c", "field", "lone")]
+    plan = plan_of(got)
+    assert "Join" not in plan and "Exchange" not in plan
