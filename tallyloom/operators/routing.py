@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.descriptions import excludes
 from tallyloom.functions.text import clamp01, squeeze, tokens
 from tallyloom.operators.scores import banded_top
+from tallyloom.session import cut
 
 #: Weights of a route's parts.
 ROUTE_WEIGHTS = {"tags": 0.45, "triggers": 0.25, "category": 0.15, "history": 0.10, "context": 0.05}
@@ -79,11 +81,67 @@ def scored_routes(tasks: DataFrame, entries: DataFrame) -> DataFrame:
     return pairs.withColumns(parts).select("task_id", "entry_id", *parts, F.round(total, 6).alias("score"), exclude_reason(F.col("task")).alias("reason"))
 
 
+def _profiles(entries: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(profile, entry_id, heard, include, exclude, category, history, context): the entries that are not out for every task,
+    the first ``k`` by id of each profile.
+
+    Entries of one profile score alike for every task: they are heard by the same asked tokens and are equal in phrases,
+    category, history and context. As equal scores go by id, the others of a profile are in no task's best ``k``.
+    """
+    out = (F.col("status") == "blocked") | ((F.col("status") == "deprecated") & F.col("replacement").isNotNull())
+    phrases = lambda c: F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), squeeze), lambda p: p != "")))
+    rows = entries.where(~F.coalesce(out, F.lit(False))).select(
+        "entry_id", "surface", phrases(F.col("include")).alias("include"), phrases(F.col("exclude")).alias("exclude"), F.lower("category").alias("category"),
+        clamp01(F.coalesce("score", F.lit(0.0)) / 100).alias("history"), (1 - clamp01(F.coalesce("root_lines", F.lit(0)) / F.lit(float(FULL_LINES)))).alias("context"),
+    )
+    heard = rows.select("entry_id", F.explode(F.array_distinct("surface")).alias("token")).join(asked.select("token").distinct().hint("merge"), "token")
+    heard = heard.groupBy("entry_id").agg(F.array_sort(F.collect_set("token")).alias("heard"))
+    rows = rows.drop("surface").join(heard, "entry_id", "left").withColumn("heard", F.coalesce("heard", F.array().cast("array<string>")))
+    w = Window.partitionBy("heard", "include", "exclude", "category", "history", "context").orderBy("entry_id")
+    return rows.withColumns({"_n": F.row_number().over(w), "profile": F.first("entry_id").over(w)}).where(F.col("_n") <= k).drop("_n")
+
+
+def _holds(asks: DataFrame, profiles: DataFrame, phrases: str, hit) -> DataFrame:
+    """(task_id, profile, history, context): asks that hold a phrase of the profile. Each phrase is tried once a task."""
+    said = profiles.select("profile", "history", "context", F.explode(phrases).alias("phrase"))
+    one = said.select("phrase").distinct().agg(F.collect_list(F.struct("phrase", F.array_distinct(tokens(F.col("phrase"))).alias("own"))).alias("all"))
+    found = asks.crossJoin(F.broadcast(one)).select("task_id", F.explode(F.filter("all", hit)["phrase"]).alias("phrase"))  # one row
+    return found.join(said.hint("merge"), "phrase")
+
+
 def full_routes(tasks: DataFrame, entries: DataFrame, k: int = 5) -> DataFrame:
     """(task_id, entry_id, score, place): the best ``k`` of each task among those that are not out and relevant (a tag, a
-    trigger or the category), at least LEAST_ROUTE and in the band of the best."""
-    kept = scored_routes(tasks, entries).where(F.col("reason").isNull() & (F.greatest("tag", "trigger", "category_part") > 0))
-    return banded_top(kept.select("task_id", "entry_id", "score"), ["task_id"], "score", "entry_id", k, LEAST_ROUTE)
+    trigger or the category), at least LEAST_ROUTE and in the band of the best.
+
+    Columns and parts are those of :func:`scored_routes`; ``task_id`` and ``entry_id`` are unique. Tasks that say the same
+    are routed once, entries that score alike are scored once (see :func:`_profiles`), and phrases are tried on tasks, not
+    on pairs of tasks and entries. Pairs are counted on the map side from what a task and a profile have in common.
+    """
+    # Both are read many times below, so the plan would grow with every use.
+    known = cut(tasks.select("task_id", "task", "tokens", "kind", F.min("task_id").over(Window.partitionBy("task", "tokens", "kind")).alias("_ask")))
+    asks = known.where("task_id = _ask").drop("_ask")
+    asked = asks.select("task_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    members = cut(_profiles(entries, asked, k))
+    profiles = members.where("entry_id = profile")
+
+    def fires(p: Column) -> Column:
+        both = F.size(F.array_intersect(p["own"], F.col("tokens")))
+        return F.contains("task", p["phrase"]) | F.when(F.size(p["own"]) == 1, both == 1).otherwise((both >= 2) & (both * 2 >= F.size(p["own"])))
+
+    heard = asked.join(profiles.select("profile", "history", "context", F.explode("heard").alias("token")).hint("merge"), "token")
+    of_kind = asks.select("task_id", F.col("kind").alias("category")).join(profiles.select("profile", "history", "context", "category").hint("merge"), "category")
+    shared = {"tag": heard, "trigger": _holds(asks, profiles, "include", fires), "category_part": of_kind, "out": _holds(asks, profiles, "exclude", lambda p: excludes(F.col("task"), F.array(p["phrase"])))}
+    flags = [rows.select("task_id", "profile", "history", "context", *[F.lit(int(name == other)).alias(other) for other in shared]) for name, rows in shared.items()]
+    most = [F.max(c).alias(c) for c in ("trigger", "category_part", "out", "history", "context")]
+    pairs = reduce(DataFrame.unionByName, flags).groupBy("task_id", "profile").agg(F.sum("tag").alias("tag"), *most).where("out = 0")
+    parts = {"tag": F.least(F.lit(1.0), F.col("tag") / F.lit(FULL_TAGS)), "trigger": F.col("trigger").cast("double"), "category_part": F.col("category_part").cast("double"), "history": F.col("history"), "context": F.col("context")}
+    total = sum((part * w for part, w in zip(parts.values(), ROUTE_WEIGHTS.values(), strict=True)), F.lit(0.0))
+    # A profile goes by its first entry, so the best k entries stand in the best k profiles.
+    place = F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("score"), "profile"))
+    top = pairs.select("task_id", "profile", F.round(total, 6).alias("score")).withColumn("_n", place).where(F.col("_n") <= k)
+    rows = top.join(members.select("profile", "entry_id").hint("merge"), "profile").select("task_id", "entry_id", "score")
+    best = banded_top(rows, ["task_id"], "score", "entry_id", k, LEAST_ROUTE)
+    return known.select("task_id", "_ask").join(best.withColumnRenamed("task_id", "_ask").hint("merge"), "_ask").drop("_ask")
 
 
 def routes(tasks: DataFrame, entries: DataFrame, k: int = 3, least: float = 0.05) -> DataFrame:

@@ -1,7 +1,7 @@
 import random
 from collections import defaultdict
 
-from tallyloom.operators import codeblocks, joins
+from tallyloom.operators import codeblocks, joins, routing
 from tallyloom.operators.scale import running_total, salt_of, successor
 
 
@@ -68,3 +68,37 @@ def test_unused_members_shuffle_no_words(spark):
     assert sorted(map(tuple, got.collect())) == [("b", "field", "used"), ("c", "field", "lone")]
     plan = plan_of(got)
     assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_full_routes_score_like_pairs_once(spark, monkeypatch):
+    """Tasks that say the same and entries that score alike are scored once; the routes are those of all pairs."""
+    rnd = random.Random(11)
+    words = ["cache", "layer", "slow", "audit", "table", "07"]
+    texts = [" ".join(rnd.sample(words, rnd.randrange(1, 4))) for _ in range(6)] + ["xcache layery"]
+    tasks = [(n, texts[n % 7], texts[n % 7].split(), ["perf", None][n % 7 % 2]) for n in range(70)]
+    entries = [
+        (f"e{n:02}", ["the", *rnd.sample(words, 2), f"n{n}"] if n % 3 else ["cache", "slow", f"n{n}"], ["Cache  Layer"] if n % 3 else [], ["audit table"] if n % 5 == 0 else None, "Perf" if n % 4 else "db", ["active", "deprecated", "blocked", None][n % 11 % 4], [80.0, None, 200.0][n % 13 % 3], 100, "e00" if n % 2 else None)
+        for n in range(60)
+    ]
+    schema = "entry_id string, surface array<string>, include array<string>, exclude array<string>, category string, status string, score double, root_lines int, replacement string"
+
+    def scored(task, entry):
+        _, text, own, kind = task
+        _, surface, include, exclude, category, status, past, root, other = entry
+        if status == "blocked" or status == "deprecated" and other or (exclude and ("audit table" in text or "audit" in text and "table" in text)):
+            return None
+        tag = min(1.0, len(set(surface) & set(own)) / 2)
+        trigger = float(bool(include) and ("cache layer" in text or {"cache", "layer"} <= set(own)))
+        part = float(category.lower() == kind)
+        return round(tag * 0.45 + trigger * 0.25 + part * 0.15 + min(1.0, (past or 0) / 100) * 0.1 + 0.75 * 0.05, 6) if max(tag, trigger, part) > 0 else None
+
+    want = set()
+    for task in tasks:
+        found = sorted((-x, e[0]) for e in entries if (x := scored(task, e)) is not None)
+        want |= {(task[0], e, place) for place, (x, e) in enumerate(found[:5], 1) if -x >= 0.12 and x <= 0.45 * found[0][0]}
+    seen, banded_top = [], routing.banded_top
+    monkeypatch.setattr(routing, "banded_top", lambda rows, *a: (seen.append(rows.count()), banded_top(rows, *a))[1])
+    got = routing.full_routes(spark.createDataFrame(tasks, "task_id int, task string, tokens array<string>, kind string"), spark.createDataFrame(entries, schema))
+    assert {(r["task_id"], r["entry_id"], r["place"]) for r in got.collect()} == want and {r[0] for r in want if r[0] % 7 == 6}
+    # 14 askings (7 texts, with and without a kind at most), five profiles of five entries each.
+    assert seen[0] <= 14 * 25
